@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, minhash, sharding, substrings, token_counts, url_filter
+from corpusloom.llm import byte_bpe, minhash, positional_index, sharding, substrings, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op4_decontamination": positional_index.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
     "op6_minhash": minhash.op6_minhash,
     "op7_url_filters": url_filter.op7_url_filters,
