@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, minhash, positional_index, sharding, substrings, token_counts, url_filter
+from corpusloom.llm import byte_bpe, minhash, positional_index, sharding, substrings, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op10_toxicity": toxicity.op10_toxicity,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_decontamination": positional_index.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,

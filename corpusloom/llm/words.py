@@ -102,8 +102,16 @@ class Words:
         up, down = _BYTES.upto(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[self.bytes] * up[:n], out=total[1:])
+        self._total, self._down = total, down
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
 
+    def prefixes(self, n: int, which: np.ndarray) -> np.ndarray:
+        """Hashes of the first n bytes of the chosen words; 0 for a shorter word."""
+        start = self.start[which]
+        end = np.minimum(start + n, self.end[which])
+        h = mix((self._total[end] - self._total[start]) * self._down[start], 900 + n)
+        return np.where(end - start == n, h, U64(0))
+
     def grams(self, k: int, salt: int = 0, tokens: np.ndarray | None = None) -> np.ndarray:
         """Hashes of all runs of k words; those that cross into another text are not valid."""
         return grams(self.hash if tokens is None else tokens, k, salt)
