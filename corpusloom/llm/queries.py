@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, minhash, positional_index, sharding, substrings, token_counts, toxicity, url_filter
+from corpusloom.llm import ann, byte_bpe, kneser_ney, minhash, positional_index, sharding, substrings, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op2_nearest": ann.op2_nearest,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_decontamination": positional_index.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
     "op6_minhash": minhash.op6_minhash,
     "op7_url_filters": url_filter.op7_url_filters,
+    "op8_lm_scoring": kneser_ney.op8_lm_scoring,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 
