@@ -38,7 +38,7 @@ from corpusloom.llm.words import chunks, column
 _ID = struct.Struct("<I")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens, about, whose ids a worker keeps in each of two generations.
-CACHE = 150_000
+CACHE = 60_000
 
 
 def byte_characters() -> list[str]:
@@ -129,19 +129,22 @@ def _coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def _with(df: DataFrame, name: str, add) -> DataFrame:
-    """df with a binary column that add makes, chunk by chunk, from each batch."""
-    df = df.drop(name)
+def _with(df: DataFrame, names: list[str], left_out: str | None, add) -> DataFrame:
+    """df with the binary columns that add makes, chunk by chunk, from each batch, and without one column."""
+    df = df.drop(*names)
+    kept = [c for c in df.columns if c != left_out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, made in add(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, name])
+                columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.binary()) for x in made)], [*kept, *names])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
+    return df.mapInArrow(run, StructType([*(f for f in df.schema.fields if f.name in kept), *(StructField(n, BinaryType()) for n in names)]))
 
 
-def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, pattern: str | None = None, keep_text: bool = True, with_decoded: bool = False) -> DataFrame:
+    """docs with ids; with_decoded: and, from the same pass, what these ids decode to; the text may be left out."""
     path, pattern = vocabulary or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
 
     def add(batch: pa.RecordBatch):
@@ -149,12 +152,14 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, p
         data, offsets = column(batch, text)
         raw = memoryview(data)
         for a, z in chunks(offsets):
-            yield batch.slice(a, z - a), coder.encode([str(raw[offsets[i] : offsets[i + 1]], "utf-8", "replace") for i in range(a, z)])
+            ids = coder.encode([str(raw[offsets[i] : offsets[i + 1]], "utf-8", "replace") for i in range(a, z)])
+            yield batch.slice(a, z - a), [ids, list(map(coder.decode, ids))] if with_decoded else [ids]
 
-    return _with(docs, "ids", add)
+    return _with(docs, ["ids", "decoded"] if with_decoded else ["ids"], None if keep_text else text, add)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """encoded (with ids) and decoded."""
     path, pattern = vocabulary or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
 
     def add(batch: pa.RecordBatch):
@@ -162,15 +167,14 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, pattern: str | Non
         ids = batch.column(batch.schema.get_field_index("ids"))
         step = 256
         for a in range(0, len(ids), step):
-            part = batch.slice(a, step)
-            yield part, [coder.decode(x or b"") for x in ids.slice(a, step).to_pylist()]
+            yield batch.slice(a, step), [[coder.decode(x or b"") for x in ids.slice(a, step).to_pylist()]]
 
-    return _with(encoded, "decoded", add)
+    return _with(encoded, ["decoded"], None, add)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs).drop("text"))
+    coded = encode(docs, keep_text=False, with_decoded=True)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -31,4 +31,7 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'old' as ids", "'old' as decoded")
     got = decode(encode(df)).collect()
     assert sorted((r.doc_id, hashlib.sha256(r.ids).hexdigest(), r.decoded) for r in got) == sorted((i, hashlib.sha256(packed(t or "")).hexdigest(), (t or "").encode()) for i, t in rows)
+    once = encode(df, keep_text=False, with_decoded=True)
+    assert once.columns == ["doc_id", "ids", "decoded"]
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(((r.doc_id, r.ids, r.decoded) for r in got), key=str)
     assert decode(encode(df.limit(0))).count() == 0
