@@ -11,9 +11,9 @@ label by least hash of doc_id, at most SAMPLE_WINDOWS evenly spaced windows of e
 only from rows that are not held out; label, language, source and doc_id are no inputs.
 Workers get the weights (under a megabyte: FEATURES inputs at most, each seen in SEEN texts at least) and score whole texts chunk by chunk.
 
-Defined results: null and empty texts get the score of a window without words; repeated rows score
+Defined results: texts without words score 0, as nothing in them is toxic; repeated rows score
 alike; without labels of both kinds every score is the share of label 1, smoothed;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns pass through, but older held_out, score and predicted are replaced.
 """
 
 from __future__ import annotations
@@ -25,14 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusloom.llm.tables import read
+from corpusloom.llm.tables import read, stored
 from corpusloom.llm.words import ALNUM, Words, texts_of
 
 WINDOW, STRIDE = 64, 48
 PREFIXES = (3, 4, 5, 6)
 SAMPLE, SAMPLE_WINDOWS, FEATURES, SEEN = 1_500, 16, 20_000, 4
 FOLDS = 5
+#: The logit of a text without words.
+NOTHING = -1e6
 _D, _H, _A = 8, 8, 8  # sizes of inputs, of a direction's state, of attention
 _EPOCHS, _BATCH, _RATE = 6, 128, 0.01
 
@@ -162,8 +165,10 @@ class Model:
 
     def scores(self, w: Words) -> np.ndarray:
         """Of each text."""
-        if self.constant is not None:
-            return np.full(w.texts, self.constant)
+        return np.full(w.texts, self.constant) if self.constant is not None else self.calibrated(self.worst(w))
+
+    def worst(self, w: Words) -> np.ndarray:
+        """The largest logit of each text's windows."""
         h, number = features(w)
         x = np.concatenate([self.weights["E"][self.numbers(h)].sum(1), np.zeros((1, _D), np.float32)])
         text, first, size = windows(w)
@@ -173,11 +178,11 @@ class Model:
             mask = (at < size[a : a + 8_192]).astype(np.float32)
             index = np.where(mask > 0, np.append(number, 0)[np.minimum(first[a : a + 8_192] + at, len(number))], len(x) - 1)
             np.maximum.at(worst, text[a : a + 8_192], self.logits(x, index, mask))
-        return self.calibrated(worst)
+        return np.where(w.counts > 0, worst, NOTHING)
 
 
 def train(bags: list[tuple[int, np.ndarray]], seed: int = 5) -> Model:
-    """bags: label and hashes (window, position, inputs; 0 where the window has ended) of each sampled text."""
+    """A model without calibration; bags: label and hashes (window, position, inputs; 0 where the window has ended) of each sampled text."""
     y = np.array([t for t, _ in bags], np.float32)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, np.uint64), constant=float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.25)
@@ -215,20 +220,11 @@ def train(bags: list[tuple[int, np.ndarray]], seed: int = 5) -> Model:
                 m += 0.1 * (g[k] - m)
                 v += 0.001 * (g[k] * g[k] - v)
                 model.weights[k] -= (_RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    worst = np.array([_worst(model, h) for _, h in bags])
-    model.slope, model.shift = _calibration(worst, y)
     return model
 
 
-def _worst(model: Model, h: np.ndarray) -> float:
-    some = model.numbers(h).transpose(1, 0, 2)
-    x = model.weights["E"][some].sum(2)
-    mask = (h[:, :, 0] > 0).T.astype(np.float32)
-    return float(model.logits(x.reshape(-1, _D), np.arange(mask.size).reshape(mask.shape), mask).max())
-
-
 def _calibration(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit, both labels weighted alike; the slope stays positive."""
+    """Slope of a logistic fit, both labels weighted alike, positive; the shift puts 0.5 where the fewest texts are on the wrong side, amid the widest such gap."""
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
     mean, scale = worst.mean(), worst.std() + 1e-6
     x, b = np.stack([(worst - mean) / scale, np.ones(len(y))], 1), np.array([1.0, 0.0])
@@ -238,16 +234,43 @@ def _calibration(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         hessian = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag([1e-2 * len(y), 1e-6])
         b = b - np.linalg.solve(hessian, gradient)
         b[0] = max(b[0], 0.1)
-    return float(b[0] / scale), float(b[1] - b[0] * mean / scale)
+    slope = float(b[0] / scale)
+    order = np.argsort(worst, kind="stable")
+    at, label = worst[order], y[order] > 0
+    wrong = np.cumsum(label)[:-1] + (~label).sum() - np.cumsum(~label)[:-1]  # where all from the next one on are called toxic
+    gap = np.where((wrong == wrong[np.diff(at) > 0].min()) & (np.diff(at) > 0), np.diff(at), -1.0) if (np.diff(at) > 0).any() else np.array([0.0])
+    k = int(gap.argmax())
+    return slope, -slope * float(at[k] + at[min(k + 1, len(at) - 1)]) / 2
 
 
-def sample_bags(docs: DataFrame, labels: DataFrame, label: str) -> list[tuple[int, np.ndarray]]:
-    """The windows of a bounded sample of labelled texts, as hashes."""
+def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y and text of a bounded sample of labelled texts, stored."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("y = 0").orderBy(*order).limit(SAMPLE).union(known.where("y = 1").orderBy(*order).limit(SAMPLE))
     # at most 2 * SAMPLE ids are broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
+    return stored(texts.select("doc_id", "y", "text"), "sample")
+
+
+def fit(texts: DataFrame) -> Model:
+    """The model of a bounded sample (doc_id, y, text), calibrated on all windows of these texts."""
+    model = train(bags_of(texts))
+    if model.constant is None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, w in texts_of(batches, "text", kind=ALNUM, fold=True):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.worst(w).astype(np.float64))], ["doc_id", "y", "worst"])
+
+        rows = sorted(texts.mapInArrow(run, "doc_id long, y int, worst double").collect())
+        worst = np.array([r.worst for r in rows])
+        worst = np.maximum(worst, min(worst[worst > NOTHING], default=0.0))
+        model.slope, model.shift = _calibration(worst, np.array([r.y for r in rows], np.float64))
+    return model
+
+
+def bags_of(texts: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """Label and evenly spaced windows, as hashes, of each text of a bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in texts_of(batches, "text", kind=ALNUM, fold=True):
@@ -263,23 +286,25 @@ def sample_bags(docs: DataFrame, labels: DataFrame, label: str) -> list[tuple[in
                 packed.append(out.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "y", "windows"])
 
-    rows = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, windows binary").collect()
+    rows = texts.mapInArrow(run, "doc_id long, y int, windows binary").collect()
     shape = (-1, WINDOW, 1 + len(PREFIXES))
     return [(r.y, np.frombuffer(r.windows, np.uint64).reshape(shape)) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """doc_id, key (a hash of the text), held_out, score, predicted for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(sample_bags(docs, labels, label)))
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep_text: bool = True) -> DataFrame:
+    """docs, with or without the text, and held_out, score, predicted."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels, label)))
+    docs = docs.drop("held_out", "score", "predicted")
+    kept = [c for c in docs.columns if keep_text or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in texts_of(batches, "text", kind=ALNUM, fold=True):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(shared.value.scores(w).astype(np.float64))], ["doc_id", "key", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(shared.value.scores(w).astype(np.float64))], [*kept, "score"])
 
-    scored = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, key long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    schema = StructType([*(f for f in docs.schema.fields if f.name in kept), StructField("score", DoubleType())])
+    return docs.mapInArrow(run, schema).withColumns({"held_out": held_out(), "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, read(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "held_out", "score", "predicted")
