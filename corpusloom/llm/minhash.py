@@ -82,7 +82,7 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set, null if empty), bands."""
+    """doc_id, key (a hash of the text), n_shingles, node (a hash of the set, null if empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in texts_of(batches, "text", fold=True):
@@ -91,14 +91,15 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1))),
                 ],
-                ["doc_id", "n_shingles", "node", "bands"],
+                ["doc_id", "key", "n_shingles", "node", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, key long, n_shingles long, node long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
+    """doc_id, key (a hash of the text), n_shingles, group (null if empty), component_id (its smallest doc_id), kept for each row of docs."""
     close = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * threshold) & (F.col("node") != F.col("a"))
     signed_docs = stored(signatures(docs), "signatures")
     some = signed_docs.where("node is not null")
@@ -177,11 +178,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     names = joined.where("group is not null").groupBy(F.col("group").alias("g")).agg(F.min("doc_id").alias("name"))
     return joined.join(names, F.col("group") == F.col("g"), "left").select(
         "doc_id",
+        "key",
         "n_shingles",
+        "group",
         F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"),
         F.when(F.col("group").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("name"))).alias("kept"),
     )
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -9,7 +9,7 @@ text's score is that of its worst window, calibrated on whole texts.
 The network is trained in numpy on the driver, on a bounded sample: at most SAMPLE texts of each
 label by least hash of doc_id, at most SAMPLE_WINDOWS evenly spaced windows of each. Labels come
 only from rows that are not held out; label, language, source and doc_id are no inputs.
-Workers get the weights (under a megabyte: FEATURES inputs at most, each seen in SEEN texts at least) and score whole texts chunk by chunk.
+Workers get the weights (under a megabyte: FEATURES inputs at most, each seen in SEEN texts at least and more often with one label by TELLING standard errors) and score whole texts chunk by chunk.
 
 Defined results: texts without words score 0, as nothing in them is toxic; repeated rows score
 alike; without labels of both kinds every score is the share of label 1, smoothed;
@@ -32,12 +32,12 @@ from corpusloom.llm.words import ALNUM, Words, texts_of
 
 WINDOW, STRIDE = 64, 48
 PREFIXES = (3, 4, 5, 6)
-SAMPLE, SAMPLE_WINDOWS, FEATURES, SEEN = 1_500, 16, 20_000, 4
+SAMPLE, SAMPLE_WINDOWS, FEATURES, SEEN, TELLING = 1_500, 16, 20_000, 3, 2.3
 FOLDS = 5
 #: The logit of a text without words.
 NOTHING = -1e6
 _D, _H, _A = 8, 8, 8  # sizes of inputs, of a direction's state, of attention
-_EPOCHS, _BATCH, _RATE = 6, 128, 0.01
+_EPOCHS, _STEPS, _BATCH, _RATE = 6, 200, 128, 0.01  # epochs, but steps at least
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -188,17 +188,20 @@ def train(bags: list[tuple[int, np.ndarray]], seed: int = 5) -> Model:
         return Model(np.zeros(0, np.uint64), constant=float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.25)
     rng = np.random.default_rng(seed)
     distinct = [np.unique(h[h > 0]) for _, h in bags]
-    vocabulary, count = np.unique(np.concatenate(distinct), return_counts=True)
-    often = np.lexsort((vocabulary, -count))[:FEATURES]
-    vocabulary = np.sort(vocabulary[often[count[often] >= SEEN]])
-    model = Model.fresh(vocabulary, rng)
-    seen = np.zeros((2, len(vocabulary) + 1))
-    for label, d in zip(y.astype(int), distinct):
-        seen[label][model.numbers(d)] += 1
-    odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / (len(y) - y.sum() + 1))
-    odds[0] = 0
+    toxic = y > 0
+    vocabulary = np.unique(np.concatenate(distinct))
+    seen = np.zeros((2, len(vocabulary)))
+    for label, d in zip(toxic.astype(int), distinct):
+        seen[label][np.searchsorted(vocabulary, d)] += 1
+    seen += 0.5
+    odds = np.log(seen[1] / (toxic.sum() + 1)) - np.log(seen[0] / ((~toxic).sum() + 1))
+    telling = np.abs(odds) / np.sqrt(1 / seen[0] + 1 / seen[1])  # in standard errors
+    known = np.sort(np.lexsort((vocabulary, -telling))[:FEATURES])
+    known = known[(telling[known] > TELLING) & (seen.sum(0)[known] > SEEN)]
+    model = Model.fresh(vocabulary[known], rng)
     # the first input is how much a feature tells of the label; training goes on from there
-    model.weights["E"][:, 0] = np.where(np.abs(odds) > 1, odds / 4, 0)
+    odds = np.append(0.0, odds[known])
+    model.weights["E"][:, 0] = odds / 4
 
     chosen, labels = [], []
     for label, h in bags:
@@ -210,7 +213,7 @@ def train(bags: list[tuple[int, np.ndarray]], seed: int = 5) -> Model:
     numbers, target = np.concatenate(chosen), np.array(labels, np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     t = 0
-    for _ in range(_EPOCHS):
+    for _ in range(max(_EPOCHS, -(-_STEPS * _BATCH // len(target)))):
         order = rng.permutation(len(target))
         for a in range(0, len(order), _BATCH):
             some = numbers[order[a : a + _BATCH]].transpose(1, 0, 2)
