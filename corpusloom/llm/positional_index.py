@@ -33,6 +33,8 @@ from corpusloom.llm.words import ALNUM, Words, texts_of
 WINDOW = 10
 #: Bytes of test text that are sent to the workers at once.
 SLICE_BYTES = 8 << 20
+#: Postings that are shifted and intersected at once.
+PIECE = 1 << 18
 _INDEX = "doc_ids array<long>, keys array<long>, counts array<int>, terms binary, ends binary, positions binary"
 
 
@@ -128,31 +130,34 @@ class _Segment:
         self.counts = np.array(row["counts"], np.int64)
         self.doc_first = np.concatenate(([0], np.cumsum(self.counts)))
 
-    def starts(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-        """Phrase and position of each place where a phrase begins."""
-        here = np.diff(self.first) > 0
-        some = np.flatnonzero((here[phrases.rows] | (phrases.rows < 0)).all(1))
-        phrase, start = self._rarest(phrases, some)
-        for level in range(1, phrases.window):
-            offset = phrases.order[phrase, level]
-            term = phrases.rows[phrase, offset]
-            ok = (term < 0) | _find(self.postings, term << 32 | start + offset)[1]
-            phrase, start = phrase[ok], start[ok]
-        return phrase, start
-
-    def _rarest(self, phrases: Phrases, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The shifted postings of the rarest term of some phrases, inside one document."""
+    def candidates(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Phrases whose terms are all here, with the postings of each one's rarest term: pieces of about PIECE postings."""
+        here = np.append(np.diff(self.first) > 0, True)  # a lack of a term, -1, is never in the way
+        some = np.flatnonzero(here[phrases.rows].all(1))
         offset = phrases.order[some, 0]
         term = phrases.rows[some, offset]
         a, n = self.first[term], self.first[term + 1] - self.first[term]
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        phrase = np.repeat(some, n)
-        start = (self.postings[at] & 0xFFFFFFFF) - np.repeat(offset, n)
-        end = start + phrases.sizes[phrase] - 1
-        ok = (start >= 0) & (end < self.doc_first[-1])
-        phrase, start, end = phrase[ok], start[ok], end[ok]
-        ok = self.doc(start) == self.doc(end)
-        return phrase[ok], start[ok]
+        piece = np.cumsum(n) // PIECE
+        for lo, hi in zip(np.searchsorted(piece, u := np.unique(piece)), np.searchsorted(piece, u, "right")):
+            k, size = slice(lo, hi), n[lo:hi]
+            at = np.repeat(a[k] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            yield np.repeat(some[k], size), self.postings[at] & 0xFFFFFFFF
+
+    def starts(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Phrase and position of the places where a phrase begins, in pieces."""
+        for phrase, start in self.candidates(phrases):
+            start = start - phrases.order[phrase, 0]
+            end = start + phrases.sizes[phrase] - 1
+            ok = (start >= 0) & (end < self.doc_first[-1])
+            phrase, start, end = phrase[ok], start[ok], end[ok]
+            ok = self.doc(start) == self.doc(end)
+            phrase, start = phrase[ok], start[ok]
+            for level in range(1, phrases.window):
+                offset = phrases.order[phrase, level]
+                term = phrases.rows[phrase, offset]
+                ok = (term < 0) | _find(self.postings, term << 32 | start + offset)[1]
+                phrase, start = phrase[ok], start[ok]
+            yield phrase, start
 
     def doc(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.doc_first, position, "right") - 1
@@ -172,10 +177,12 @@ def _segments(index: DataFrame, phrases: Phrases, work, schema: str) -> DataFram
 
 def _phrase_hits(index: DataFrame, phrases: Phrases) -> DataFrame:
     def work(row: dict, s: _Segment) -> pa.RecordBatch:
-        phrase, start = s.starts(phrases)
         edge = np.zeros(int(s.doc_first[-1]) + 1, np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + phrases.sizes[phrase], -1)
+        pairs: set[tuple[int, int]] = set()
+        for phrase, start in s.starts(phrases):
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + phrases.sizes[phrase], -1)
+            pairs.update(zip(s.doc(start).tolist(), phrase.tolist()))
         hit = np.cumsum(edge[:-1]) > 0
         turns = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
         spans: list[list] = [[] for _ in s.counts]
@@ -184,7 +191,7 @@ def _phrase_hits(index: DataFrame, phrases: Phrases) -> DataFrame:
                 if (lo := max(a, int(s.doc_first[d]))) < (hi := min(z, int(s.doc_first[d + 1]))):
                     spans[d].append({"start": lo - int(s.doc_first[d]), "end": hi - int(s.doc_first[d])})
         items: list[set] = [set() for _ in s.counts]
-        for d, p in set(zip(s.doc(start).tolist(), phrase.tolist())):
+        for d, p in pairs:
             items[d].update(phrases.items[p])
         return pa.RecordBatch.from_arrays(
             [pa.array(row["doc_ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(s.counts), pa.array(spans, _SPANS), pa.array(map(sorted, items), pa.list_(pa.int64()))],
@@ -211,10 +218,10 @@ def find_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, slice_
         phrases = Phrases(part, window)
         index = stored(build_index(docs, phrases.terms), "postings")
         phrases.rank(term_counts(index, phrases.terms))
-        found.append(_phrase_hits(index, phrases))
+        found.append(_phrase_hits(index, phrases).withColumn("slice", F.lit(len(found))))
     hits = found[0]
     if len(found) > 1:  # rows of one doc_id and text have equal hits in a slice, so a row of each is enough
-        one = reduce(DataFrame.union, found).groupBy("doc_id", "key", "n_words", "spans", "items").agg(F.count("*").alias("n"))
+        one = reduce(DataFrame.union, found).groupBy("slice", "doc_id", "key", "n_words", "spans", "items").agg(F.count("*").alias("n"))
         united = one.groupBy("doc_id", "key", "n_words").agg(F.max("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         hits = united.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc_id", "key", "n_words", "spans", F.array_sort("items").alias("items"))
     covered = F.aggregate(
@@ -235,19 +242,16 @@ def proximity(docs: DataFrame, items: DataFrame, distance: int, window: int = WI
         phrases.rank(term_counts(index, phrases.terms))
 
         def work(row: dict, s: _Segment, phrases=phrases) -> pa.RecordBatch:
-            here = np.diff(s.first) > 0
-            some = np.flatnonzero((here[phrases.rows] | (phrases.rows < 0)).all(1))
-            term = phrases.rows[some, phrases.order[some, 0]]
-            a, n = s.first[term], s.first[term + 1] - s.first[term]
-            phrase = np.repeat(some, n)
-            centre = s.postings[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())] & 0xFFFFFFFF
-            for level in range(1, phrases.window):
-                t = phrases.rows[phrase, phrases.order[phrase, level]]
-                doc = s.doc(centre)
-                low, high = np.maximum(centre - distance, s.doc_first[doc]), np.minimum(centre + distance, s.doc_first[doc + 1] - 1)
-                ok = (t < 0) | (np.searchsorted(s.postings, t << 32 | high, "right") > np.searchsorted(s.postings, t << 32 | low))
-                phrase, centre = phrase[ok], centre[ok]
-            pairs = sorted({(row["doc_ids"][d], i) for d, p in zip(s.doc(centre), phrase) for i in phrases.items[p]}, key=str)
+            found: set[tuple[int, int]] = set()
+            for phrase, centre in s.candidates(phrases):
+                for level in range(1, phrases.window):
+                    t = phrases.rows[phrase, phrases.order[phrase, level]]
+                    doc = s.doc(centre)
+                    low, high = np.maximum(centre - distance, s.doc_first[doc]), np.minimum(centre + distance, s.doc_first[doc + 1] - 1)
+                    ok = (t < 0) | (np.searchsorted(s.postings, t << 32 | high, "right") > np.searchsorted(s.postings, t << 32 | low))
+                    phrase, centre = phrase[ok], centre[ok]
+                found.update(zip(s.doc(centre).tolist(), phrase.tolist()))
+            pairs = sorted({(row["doc_ids"][d], i) for d, p in found for i in phrases.items[p]}, key=str)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["doc_id", "item_id"])
 
         found.append(_segments(index, phrases, work, "doc_id long, item_id long"))
