@@ -7,9 +7,9 @@ for certain. Documents of one set are one node from the start. Nodes that share
 coordinates are candidates; at the threshold a pair escapes all BANDS bands with probability 3e-6.
 
 Within a bucket no pairs are listed: all members are verified against the most central
-one. Where members then still lie in different components, those outside the
-bucket's largest component are verified against the members of the others. So every pair that
-shares a band is linked, known to be no link, or inside one component. Links are confirmed on full sets.
+one. Members that then still lie in different components are joined on prefixes of the shingles in which they differ from the
+central member: two that are linked, but not both with it, differ from it in much the same way. So every pair that shares a band is
+linked, known to be no link, or inside one component, while the pairs of a group are never listed. Links are confirmed on full sets.
 
 Defined results: a document without words is linked with nothing and kept; fewer
 than five words are one shingle; repeated rows and equal sets are one node; a
@@ -134,6 +134,48 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _open(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of keys whose nodes lie in several components, with the largest one as most (k, component)."""
+    parts = rows.groupBy(key, "component").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy(key).agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("most")).where("parts > 1")
+    return rows.join(mixed.select(key, "most"), key)
+
+
+def differences(x: np.ndarray, y: np.ndarray, threshold: int) -> tuple[np.ndarray, int]:
+    """A prefix of the shingles that a set x and a central set y don't share, those of x first, and the number of all.
+
+    Call these shingles D(x). Two sets link if at most b = (100 - t) / (100 + t) of both sizes is in one of them alone, and what is in one of
+    them alone is what is in D of one alone. So if one of two linked sets doesn't link to y, their D share a shingle,
+    and so many that both prefixes hold a common one: for a set that links to y more than (d + b (|y| - |x|)) / 2, for another at
+    least d - |x| (100 - t) / t, d being the size of D(x).
+    """
+    own, other = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+    d, shared, n = len(own) + len(other), len(x) - len(own), len(x)
+    if 100 * shared >= threshold * (n + len(y) - shared):
+        least = ((100 + threshold) * d + (100 - threshold) * (len(y) - n)) // (2 * (100 + threshold)) + 1
+    else:
+        least = max(1, d - n * (100 - threshold) // threshold)
+    return np.concatenate([own, other])[: max(0, d - least + 1)], d
+
+
+def _differing(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """node, n, component, key (the hash of a central member a and of a shingle of the node's differences from it), d of them, left from this one on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, node, n, component, x, y = (batch.column(k)[i].as_py() for k in range(6))
+                some, d = differences(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold)
+                keys = signed(mix(some + mix(np.array([a], np.int64).view(np.uint64))))
+                same = [np.full(len(keys), v, np.int64) for v in (node, n, component, d)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (keys, *same, d - np.arange(len(keys)))], ["key", "node", "n", "component", "d", "left"])
+
+    of = rows.select("a", "node", "n", "component").distinct()
+    one = sets.select("node", F.col("items").alias("x"))
+    two = sets.select(F.col("node").alias("a"), F.col("items").alias("y"))
+    return of.join(one, "node").join(two, "a").select("a", "node", "n", "component", "x", "y").mapInArrow(run, "key long, node long, n long, component long, d long, left long")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, group (null if empty), component_id (its smallest doc_id), kept for each row of docs."""
     close = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * threshold) & (F.col("node") != F.col("a"))
@@ -157,20 +199,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     links = stored(_confirmed(stars, sets, threshold), "links")
     labels = components(links)
-    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = stored(placed, "placed")
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("most")).where("parts > 1")
-    open_rows = placed.join(mixed.select("bucket", F.col("most.component").alias("largest")), "bucket")
-    strays = open_rows.where("component != largest").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
-    rest = (
-        open_rows.join(strays, "bucket")
-        .where(close & (F.col("component") != F.col("component_a")))
-        .select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
-        .distinct()
-    )
     tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = stored(_confirmed(rest.join(tested, ["a", "b"], "left_anti"), sets, threshold), "links")
+    placed = stored(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    differing = stored(_differing(_open(placed, "bucket").join(leaders, "bucket"), sets, threshold), "differing")
+    rows = _open(differing, "key")
+    strays = rows.where("component != most.component").select("key", *(F.col(c).alias(f"{c}_a") for c in ("n", "component", "d", "left")), F.col("node").alias("a"))
+    # two that link share (d + d_a - b (n + n_a)) / 2 differences at least; from their first common one on, both must have so many
+    shared = (100 + threshold) * (F.col("d") + F.col("d_a")) - (100 - threshold) * (F.col("n") + F.col("n_a"))
+    enough = (F.least("left", "left_a") * (2 * (100 + threshold)) >= shared) & (F.col("component") != F.col("component_a"))
+    rest = rows.join(strays, "key").where(close & enough)
+    rest = rest.select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b")).distinct()
+    rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = stored(_confirmed(rest, sets, threshold), "links")
     if more.take(1):
         labels = components(links.union(more))
 
