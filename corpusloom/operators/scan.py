@@ -1,6 +1,6 @@
 """The line scan: files to lines, lines to findings.
 
-Rules are no join: they become one projection. A union of all patterns lets few lines through, and only for those each
+Rules are no join: they become one projection. Plain words that the patterns need let few lines through, and only for those each
 rule's own patterns and check are evaluated. A line is one finding of a rule at most.
 """
 
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.prefilter import may_match
 from corpusloom.functions.rules import SEVERITIES, Rule, built_in
 from corpusloom.functions.text import any_of, deep_language, scan_language, search, shown
 
@@ -62,7 +63,11 @@ def find(lines: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
         note = r.context(line, path) if r.context else F.lit("")
         hit = F.when(_applies(r) & search(line, any_of(r.patterns), True), note)
         cases.append(F.struct(F.lit(n).alias("rule_ord"), F.lit(r.id).alias("rule_id"), hit.alias("context_note")))
-    gate = search(line, any_of(p for r in rules for p in r.patterns), True)
+    # texts meet only the rules for all languages
+    some = sorted({x for r in rules for x in r.languages} - {"all"})
+    gate = may_match(line, [p for r in rules if "all" in r.languages for p in r.patterns])
+    if some:
+        gate = F.when(F.col("language").isin(some), may_match(line, [p for r in rules for p in r.patterns])).otherwise(gate)
     hits = lines.where(gate).select("path", "line_number", "line", F.explode(F.filter(F.array(*cases), lambda x: x["context_note"].isNotNull())).alias("hit"))
     return hits.select("path", "line_number", "hit.rule_ord", "hit.rule_id", shown(line).alias("matched_line"), "hit.context_note")
 
