@@ -1,6 +1,6 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``build_index`` stores token postings of the documents, one row for each segment of about two megabytes
+``build_index`` stores token postings of the documents, one row for each segment of about a megabyte
 of text: its documents, its distinct terms, and the positions of each term. ``search`` looks
 for test phrases: in each segment it takes the postings of a phrase's rarest term, by
 counts over the whole index, shifts them to where the phrase would begin, and

@@ -34,6 +34,8 @@ WINDOW, STRIDE = 64, 48
 PREFIXES = (3, 4, 5, 6)
 SAMPLE, SAMPLE_WINDOWS, FEATURES, SEEN, TELLING = 1_500, 16, 20_000, 3, 2.3
 FOLDS = 5
+#: Windows that a worker scores at once.
+BATCH = 1_024
 #: The logit of a text without words.
 NOTHING = -1e6
 _D, _H, _A = 8, 8, 8  # sizes of inputs, of a direction's state, of attention
@@ -173,11 +175,11 @@ class Model:
         x = np.concatenate([self.weights["E"][self.numbers(h)].sum(1), np.zeros((1, _D), np.float32)])
         text, first, size = windows(w)
         worst = np.full(w.texts, -np.inf)
-        for a in range(0, len(text), 8_192):
+        for a in range(0, len(text), BATCH):
             at = np.arange(WINDOW)[:, None]
-            mask = (at < size[a : a + 8_192]).astype(np.float32)
-            index = np.where(mask > 0, np.append(number, 0)[np.minimum(first[a : a + 8_192] + at, len(number))], len(x) - 1)
-            np.maximum.at(worst, text[a : a + 8_192], self.logits(x, index, mask))
+            mask = (at < size[a : a + BATCH]).astype(np.float32)
+            index = np.where(mask > 0, np.append(number, 0)[np.minimum(first[a : a + BATCH] + at, len(number))], len(x) - 1)
+            np.maximum.at(worst, text[a : a + BATCH], self.logits(x, index, mask))
         return np.where(w.counts > 0, worst, NOTHING)
 
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are hashed together; a longer text makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _constants(seed: int, n: int) -> np.ndarray:
