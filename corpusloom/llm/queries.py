@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import ann, byte_bpe, kneser_ney, minhash, positional_index, sharding, substrings, token_counts, toxicity, url_filter
+from corpusloom.llm import ann, byte_bpe, kneser_ney, minhash, positional_index, sharding, sql, substrings, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,4 +17,9 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 
-ORACLE_SQL = {"op7_url_filters": url_filter.SQL}
+ORACLE_SQL = {
+    "op3_substring_dedup": sql.SUBSTRINGS,
+    "op4_decontamination": sql.PHRASES,
+    "op6_minhash": sql.NEAR_DUPLICATES,
+    "op7_url_filters": url_filter.SQL,
+}
