@@ -188,7 +188,49 @@ grouped AS (SELECT path, chain_name, severity, count(*) AS n_paths, least(1.0, (
     string_agg('line ' || source_line || ' -> line ' || sink_line, chr(10) ORDER BY place) FILTER (WHERE place <= 3) AS shown FROM ranked GROUP BY path, chain_name, severity)
 SELECT path, chain_name, severity, n_paths, round(confidence, 6) AS confidence, '[' || upper(severity) || '] ' || chain_name || ' (' || floor(round(confidence * 100, 6))::INTEGER || '%)' || chr(10) || shown AS summary FROM grouped"""
 
+# What the syntax of each Python snippet holds, read off by hand: the documents' own lines are comments there.
+FACTS = """snippet(path, k) AS (SELECT path, regexp_extract(path, '([0-9]+)', 1)::BIGINT % {n} FROM files),
+fn(k, name, line_start, line_end) AS (VALUES (1, 'run', 2, 6), (2, 'fetch', 2, 5), (2, 'main', 6, 7), (3, 'safe', 1, 6), (6, 'first', 1, 2), (6, 'second', 3, 4), (6, 'third', 5, 7)),
+call(k, caller, callee, line) AS (VALUES (1, 'run', 'input', 3), (1, 'run', 'subprocess.run', 5), (2, 'fetch', 'requests.get', 3), (2, 'fetch', 'base64.b64decode', 4), (2, 'fetch', 'exec', 5), (2, 'main', 'fetch', 7),
+    (3, 'safe', 'input', 2), (3, 'safe', 'name.isalnum', 3), (3, 'safe', 'os.system', 5), (6, 'first', 'second', 2), (6, 'second', 'third', 4), (6, 'third', 'first', 6), (6, 'third', 'print', 7)),
+imported(k, name) AS (VALUES (0, 'os'), (0, 'requests'), (1, 'subprocess'), (2, 'requests'), (2, 'base64'), (4, 'hashlib'), (4, 'random')),
+source(k, name, kind, line) AS (VALUES (1, 'cmd', 'stdin', 3), (2, 'page', 'network_recv', 3), (3, 'name', 'stdin', 2), (5, 'data', 'file_read', 2)),
+derived(k, name, source_var) AS (VALUES (1, 'full', 'cmd'), (2, 'code', 'page')),
+flow(k, source_var, sink_name, sink_kind, sink_line, confidence) AS (VALUES (1, 'cmd', 'subprocess.run', 'command_exec', 5, 0.85::DOUBLE), (2, 'page', 'exec', 'code_exec', 5, 0.85::DOUBLE), (3, 'name', 'os.system', 'command_exec', 5, 0.3::DOUBLE)),
+edges AS (SELECT path, caller, callee, line FROM snippet JOIN call USING (k)),
+calls AS (SELECT DISTINCT path, caller, callee FROM edges),
+pairs AS (SELECT DISTINCT path, source, callee AS target FROM edges JOIN (SELECT path, min(caller) AS source FROM edges GROUP BY path) USING (path))""".format(n=len(SNIPPETS))
+SYNTAX = f"WITH RECURSIVE {CODE}, {FACTS}"
+REACH = f"""{SYNTAX}, steps(path, source, target, depth) AS (SELECT path, caller, callee, 1 FROM calls
+    UNION SELECT s.path, s.source, c.callee, s.depth + 1 FROM steps s JOIN calls c ON c.path = s.path AND c.caller = s.target WHERE s.depth < 5),
+reach AS (SELECT DISTINCT path, source, target FROM steps)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "rules_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"({q(r.id)}, {n}, {q(r.severity)}, {q(r.category)}, {q(','.join(r.languages))})" for n, r in enumerate(RULES)) + ") AS t(rule_id, rule_ord, severity, category, languages)",
+    "syntax_functions": f"{SYNTAX} SELECT path, name, 'function' AS kind, line_start, line_end FROM snippet JOIN fn USING (k)",
+    "syntax_calls": f"{SYNTAX} SELECT * FROM edges",
+    "syntax_imports": f"{SYNTAX} SELECT path, name FROM snippet JOIN imported USING (k)",
+    "syntax_errors": f"{SYNTAX} SELECT path FROM snippet WHERE k = 23",
+    "taint_syntax_sources": f"{SYNTAX} SELECT path, name, kind, line FROM snippet JOIN source USING (k)",
+    "taint_syntax_tainted": f"{SYNTAX} SELECT path, name, kind, line, name AS source_var FROM snippet JOIN source USING (k) UNION ALL SELECT path, d.name, s.kind, s.line, s.name FROM snippet JOIN derived d USING (k) JOIN source s ON s.k = d.k AND s.name = d.source_var",
+    "taint_syntax_paths": f"{SYNTAX} SELECT path, f.source_var, s.kind AS source_kind, s.line AS source_line, sink_name, sink_kind, sink_line, confidence FROM snippet JOIN flow f USING (k) JOIN source s ON s.k = f.k AND s.name = f.source_var",
+    "calls_reachable": f"{REACH} SELECT * FROM reach",
+    "calls_on_cycle": f"{REACH} SELECT path, source AS name FROM reach WHERE source = target",
+    "calls_has_path": f"{REACH} SELECT p.path, p.source, p.target, p.source = p.target OR r.path IS NOT NULL AS connected FROM pairs p LEFT JOIN reach r ON r.path = p.path AND r.source = p.source AND r.target = p.target",
+    "calls_all_paths": f"""{SYNTAX}, walk(path, source, target, here, names) AS (SELECT path, source, target, source, [source] FROM pairs
+        UNION ALL SELECT w.path, w.source, w.target, e.callee, list_append(w.names, e.callee) FROM walk w JOIN edges e ON e.path = w.path AND e.caller = w.here
+        WHERE w.here <> w.target AND len(w.names) <= 5 AND NOT list_contains(w.names[:-2], e.callee))
+        SELECT path, source, target, array_to_string(names, '>') AS names FROM walk WHERE here = target""",
+    "calls_cycles": f"""{SYNTAX}, walk(path, here, names) AS (SELECT path, callee, [caller, callee] FROM calls
+        UNION ALL SELECT w.path, c.callee, list_append(w.names, c.callee) FROM walk w JOIN calls c ON c.path = w.path AND c.caller = w.here
+        WHERE w.here > w.names[1] AND len(w.names) <= 5 AND NOT list_contains(w.names[2:], c.callee))
+        SELECT path, array_to_string(names, '>') AS names FROM walk WHERE here = names[1]""",
+    "calls_neighbours": f"""{SYNTAX}, o AS (SELECT path, caller AS name, string_agg(callee, ',' ORDER BY callee) AS callees FROM calls GROUP BY ALL),
+        i AS (SELECT path, callee AS name, string_agg(caller, ',' ORDER BY caller) AS callers FROM calls GROUP BY ALL)
+        SELECT path, name, coalesce(callees, '') AS callees, coalesce(callers, '') AS callers FROM o FULL JOIN i USING (path, name)""",
+    "calls_degrees": f"""{SYNTAX}, ends AS (SELECT path, caller AS name, 1 AS o, 0 AS i FROM edges UNION ALL SELECT path, callee, 0, 1 FROM edges),
+        sums AS (SELECT path, name, sum(o)::BIGINT AS o, sum(i)::BIGINT AS i FROM ends GROUP BY ALL)
+        SELECT path, count(*) AS total_nodes, sum(o)::BIGINT AS total_edges, count(*) FILTER (WHERE o = 0 AND i = 0) AS isolated_nodes, max(i) AS max_callers, max(o) AS max_callees FROM sums GROUP BY path""",
     "rules_by_severity": f"{findings()} SELECT rule_id, severity, count(*) AS n FROM findings GROUP BY rule_id, severity",
     "languages": f"WITH {CODE}, l AS (SELECT path, {LANGUAGE} AS language, {DEEP} AS deep_language FROM files) SELECT *, {TAINT_LANGUAGE} AS taint_language FROM l",
     "lines": f"WITH {TEXT}, {LINES} SELECT path, line_number, line FROM lines",
