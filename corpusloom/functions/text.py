@@ -108,3 +108,17 @@ def deep_language(path: Column) -> Column:
 def taint_language(language: Column) -> Column:
     pairs = [F.lit(x) for pair in TAINT_LANGUAGES.items() for x in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), language), F.lit("python"))
+
+
+def glob_pattern(glob: str) -> str:
+    """A file glob as a regular expression for whole paths: * stays in a folder, ** crosses folders, ? is one character."""
+    out, i = "", 0
+    while i < len(glob):
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            c = glob[i]
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, f"\\{c}" if c in "\\.[]{}()+-^$|" else c), i + 1
+    return rf"(?s)\A{out}\z"
