@@ -144,7 +144,7 @@ def test_rules_make_no_join(spark):
 def test_globs(spark):
     from corpusloom.functions.text import glob_pattern
 
-    cases = {"*.py": ["a.py"], "**/*.py": ["a.py", "x/a.py", "x/y/a.py"], "x/**": ["x/a.py", "x/y/a.py"], "x/?.py": ["x/a.py"], "a.py": ["a.py"], "x/*/a.py": ["x/y/a.py"]}
+    cases = {"*.py": ["a.py"], "**/*.py": ["a.py", "x/a.py", "x/y/a.py"], "x/**": ["x/a.py", "x/ab.c", "x/y/a.py"], "x/?.py": ["x/a.py"], "a.py": ["a.py"], "x/*/a.py": ["x/y/a.py"]}
     paths = spark.createDataFrame([(p,) for p in ("a.py", "x/a.py", "x/y/a.py", "aXpy", "x/ab.c")], "path string")
     for glob, want in cases.items():
         assert [r.path for r in paths.where(F.rlike("path", F.lit(glob_pattern(glob)))).orderBy("path").collect()] == want
