@@ -49,7 +49,7 @@ def text_flows(files: DataFrame) -> DataFrame:
 
     def line(x: Column, i: Column) -> Column:
         text = F.rtrim(x, F.lit("\n"))
-        return F.struct((i + 1).alias("n"), text.alias("text"), assigned(text).alias("var"), F.rlike(stripped(text), F.lit('^(?:#|""")')).alias("skip"))
+        return F.struct((i + 1).alias("n"), text.alias("text"), F.when(F.contains(text, F.lit("=")), assigned(text)).alias("var"), F.rlike(text, F.lit(r'(?U)^\s*(?:#|""")')).alias("skip"))
 
     rows = known.select("path", "sources", "sinks", F.transform(lines_of(F.col("content")), line).alias("lines"))
     code = F.filter("lines", lambda x: ~x["skip"])

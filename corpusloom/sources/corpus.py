@@ -38,6 +38,12 @@ SNIPPETS = [
 ]
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many partitions as there are cores at least; large tables have more by themselves and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def clean(text):
     """Lines end in \\n alone."""
     return F.regexp_replace(text, "\r\n|\r", "\n")
@@ -45,7 +51,7 @@ def clean(text):
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file for each document: path, content."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     snippets = spark.createDataFrame([(i, *s) for i, s in enumerate(SNIPPETS)], "k int, extension string, mark string, code string")
     # as many rows as there are snippets are broadcast
     joined = docs.join(F.broadcast(snippets), F.pmod(F.col("doc_id"), F.lit(len(SNIPPETS))).cast("int") == F.col("k"))
@@ -55,7 +61,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of documents and conversations, and the html of pages: path, content."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.format_string("documents/%d.txt", "doc_id").alias("path"), F.col("text").alias("content"))
-    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.format_string("conversations/%d-%d.txt", "conv_id", "turn").alias("path"), F.col("text").alias("content"))
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.format_string("pages/%d.html", "page_id").alias("path"), F.col("html").alias("content"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").select(F.format_string("documents/%d.txt", "doc_id").alias("path"), F.col("text").alias("content"))
+    talks = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"), "conv_id").select(F.format_string("conversations/%d-%d.txt", "conv_id", "turn").alias("path"), F.col("text").alias("content"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").select(F.format_string("pages/%d.html", "page_id").alias("path"), F.col("html").alias("content"))
     return docs.union(talks).union(pages).where("content is not null").withColumn("content", clean(F.col("content")))
