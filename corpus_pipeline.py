@@ -1,7 +1,7 @@
 """The cleaning of a corpus, stage by stage; each stage's rows are written and read again as the next one's input.
 
 1. toxicity: documents that the classifier rejects go.
-2. near-duplicates: one document of each group stays, the one with the smallest doc_id.
+2. near-duplicates: one document of each group stays, the one with the smallest doc_id; two are linked if they share SIMILAR per cent of their five-word shingles.
 3. substring dedup: words in passages that occur earlier go; a document of which nothing is left goes.
 4. decontamination: documents that hold a window of the benchmark go.
 5. byte-level BPE: adds ids, their number, and whether they decode to the text.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import byte_bpe, minhash, positional_index, substrings, toxicity
 from corpusloom.llm.tables import read, shared_dir
 
+#: Per cent of the union of shingles from which two documents are near copies; op6 has a threshold of its own.
+SIMILAR = 80
 #: The stages decide on learnt scores and write token ids, which SQL can't state.
 ORACLE_SQL = None
 
@@ -31,7 +33,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, threshold=SIMILAR)
     texts = found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("key").alias("text_key"), "rows")).alias("first")
     kept = texts.where("group is not null").groupBy("group").agg(first).select("first.*")

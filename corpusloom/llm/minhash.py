@@ -3,8 +3,8 @@
 A document is its set of distinct five-word shingles. Its sketch of T coordinates is filled in rounds: in each
 round every shingle is thrown into one hashed bin with a hashed value, the smallest stays, and a
 document leaves when all bins are full; from round T on, round T + i fills bin i
-for certain. Documents of one set are one node from the start. Nodes that share a band of ROWS
-coordinates are candidates; at the threshold a pair escapes all BANDS bands with probability 3e-6.
+for certain. Documents of one set are one node from the start. Nodes that share a band of
+coordinates are candidates; bands and their rows follow from the threshold, so that a pair at it escapes all bands with probability MISS at most.
 
 Within a bucket no pairs are listed: all members are verified against the most central
 one. Members that then still lie in different components are joined on prefixes of the shingles in which they differ from the
@@ -19,6 +19,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,25 @@ from corpusloom.llm.tables import read, stored
 from corpusloom.llm.words import U64, Words, grams, mix, signed, texts_of
 
 SHINGLE = 5
-THRESHOLD = 85  # per cent of the union
-BANDS, ROWS = 40, 8
-T = BANDS * ROWS
+THRESHOLD = 85  # per cent of the union, in op6
+MISS = 3e-6
+MOST = 320  # coordinates of a sketch, unless bands of one row need more
 _EMPTY = U64((1 << 64) - 1)
 
 
+def banding(threshold: int) -> tuple[int, int]:
+    """Bands, and rows of each: the most rows with which MOST coordinates let a pair at the threshold (per cent) escape with probability MISS at most."""
+    if not 0 < threshold <= 100:
+        raise ValueError(f"a threshold of {threshold} per cent is not above 0 and at most 100")
+    if threshold == 100:
+        return 1, MOST
+    bands = lambda rows: math.ceil(math.log(MISS) / math.log1p(-((threshold / 100) ** rows)))
+    rows = 1
+    while bands(rows + 1) * (rows + 1) <= MOST:
+        rows += 1
+    return bands(rows), rows
+
+
 def shingle_sets(w: Words, k: int = SHINGLE) -> list[np.ndarray]:
     """For each text its distinct shingles, sorted."""
     whole = w.grams(k)
@@ -47,7 +61,7 @@ def shingle_sets(w: Words, k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
+def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     """A row of t coordinates for each set; those of an empty set stay empty."""
     sizes = np.array([len(s) for s in sets], np.int64)
     out = np.full((len(sets), t), _EMPTY, np.uint64)
@@ -67,7 +81,7 @@ def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     return out
 
 
-def band_hashes(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_hashes(sketch: np.ndarray, bands: int) -> np.ndarray:
     """One hash for each band of each sketch; other bands never share a hash but by chance."""
     rows = sketch.shape[1] // bands
     parts = sketch.reshape(len(sketch), bands, rows)
@@ -81,20 +95,21 @@ def set_hash(s: np.ndarray) -> int:
     return int(mix(np.bitwise_xor.reduce(mix(s, 501), keepdims=True) + mix(np.sum(mix(s, 502), keepdims=True)) + U64(len(s)))[0].view(np.int64)) if len(s) else 0
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, node (a hash of the set, null if empty), bands."""
+    n, rows = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in texts_of(batches, "text", fold=True):
             sets = shingle_sets(w)
-            bands = signed(band_hashes(sketches(sets)))
+            bands = signed(band_hashes(sketches(sets, n * rows), n))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n), pa.array(bands.reshape(-1))),
                 ],
                 ["doc_id", "key", "n_shingles", "node", "bands"],
             )
@@ -179,7 +194,7 @@ def _differing(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, group (null if empty), component_id (its smallest doc_id), kept for each row of docs."""
     close = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * threshold) & (F.col("node") != F.col("a"))
-    signed_docs = stored(signatures(docs), "signatures")
+    signed_docs = stored(signatures(docs, threshold), "signatures")
     some = signed_docs.where("node is not null")
     nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))

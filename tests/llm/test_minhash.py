@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from corpusloom.llm.minhash import differences, near_duplicates
+from corpusloom.llm.minhash import band_hashes, banding, differences, near_duplicates, sketches
 
 
 def shingles(text):
@@ -85,3 +85,35 @@ def test_linked_sets_share_a_difference_from_a_centre_that_one_of_them_misses():
             left = min(d - first, e - q.tolist().index(p[first]))
             assert 370 * left >= 185 * (d + e) - 15 * (len(x) + len(y)), (x, y, z)
     assert tried > 100
+
+
+def test_bands_follow_the_threshold():
+    assert banding(85) == (40, 8)
+    for t in (5, 30, 50, 70, 80, 90, 99):
+        bands, rows = banding(t)
+        assert (1 - (t / 100) ** rows) ** bands <= 3e-6
+    rng = np.random.default_rng(1)
+    for t, n in ((50, 60), (80, 20), (80, 90)):  # pairs of n shared shingles at the threshold exactly
+        bands, rows = banding(t)
+        own = n * (100 - t) // t // 2
+        sets = [rng.integers(0, 1 << 63, n + 2 * own).astype(np.uint64) for _ in range(300)]
+        x, y = ([np.unique(np.append(s[:n], s[n + k * own : n + (k + 1) * own])) for s in sets] for k in (0, 1))
+        x, y = (band_hashes(sketches(v, bands * rows), bands) for v in (x, y))
+        assert (x == y).any(1).all()
+
+
+def test_components_at_other_thresholds(spark):
+    rng = random.Random(11)
+    rows = []
+    for family in range(6):
+        base = [f"{family}w{rng.randrange(10_000)}" for _ in range(150)]
+        rows += [(len(rows) + k, edited(rng, base, rng.choice([0, 1, 2, 4, 6, 9, 14]))) for k in range(25)]
+    sets = [shingles(t) for _, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for t in (50, 80):
+        name = list(range(len(rows)))
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets[:a]):
+                if name[a] != name[b] and 100 * len(x & y) >= t * len(x | y):
+                    name = [min(name[a], name[b]) if n in (name[a], name[b]) else n for n in name]
+        assert {r.doc_id: r.component_id for r in near_duplicates(df, t).collect()} == dict(enumerate(name))

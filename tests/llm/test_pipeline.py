@@ -65,3 +65,16 @@ def test_stages_keep_the_columns_and_stand_empty_tables(spark, corpus):
         out = stage(spark, empty, at)
         assert out.columns[: len(empty.columns)] == empty.columns
         assert out.count() == 0
+
+
+def test_near_copies_from_four_fifths_on_are_one_group(spark):
+    rng = random.Random(9)
+    rows = []
+    for n in range(30):
+        words = prose(rng, 104).split()  # 100 shingles
+        near, far = list(words), list(words)
+        near[20], near[60] = "changed", "changed"  # 90 of 110 shingles: 0.82
+        far[20], far[50], far[80] = "other", "other", "other"  # 85 of 115, 0.74; 75 of 125 with near
+        rows += [(3 * n, " ".join(words)), (3 * n + 1, " ".join(near)), (3 * n + 2, " ".join(far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in one_of_each_group(spark, docs, "").collect()} == {i for i, _ in rows if i % 3 != 1}
