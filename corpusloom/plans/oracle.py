@@ -221,6 +221,13 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT w.path, w.source, w.target, e.callee, list_append(w.names, e.callee) FROM walk w JOIN edges e ON e.path = w.path AND e.caller = w.here
         WHERE w.here <> w.target AND len(w.names) <= 5 AND NOT list_contains(w.names[:-2], e.callee))
         SELECT path, source, target, array_to_string(names, '>') AS names FROM walk WHERE here = target""",
+    "calls_connected": f"""{REACH}, every AS (SELECT * FROM reach UNION SELECT path, target, source FROM reach)
+        SELECT p.path, p.source, p.target, p.source = p.target OR r.path IS NOT NULL AS connected FROM every p LEFT JOIN reach r ON r.path = p.path AND r.source = p.source AND r.target = p.target""",
+    "calls_paths_of_all": f"""{REACH}, every AS (SELECT * FROM reach UNION SELECT path, target, source FROM reach),
+        walk(path, source, target, here, names) AS (SELECT path, source, target, source, [source] FROM every
+        UNION ALL SELECT w.path, w.source, w.target, e.callee, list_append(w.names, e.callee) FROM walk w JOIN edges e ON e.path = w.path AND e.caller = w.here
+        WHERE w.here <> w.target AND len(w.names) <= 5 AND NOT list_contains(w.names[:-2], e.callee))
+        SELECT path, source, target, array_to_string(names, '>') AS names FROM walk WHERE here = target""",
     "calls_cycles": f"""{SYNTAX}, walk(path, here, names) AS (SELECT path, callee, [caller, callee] FROM calls
         UNION ALL SELECT w.path, c.callee, list_append(w.names, c.callee) FROM walk w JOIN calls c ON c.path = w.path AND c.caller = w.here
         WHERE w.here > w.names[1] AND len(w.names) <= 5 AND NOT list_contains(w.names[2:], c.callee))

@@ -93,11 +93,18 @@ def _edges(make: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
-    """Each file's first caller with each of its callees."""
+    """Each file's first caller with each of its callees: what the SQL of calls_has_path and calls_all_paths asks; all pairs are in calls_connected and calls_paths_of_all."""
     first = edges.groupBy("path").agg(F.min("caller").alias("source"))
     return edges.select("path", F.col("callee").alias("target")).distinct().join(first, "path").select("path", "source", "target")
 
 
+def _all_pairs(edges: DataFrame) -> DataFrame:
+    """Each function with each that it reaches, both ways round, so that unconnected pairs occur too."""
+    known = callgraph.reachable(edges)
+    pairs = known.union(known.select("path", F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    return pairs.persist()  # read once for each level of a search; a lost part is found again
+
+
 def syntax_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taint.syntax_paths(*_facts(spark, sf_dir))
 
@@ -167,6 +174,8 @@ QUERIES: dict[str, Query] = {
     "calls_reachable": _edges(callgraph.reachable),
     "calls_has_path": _edges(lambda e: callgraph.has_path(e, _pairs(e))),
     "calls_all_paths": _edges(lambda e: callgraph.all_paths(e, _pairs(e)).select("path", "source", "target", F.array_join("names", ">").alias("names"))),
+    "calls_connected": _edges(lambda e: callgraph.has_path(e, _all_pairs(e))),
+    "calls_paths_of_all": _edges(lambda e: callgraph.all_paths(e, _all_pairs(e)).select("path", "source", "target", F.array_join("names", ">").alias("names"))),
     "calls_on_cycle": _edges(callgraph.on_cycle),
     "calls_cycles": _edges(lambda e: callgraph.cycles(e).select("path", F.array_join("names", ">").alias("names"))),
     "calls_degrees": _edges(callgraph.degrees),
