@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("corpusloom").getOrCreate()
     files = decoded(read_tree(spark, a.path, "deep" if a.deep else "scan")).select("path", "content")
     if a.deep:
-        deep = analyse(files, by_text=False)
+        deep = analyse(files)
         rows = [r.asDict() for r in deep_summary(files, deep).orderBy("path").collect()]
         print(json.dumps({"scan_path": a.path, "files": rows}) if a.json else "\n".join(f"{r['path']}: {r['taint_paths']} paths, {r['attack_chains']} chains, {r['errors']} errors" for r in rows))
         return deep_exit_code(deep).first()[0]
