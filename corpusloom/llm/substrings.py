@@ -1,11 +1,10 @@
-"""Substring deduplication: seed on winnowed anchors, extend, keep maximal repeats.
+"""Substring deduplication: an exact join on hashes of runs, prefiltered by winnowed anchors.
 
 Every run of LENGTH words selects one of its word K-grams, the rightmost of least hash; equal runs select
 equal anchors. Blocks of documents exchange anchors by hash range and learn which
-of theirs occur elsewhere. Only around those seeds matches are extended both ways,
-to all runs of LENGTH words that hold the seed; the blocks exchange the
-hashes of these runs with their first place, and learn which begin earlier
-elsewhere. Overlapping runs join into maximal repeats, and their words go.
+of theirs occur elsewhere. Only of runs that select such an anchor the blocks exchange
+the hashes with their first place, and learn which begin earlier elsewhere; matches are
+not aligned or extended word by word. Overlapping runs of a document join into its repeats, and their words go.
 
 Text moves once, into blocks of bounded size; what blocks send is packed and holds
 each hash once a block, so neither a hot passage nor a hot copy gathers in one task.
