@@ -5,17 +5,26 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
 from corpusloom.functions.rules import SEVERITIES
-from corpusloom.operators.reports import FIELDS, full_report, quiet, render
+from corpusloom.operators.reports import FIELDS, full_report, quiet, report_lines
 from corpusloom.operators.risk import exit_code
 from corpusloom.operators.scan import decoded
 from corpusloom.plans.deep import analyse, deep_exit_code, deep_summary
 from corpusloom.sources.tree import read_tree
 
 
+def _print_json(head: dict, name: str, rows: Iterable[dict], ensure_ascii: bool = True) -> None:
+    """head with the rows as its last field, printed row by row."""
+    print(json.dumps(head, ensure_ascii=ensure_ascii)[:-1], end=f', "{name}": [')
+    for n, row in enumerate(rows):
+        print(", " * (n > 0) + json.dumps(row, ensure_ascii=ensure_ascii), end="")
+    print("]}")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="corpusloom", description=__doc__)
     p.add_argument("path")
@@ -29,15 +38,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     files = decoded(read_tree(spark, a.path, "deep" if a.deep else "scan")).select("path", "content")
     if a.deep:
         deep = analyse(files)
-        rows = [r.asDict() for r in deep_summary(files, deep).orderBy("path").collect()]
-        print(json.dumps({"scan_path": a.path, "files": rows}) if a.json else "\n".join(f"{r['path']}: {r['taint_paths']} paths, {r['attack_chains']} chains, {r['errors']} errors" for r in rows))
+        rows = (r.asDict() for r in deep_summary(files, deep).orderBy("path").toLocalIterator())
+        if a.json:
+            _print_json({"scan_path": a.path}, "files", rows)
+        else:
+            for r in rows:
+                print(f"{r['path']}: {r['taint_paths']} paths, {r['attack_chains']} chains, {r['errors']} errors")
         return deep_exit_code(deep).first()[0]
     findings, summary = full_report(files, a.severity, a.category)
     if a.json:
-        rows = [r.asDict() for r in findings.orderBy("path", "rule_ord", "line_number").select(FIELDS).collect()]
-        print(json.dumps({"scan_path": a.path, "files_scanned": summary["files_scanned"], "findings_count": len(rows), "findings": rows}, ensure_ascii=False))
+        rows = (r.asDict() for r in findings.orderBy("path", "rule_ord", "line_number").select(FIELDS).toLocalIterator())
+        _print_json({"scan_path": a.path, "files_scanned": summary["files_scanned"], "findings_count": summary["findings_count"]}, "findings", rows, ensure_ascii=False)
+    elif a.quiet:
+        print(quiet(findings).first()[0])
     else:
-        print(quiet(findings).first()[0] if a.quiet else render(files, findings))
+        for line in report_lines(files, findings):
+            print(line)
     return exit_code(findings).first()[0]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +50,19 @@ def summary(files: DataFrame, findings: DataFrame) -> dict:
     return {"files_scanned": files.count(), "findings_count": findings.count(), "exit_code": exit_code(findings).first()[0], **risk}
 
 
-def render(files: DataFrame, findings: DataFrame, most: int = 200) -> str:
-    """Text for people: the summary, a bar of the score, and the gravest findings."""
+def report_lines(files: DataFrame, findings: DataFrame) -> Iterator[str]:
+    """Lines for people: the summary, a bar of the score, and all findings, the gravest first; the driver holds a part of them at a time."""
     s = summary(files, findings)
     bar = "#" * min(40, int(s["overall_score"] / 150 * 40))
-    out = [f"{s['files_scanned']} files, {s['findings_count']} findings, risk {s['risk_level']} ({s['overall_score']})", f"[{bar:<40}] poisoning {s['poisoning_score']}, security {s['security_score']}"]
-    for r in findings.orderBy(severity_rank(F.col("severity")), "path", "line_number", "rule_ord").limit(most).collect():
-        out.append(f"{r.severity:<8} {r.rule_id} {r.path}:{r.line_number}  {r.matched_line[:100]}  ({r.context_note})")
-    return "\n".join(out)
+    yield f"{s['files_scanned']} files, {s['findings_count']} findings, risk {s['risk_level']} ({s['overall_score']})"
+    yield f"[{bar:<40}] poisoning {s['poisoning_score']}, security {s['security_score']}"
+    for r in findings.orderBy(severity_rank(F.col("severity")), "path", "line_number", "rule_ord").toLocalIterator():
+        yield f"{r.severity:<8} {r.rule_id} {r.path}:{r.line_number}  {r.matched_line[:100]}  ({r.context_note})"
+
+
+def render(files: DataFrame, findings: DataFrame) -> str:
+    """The lines as one text, for small reports."""
+    return "\n".join(report_lines(files, findings))
 
 
 def full_report(files: DataFrame, severity: str | None = None, category: str | None = None) -> tuple[DataFrame, dict]:

@@ -10,3 +10,12 @@ def test_deep_analyses_other_languages_by_text(spark, capsys, tmp_path):
     (row,) = json.loads(capsys.readouterr().out)["files"]
     assert (row["path"].rsplit("/")[-1], row["language"], row["taint_paths"], row["errors"]) == ("a.js", "javascript", 1, 0)
     assert code == (2 if row["attack_chains"] else 1)
+
+
+def test_all_findings_are_printed(spark, capsys, tmp_path):
+    (tmp_path / "a.py").write_text("eval(x)\n" * 250)
+    main([str(tmp_path)], spark)
+    assert sum(" POI-002 " in line for line in capsys.readouterr().out.split("\n")) == 250
+    main([str(tmp_path), "--json"], spark)
+    got = json.loads(capsys.readouterr().out)
+    assert got["findings_count"] == len(got["findings"]) >= 250
