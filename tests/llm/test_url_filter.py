@@ -1,3 +1,5 @@
+import time
+
 from corpusloom.llm import url_filter
 from corpusloom.llm.url_filter import RULES, judge_urls
 
@@ -35,3 +37,20 @@ def test_ties_and_other_rules(spark):
     urls = ["http://a.com/x", "http://b.com/x", "http://b.com/y", "http://c.com", "http://d.net/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     assert [tuple(r) for r in judge_urls(df, rules).orderBy("page_id").collect()] == [(i, *brute(u, rules)) for i, u in enumerate(urls)]
+
+
+def test_rules_as_a_table(spark):
+    rules = [("A.com", "/", "allow"), ("a.com", "/x/", "block"), (None, "/", "block"), ("b.com", None, "block"), ("b.com", "/", None)]
+    urls = ["http://q.a.com/x/1", "http://a.com/y", "http://b.com/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = judge_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string"), "block")
+    assert [r.verdict for r in got.orderBy("page_id").collect()] == ["block", "allow", "block"]
+    assert [r.rule for r in got.orderBy("page_id").collect()] == ["a.com/x/", "a.com/", None]
+
+
+def test_a_host_of_very_many_labels_is_judged_at_once(spark):
+    host = "a." * 100_000 + "www.example.com"
+    df = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, f"http://{host}.net/fr/"), (3, f"http://{host}.org/")], "page_id long, url string")
+    began = time.time()
+    assert [r.verdict for r in judge_urls(df, default="block").orderBy("page_id").collect()] == ["allow", "block", "block"]
+    assert time.time() - began < 30
