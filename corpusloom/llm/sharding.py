@@ -8,12 +8,13 @@ and a changed weight moves rows only into or out of the subtrees that hold it.
 Shards beyond the base layout arrive as regions of their own, so that one more
 shard gives no other node another weight: it takes rows only into itself.
 
-Slots number the rows of a shard from 0 without gaps. No task sorts a whole shard:
-rows are numbered inside hashed blocks of a shard, and the counts of earlier
-blocks are added, so that the blocks grow in number and not in size.
+Slots number the rows of a shard from 0 without gaps. Rows that are alike are counted before
+they meet, and no task sorts a whole shard: groups of alike rows are numbered inside hashed
+blocks of a shard, and the counts of earlier blocks are added, so that the blocks grow in number and not in size. Many
+alike rows are dealt out again in pieces of PIECE slots.
 
 Defined results: a null text has size 8 and the CRC-32 of nothing, 0; a null doc_id
-is a key of its own; repeated rows share the shard and have slots of their own;
+is a key of its own; repeated rows share the shard and have slots of their own, next to each other;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -25,12 +26,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tables import read
+from corpusloom.llm.tables import partitions, read
 
 SHARDS = 24
 BASE_SHARDS, RACKS_PER_REGION, SHARDS_PER_RACK = 24, 3, 4
 #: Rows of a block, about.
 BLOCK_ROWS = 4_096
+#: Slots of alike rows that one row of the plan stands for at most.
+PIECE = 4_096
 
 #: (region, rack, shard, weight)
 Leaf = tuple[str, str, int, float]
@@ -86,15 +89,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, law: str = "key") -> DataFrame:
         shard_of(F.col("doc_id"), layout(shards + 1)).alias("grown_shard"),
     )
     blocks = max(1, math.ceil(docs.count() / (BLOCK_ROWS * shards)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("shard", "block").agg(F.count("*").alias("n")).select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("at", F.row_number().over(order) - 1)
-        .join(offsets, ["shard", "block"])
-        .select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("before") + F.col("at")).cast("long").alias("slot"), "grown_shard")
-    )
+    alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    alike = alike.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
+    earlier = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = alike.groupBy("shard", "block").agg(F.sum("n").alias("n")).select("shard", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["shard", "block"]).withColumn("first", F.col("before") + F.col("at"))
+    few = placed.where(F.col("n") <= PIECE).withColumn("end", F.col("first") + F.col("n") - 1)
+    pieces = placed.where(F.col("n") > PIECE).withColumn("end", F.col("first") + F.col("n") - 1)
+    pieces = pieces.withColumn("first", F.explode(F.sequence("first", "end", F.lit(PIECE)))).withColumn("end", F.least("end", F.col("first") + PIECE - 1))
+    pieces = pieces.repartition(partitions(docs.sparkSession), "shard", "first")
+    slots = few.union(pieces).withColumn("slot", F.explode(F.sequence("first", "end")))
+    return slots.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", "grown_shard")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusloom.llm import sharding
@@ -37,3 +40,44 @@ def test_changed_weights_move_rows_only_through_their_subtrees(spark):
         assert r.b == 5 or rack[r.b] == rack[5] and rack[r.a] != rack[5] or region[r.b] == region[5] and region[r.a] != region[5]
     without = [(r, k, s, 0.0 if s == 5 else w) for r, k, s, w in base]
     assert spark.range(2_000).select(shard_of(F.col("id"), without).alias("b")).where("b = 5").count() == 0
+
+
+def descend(key, leaves):
+    """The shard of a key, level by level, with the draws of one node's children at a time."""
+    tree = {}
+    for region, rack, number, weight in leaves:
+        path = ["", region, f"{region}/{rack}", f"{region}/{rack}/{number}"]
+        for node, child in zip(path, path[1:]):
+            tree.setdefault(node, {}).setdefault(child, 0.0)
+            tree[node][child] += weight
+    at = ""
+    while at in tree:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+
+        def draw(child, seed=seed, at=at):
+            u = ((xxhash.xxh64_intdigest(child.encode(), seed) >> 12) + 0.5) / 2**52
+            return math.log(u) / tree[at][child]
+
+        at = max((c for c in tree[at] if tree[at][c] > 0), key=draw)
+    return int(at.rsplit("/", 1)[1])
+
+
+def test_shards_are_those_of_a_plain_descent_and_shares_follow_weights(spark):
+    leaves = [(r, k, s, 1.0 + s % 3) for r, k, s, _ in layout(25)]
+    got = spark.range(-10, 6_000).select("id", shard_of(F.col("id"), leaves).alias("s")).collect()
+    assert all(r.s == descend(r.id, leaves) for r in got)
+    counts, total = Counter(r.s for r in got), sum(w for *_, w in leaves)
+    for _, _, s, w in leaves:
+        want = len(got) * w / total
+        assert abs(counts[s] - want) < 5 * want**0.5
+
+
+def test_alike_rows_are_dealt_out_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 16)
+    df = spark.range(5_000).selectExpr("if(id < 3000, 7, id) doc_id", "'same' text")
+    rows = shard(df)
+    got = rows.collect()
+    assert len(got) == 5_000 and Counter(r.doc_id for r in got)[7] == 3_000
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert max(rows.rdd.glom().map(len).collect()) < 3_000
