@@ -1,4 +1,4 @@
-"""python -m corpusloom PATH [--json | --quiet] [--severity S] [--category C] [--deep]: scans a source tree."""
+"""python -m corpusloom PATH [--json | --quiet] [--severity S] [--category C] [--deep] | --version: scans a source tree; --deep heeds neither severity nor category."""
 
 from __future__ import annotations
 
@@ -7,13 +7,14 @@ import json
 import sys
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 
+from corpusloom import __version__
 from corpusloom.functions.rules import SEVERITIES
 from corpusloom.operators.reports import FIELDS, full_report, quiet, report_lines
 from corpusloom.operators.risk import exit_code
 from corpusloom.operators.scan import decoded
-from corpusloom.plans.deep import analyse, deep_exit_code, deep_summary
+from corpusloom.plans.deep import analyse, deep_exit_code, deep_rows, deep_summary, deep_totals
 from corpusloom.sources.tree import read_tree
 
 
@@ -25,9 +26,21 @@ def _print_json(head: dict, name: str, rows: Iterable[dict], ensure_ascii: bool
     print("]}")
 
 
+def deep_lines(rows: Iterable[Row]) -> Iterable[str]:
+    """Lines for people: of each file with paths or chains its numbers, chains and paths; of one with errors alone these."""
+    for r in rows:
+        yield f"{r.path} ({r.language}): {r.symbols_count} functions, {r.call_edges} calls, {len(r.taint_paths)} paths, {len(r.attack_chains)} chains, {len(r.errors)} errors"
+        for c in r.attack_chains:
+            yield from (f"  {line}" for line in c.summary.split("\n"))
+        for p in r.taint_paths:
+            yield f"  line {p.source_line} {p.source_var} ({p.source_kind}) -> line {p.sink_line} {p.sink_name} ({p.sink_kind}), {p.confidence:.0%}"
+        yield from (f"  error: {e}" for e in r.errors)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="corpusloom", description=__doc__)
     p.add_argument("path")
+    p.add_argument("--version", action="version", version=f"corpusloom {__version__}")
     p.add_argument("--json", action="store_true")
     p.add_argument("--quiet", action="store_true")
     p.add_argument("--severity", choices=list(SEVERITIES))
@@ -38,12 +51,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     files = decoded(read_tree(spark, a.path, "deep" if a.deep else "scan")).select("path", "content")
     if a.deep:
         deep = analyse(files)
-        rows = (r.asDict() for r in deep_summary(files, deep).orderBy("path").toLocalIterator())
+        total = deep_totals(deep_summary(files, deep)).first()
+        if a.quiet:
+            print(f"{total.taint_paths} taint paths, {total.attack_chains} attack chains, {total.errors} errors in {total.reported_files} files")
+            return deep_exit_code(deep).first()[0]
+        rows = deep_rows(files, deep).orderBy("path").toLocalIterator()
         if a.json:
-            _print_json({"scan_path": a.path}, "files", rows)
+            _print_json({"scan_path": a.path, "files_analyzed": files.count(), **total.asDict()}, "files", (r.asDict(recursive=True) for r in rows))
         else:
-            for r in rows:
-                print(f"{r['path']}: {r['taint_paths']} paths, {r['attack_chains']} chains, {r['errors']} errors")
+            for line in deep_lines(rows):
+                print(line)
+            print(f"{total.taint_paths} paths, {total.attack_chains} chains, {total.errors} errors in {total.reported_files} files")
         return deep_exit_code(deep).first()[0]
     findings, summary = full_report(files, a.severity, a.category)
     if a.json:

@@ -1,7 +1,7 @@
 """Call graphs of files: reachability, paths, cycles, degrees. Edges are rows (path, caller, callee).
 
 Files are graphs of their own, so every join is on path and a name. Searches go DEPTH calls deep at most, a round for
-each level, and carry only what a level adds.
+each level. Edges that are read from many rounds should be a stored table.
 """
 
 from __future__ import annotations
@@ -32,13 +32,11 @@ def reachable(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """path, source, target: what each function reaches in depth calls; itself only by way of a cycle."""
     e = _distinct(edges)
     steps = e.select("path", F.col("caller").alias("at"), F.col("callee").alias("target"))
-    new = e.select("path", F.col("caller").alias("source"), F.col("callee").alias("target"))
-    found = [new]
-    for _ in range(depth - 1):
-        further = new.withColumnRenamed("target", "at").join(steps, ["path", "at"]).select("path", "source", "target").distinct()
-        new = further.join(reduce(DataFrame.union, found), ["path", "source", "target"], "left_anti")
-        found.append(new)
-    return reduce(DataFrame.union, found)
+    found = first = e.select("path", F.col("caller").alias("source"), F.col("callee").alias("target"))
+    for _ in range(depth - 1):  # each round goes one call further from all that is known, so the plan grows by one join
+        further = found.withColumnRenamed("target", "at").join(steps, ["path", "at"]).select("path", "source", "target")
+        found = first.union(further).distinct()
+    return found
 
 
 def has_path(edges: DataFrame, pairs: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -44,6 +44,20 @@ def diagnostics(findings: DataFrame) -> DataFrame:
     return findings.select("path", (F.col("line_number") - 1).alias("line"), F.lit(0).alias("column"), F.lit(200).alias("end_column"), level.alias("level"), F.col("rule_id").alias("code"), message.alias("message"))
 
 
+def totals(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: files_scanned (those without findings too), findings_count, files_with_findings, exit_code."""
+    some = findings.agg(F.count("*").alias("findings_count"), F.count_distinct("path").alias("files_with_findings"))
+    return files.agg(F.count("*").alias("files_scanned")).join(some).join(exit_code(findings))  # three single rows
+
+
+def tree_rows(findings: DataFrame) -> DataFrame:
+    """The findings by category and in it by severity, path, line and rule."""
+    return findings.orderBy("category", severity_rank(F.col("severity")), "path", "line_number", "rule_ord")
+
+
+_NUMBERS = {"files_scanned", "findings_count", "exit_code", "overall_score", "poisoning_score", "security_score", "risk_level"}
+
+
 def summary(files: DataFrame, findings: DataFrame) -> dict:
     """What the terminal shows above the findings; a few numbers, gathered on the driver."""
     risk = project_risk(file_risk(findings, file_lines(files))).first().asDict()
@@ -56,8 +70,19 @@ def report_lines(files: DataFrame, findings: DataFrame) -> Iterator[str]:
     bar = "#" * min(40, int(s["overall_score"] / 150 * 40))
     yield f"{s['files_scanned']} files, {s['findings_count']} findings, risk {s['risk_level']} ({s['overall_score']})"
     yield f"[{bar:<40}] poisoning {s['poisoning_score']}, security {s['security_score']}"
-    for r in findings.orderBy(severity_rank(F.col("severity")), "path", "line_number", "rule_ord").toLocalIterator():
-        yield f"{r.severity:<8} {r.rule_id} {r.path}:{r.line_number}  {r.matched_line[:100]}  ({r.context_note})"
+    flags = [f"{name.replace('_', ' ')}: {n}" for name, n in s.items() if n and name not in _NUMBERS]
+    if flags:
+        yield "alerts: " + ", ".join(flags)
+    group, advice = None, {}
+    for n, r in enumerate(findings.orderBy(severity_rank(F.col("severity")), "path", "line_number", "rule_ord").toLocalIterator(), 1):
+        if r.severity != group:
+            group = r.severity
+            yield f"== {group} =="
+        advice.setdefault(r.rule_id, r.recommendation)  # one for each rule
+        yield f"{n:>5} {r.severity:<8} {r.rule_id} {r.path}:{r.line_number}  {r.matched_line[:100]}  ({r.context_note})"
+    if advice:
+        yield "== what to do =="
+        yield from (f"{rule}: {text}" for rule, text in sorted(advice.items()))
 
 
 def render(files: DataFrame, findings: DataFrame) -> str:

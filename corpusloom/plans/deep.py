@@ -11,6 +11,7 @@ from corpusloom.operators.chains import chains
 from corpusloom.operators.facts import call_edges, errors, python_facts, symbols
 from corpusloom.operators.scan import with_languages
 from corpusloom.operators.taint import syntax_paths, text_paths
+from corpusloom.sources.shared import stored
 
 
 @dataclass
@@ -25,10 +26,11 @@ class Deep:
 def analyse(files: DataFrame, by_text: bool = True) -> Deep:
     """files has path and content. Python is analysed by syntax, other known languages by text (or not at all)."""
     files = with_languages(files)
-    facts = python_facts(files).persist()  # read by five tables; a lost part is parsed again
+    facts = stored(python_facts(files), "facts")  # read by five tables
     paths = syntax_paths(facts, files)
     if by_text:
         paths = paths.union(text_paths(files.where("deep_language is not null and deep_language not in ('python', 'dockerfile')")))
+    paths = stored(paths, "paths")
     return Deep(symbols(facts), call_edges(facts), errors(facts), paths, chains(paths, files))
 
 
@@ -43,6 +45,24 @@ def deep_summary(files: DataFrame, deep: Deep) -> DataFrame:
     return out.where("taint_paths > 0 or attack_chains > 0 or errors > 0")
 
 
+def deep_rows(files: DataFrame, deep: Deep) -> DataFrame:
+    """The columns of deep_summary, with the file's paths, chains and errors themselves as arrays in order."""
+    path = F.struct("source_line", "sink_line", "source_var", "source_kind", "sink_name", "sink_kind", F.round("confidence", 6).alias("confidence"))
+    chain = F.struct("chain_name", "severity", F.round("confidence", 6).alias("confidence"), "summary")
+    every = lambda df, what, name: df.groupBy("path").agg(F.sort_array(F.collect_list(what)).alias(name))
+    out = deep_summary(files, deep).select("path", "language", "symbols_count", "call_edges")
+    out = out.join(every(deep.taint_paths, path, "taint_paths"), "path", "left").join(every(deep.chains, chain, "attack_chains"), "path", "left")
+    out = out.join(every(deep.errors, F.col("message"), "errors"), "path", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
+    return out.select("path", "language", "symbols_count", "call_edges", none("taint_paths"), none("attack_chains"), none("errors"))
+
+
+def deep_totals(summary: DataFrame) -> DataFrame:
+    """One row over the files of deep_summary: reported files, taint paths, chains, errors."""
+    sums = (F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("taint_paths", "attack_chains", "errors"))
+    return summary.agg(F.count("*").alias("reported_files"), *sums)
+
+
 def deep_exit_code(deep: Deep) -> DataFrame:
     """One row: 2 with chains, 1 with taint paths, else 0."""
     rows = deep.chains.select(F.lit(2).alias("code")).union(deep.taint_paths.select(F.lit(1)))

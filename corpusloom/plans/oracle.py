@@ -89,8 +89,8 @@ NOTES = {
 
 CLEAN = "replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 CODE = "snippets(k, extension, mark, code) AS (VALUES " + ", ".join(f"({i}, {q(e)}, {q(m)}, {q(s)})" for i, (e, m, s) in enumerate(SNIPPETS)) + f"""),
-files AS (SELECT 'src/' || doc_id || extension AS path, code || mark || ' ' || replace({CLEAN.format("coalesce(text, '')")}, chr(10), chr(10) || mark || ' ') AS content
-          FROM documents JOIN snippets ON doc_id % {len(SNIPPETS)} = k)"""
+files AS (SELECT 'src/' || coalesce(doc_id::VARCHAR, 'null-' || md5(coalesce(text, ''))) || extension AS path, code || mark || ' ' || replace({CLEAN.format("coalesce(text, '')")}, chr(10), chr(10) || mark || ' ') AS content
+          FROM documents JOIN snippets ON coalesce(doc_id, 0) % {len(SNIPPETS)} = k)"""
 TEXT = f"""files AS (SELECT path, {CLEAN.format("content")} AS content FROM (
     SELECT 'documents/' || doc_id || '.txt' AS path, text AS content FROM documents
     UNION ALL SELECT 'conversations/' || conv_id || '-' || turn || '.txt', text FROM conversations
@@ -180,13 +180,15 @@ def _chain(n: int) -> str:
     return f"SELECT {q(name)} AS chain_name, {q(severity)} AS severity, path, source_line, sink_line, source_kind, sink_kind, source_var, sink_name, confidence FROM judged j WHERE {' AND '.join(tests)}"
 
 
-CHAIN_PATHS = f"""{FLOWS}, judged AS (SELECT p.*, lower(a.text) AS first, lower(b.text) AS last FROM paths p
+MATCHED = f"""judged AS (SELECT p.*, lower(a.text) AS first, lower(b.text) AS last FROM {{0}} p
     JOIN code a ON a.path = p.path AND a.line_number = p.source_line JOIN code b ON b.path = p.path AND b.line_number = p.sink_line),
 matched AS ({' UNION ALL '.join(_chain(n) for n in range(len(CHAINS)))})"""
-CHAIN_TEXT = f"""{CHAIN_PATHS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY path, chain_name ORDER BY source_line, sink_line, source_var, sink_name) AS place FROM matched),
+CHAIN_PATHS = f"{FLOWS}, {MATCHED.format('paths')}"
+CHAINS_OF_FILES = """ranked AS (SELECT *, row_number() OVER (PARTITION BY path, chain_name ORDER BY source_line, sink_line, source_var, sink_name) AS place FROM matched),
 grouped AS (SELECT path, chain_name, severity, count(*) AS n_paths, least(1.0, (0.6 + CASE WHEN count(*) >= 2 THEN 0.15 ELSE 0 END + max(confidence)) / 2)::DOUBLE AS confidence,
-    string_agg('line ' || source_line || ' -> line ' || sink_line, chr(10) ORDER BY place) FILTER (WHERE place <= 3) AS shown FROM ranked GROUP BY path, chain_name, severity)
-SELECT path, chain_name, severity, n_paths, round(confidence, 6) AS confidence, '[' || upper(severity) || '] ' || chain_name || ' (' || floor(round(confidence * 100, 6))::INTEGER || '%)' || chr(10) || shown AS summary FROM grouped"""
+    string_agg('line ' || source_line || ' -> line ' || sink_line, chr(10) ORDER BY place) FILTER (WHERE place <= 3) AS shown FROM ranked GROUP BY path, chain_name, severity),
+chains AS (SELECT path, chain_name, severity, n_paths, confidence, '[' || upper(severity) || '] ' || chain_name || ' (' || floor(round(confidence * 100, 6))::INTEGER || '%)' || chr(10) || shown AS summary FROM grouped)"""
+CHAIN_TEXT = f"{CHAIN_PATHS}, {CHAINS_OF_FILES} SELECT path, chain_name, severity, n_paths, round(confidence, 6) AS confidence, summary FROM chains"
 
 # What the syntax of each Python snippet holds, read off by hand: the documents' own lines are comments there.
 FACTS = """snippet(path, k) AS (SELECT path, regexp_extract(path, '([0-9]+)', 1)::BIGINT % {n} FROM files),
@@ -205,6 +207,19 @@ REACH = f"""{SYNTAX}, steps(path, source, target, depth) AS (SELECT path, caller
     UNION SELECT s.path, s.source, c.callee, s.depth + 1 FROM steps s JOIN calls c ON c.path = s.path AND c.caller = s.target WHERE s.depth < 5),
 reach AS (SELECT DISTINCT path, source, target FROM steps)"""
 
+# Python by its syntax, other languages by text.
+DEEP_ANALYSIS = f"""{FLOWS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {FACTS},
+every_path AS (SELECT * FROM paths WHERE NOT ends_with(path, '.py') AND NOT ends_with(path, '.dockerfile') UNION ALL
+    SELECT path, f.source_var, s.kind, s.line, sink_name, sink_kind, sink_line, confidence FROM snippet JOIN flow f USING (k) JOIN source s ON s.k = f.k AND s.name = f.source_var),
+{MATCHED.format('every_path')}, {CHAINS_OF_FILES},
+summary AS (SELECT * FROM (SELECT path, {DEEP} AS language,
+    (SELECT count(*) FROM snippet s JOIN fn USING (k) WHERE s.path = f.path) AS symbols_count, (SELECT count(*) FROM edges e WHERE e.path = f.path) AS call_edges,
+    (SELECT count(*) FROM every_path p WHERE p.path = f.path) AS taint_paths, (SELECT count(*) FROM chains c WHERE c.path = f.path) AS attack_chains,
+    (SELECT count(*) FROM snippet s WHERE s.path = f.path AND k = 23 AND ends_with(path, '.py')) AS errors FROM files f) WHERE taint_paths + attack_chains + errors > 0)"""
+#: What Python says of the one snippet that doesn't parse.
+BROKEN = "SyntaxError: invalid syntax (<unknown>, line 1)"
+ADVICE = "advice(rule_id, rule_name, description, recommendation) AS (VALUES " + ", ".join(f"({q(r.id)}, {q(r.name)}, {q(r.description)}, {q(r.recommendation)})" for r in RULES) + ")"
+
 ORACLE_SQL: dict[str, str] = {
     "rules_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"({q(r.id)}, {n}, {q(r.severity)}, {q(r.category)}, {q(','.join(r.languages))})" for n, r in enumerate(RULES)) + ") AS t(rule_id, rule_ord, severity, category, languages)",
     "syntax_functions": f"{SYNTAX} SELECT path, name, 'function' AS kind, line_start, line_end FROM snippet JOIN fn USING (k)",
@@ -252,7 +267,21 @@ ORACLE_SQL: dict[str, str] = {
     "category_counts": f"{findings()} SELECT category, count(*) AS n FROM findings GROUP BY category",
     "quiet_line": f"{findings()} SELECT concat_ws(', ', count(*) || ' findings', {', '.join(f'CASE WHEN count(*) FILTER (WHERE severity = {q(s)}) > 0 THEN {q(s + " ")} || count(*) FILTER (WHERE severity = {q(s)}) END' for s in SEVERITIES)}) AS line FROM findings",
     "exit_code": f"{findings()} SELECT (CASE WHEN coalesce(bool_or(severity = 'critical'), FALSE) THEN 2 WHEN coalesce(bool_or(severity = 'high'), FALSE) THEN 1 ELSE 0 END)::INTEGER AS exit_code FROM findings",
-    "diagnostics": f"{findings()} SELECT path, line_number - 1 AS line, 0 AS \"column\", 200 AS end_column, CASE WHEN severity IN ('critical', 'high') THEN 'Error' WHEN severity = 'medium' THEN 'Warning' ELSE 'Information' END AS level, rule_id AS code FROM findings",
+    "diagnostics": f"""{findings()}, {ADVICE} SELECT path, line_number - 1 AS line, 0 AS "column", 200 AS end_column, CASE WHEN severity IN ('critical', 'high') THEN 'Error' WHEN severity = 'medium' THEN 'Warning' ELSE 'Information' END AS level, rule_id AS code,
+        concat_ws(chr(10), '[' || rule_id || '] ' || rule_name, description, CASE WHEN context_note <> description THEN context_note END, recommendation) AS message FROM findings JOIN advice USING (rule_id)""",
+    "json_report": f"""{findings()}, {ADVICE} SELECT path, line_number, rule_id, to_json({{'rule_id': rule_id, 'rule_name': rule_name, 'severity': severity, 'category': category, 'path': path, 'line_number': line_number, 'matched_line': matched_line,
+        'description': description, 'recommendation': recommendation, 'context_note': context_note}})::VARCHAR AS json FROM findings JOIN advice USING (rule_id)""",
+    "scan_totals": f"{findings()} SELECT (SELECT count(*) FROM files) AS files_scanned, count(*) AS findings_count, count(DISTINCT path) AS files_with_findings, (CASE WHEN coalesce(bool_or(severity = 'critical'), FALSE) THEN 2 WHEN coalesce(bool_or(severity = 'high'), FALSE) THEN 1 ELSE 0 END)::INTEGER AS exit_code FROM findings",
+    "tree_listing": f"{findings()} SELECT category, severity, path, line_number, rule_id FROM findings",
+    "chains_all": f"{DEEP_ANALYSIS} SELECT path, chain_name, severity, n_paths, round(confidence, 6) AS confidence, summary FROM chains",
+    "deep_summary": f"{DEEP_ANALYSIS} SELECT * FROM summary",
+    "deep_totals": f"{DEEP_ANALYSIS} SELECT count(*) AS reported_files, coalesce(sum(taint_paths), 0)::BIGINT AS taint_paths, coalesce(sum(attack_chains), 0)::BIGINT AS attack_chains, coalesce(sum(errors), 0)::BIGINT AS errors FROM summary",
+    "deep_exit_code": f"{DEEP_ANALYSIS} SELECT (CASE WHEN (SELECT count(*) FROM chains) > 0 THEN 2 WHEN (SELECT count(*) FROM every_path) > 0 THEN 1 ELSE 0 END)::INTEGER AS exit_code",
+    "deep_json": f"""{DEEP_ANALYSIS}, p AS (SELECT path, list({{'source_line': source_line, 'sink_line': sink_line, 'source_var': source_var, 'source_kind': source_kind, 'sink_name': sink_name, 'sink_kind': sink_kind, 'confidence': round(confidence, 6)}}
+            ORDER BY source_line, sink_line, source_var, source_kind, sink_name, sink_kind) AS l FROM every_path GROUP BY path),
+        c AS (SELECT path, list({{'chain_name': chain_name, 'severity': severity, 'confidence': round(confidence, 6), 'summary': summary}} ORDER BY chain_name) AS l FROM chains GROUP BY path)
+        SELECT s.path, to_json({{'path': s.path, 'language': language, 'symbols_count': symbols_count, 'call_edges': call_edges, 'taint_paths': coalesce(p.l, []), 'attack_chains': coalesce(c.l, []),
+            'errors': CASE WHEN errors > 0 THEN [{q(BROKEN)}] ELSE []::VARCHAR[] END}})::VARCHAR AS json FROM summary s LEFT JOIN p USING (path) LEFT JOIN c USING (path)""",
     "file_risk": f"{RISK} SELECT path, total_score, poisoning_score, security_score, findings_count, array_to_string(flags, '|') AS flags FROM risk",
     "project_risk": PROJECT,
     "top_risky_files": f"{RISK} SELECT path, total_score FROM risk ORDER BY total_score DESC, path LIMIT 20",

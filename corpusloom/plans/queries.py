@@ -13,6 +13,7 @@ from corpusloom.operators import callgraph, chains, facts, reports, risk, taint
 from corpusloom.operators.scan import explode_lines, file_lines, find, rules_table, scan, severity_rank, with_languages
 from corpusloom.plans import deep
 from corpusloom.sources.corpus import code_files, text_files
+from corpusloom.sources.shared import stored
 from corpusloom.streaming.scan import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,12 +85,22 @@ def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_languages(code_files(spark, sf_dir)).where("deep_language is not null and deep_language != 'dockerfile'")
 
 
+def _stored_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Facts that a query reads more than once: files are parsed once."""
+    found, files = _facts(spark, sf_dir)
+    return stored(found, "facts"), files
+
+
 def _of_facts(make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: make(_facts(spark, sf_dir)[0])
 
 
 def _edges(make: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: make(facts.call_edges(_facts(spark, sf_dir)[0]))
+    return lambda spark, sf_dir: make(stored(facts.call_edges(_facts(spark, sf_dir)[0]), "edges"))
+
+
+def _of_stored_facts(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(_stored_facts(spark, sf_dir)[0])
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -102,11 +113,11 @@ def _all_pairs(edges: DataFrame) -> DataFrame:
     """Each function with each that it reaches, both ways round, so that unconnected pairs occur too."""
     known = callgraph.reachable(edges)
     pairs = known.union(known.select("path", F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    return pairs.persist()  # read once for each level of a search; a lost part is found again
+    return stored(pairs, "pairs")  # read once for each level of a search
 
 
 def syntax_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.syntax_paths(*_facts(spark, sf_dir))
+    return taint.syntax_paths(*_stored_facts(spark, sf_dir))
 
 
 def text_chain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +141,16 @@ def deep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deep.deep_summary(files, deep.analyse(files))
 
 
+def deep_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = code_files(spark, sf_dir)
+    return deep.deep_rows(files, deep.analyse(files)).select("path", F.to_json(F.struct("*")).alias("json"))
+
+
+def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = code_files(spark, sf_dir)
+    return reports.totals(files, scan(files))
+
+
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -150,10 +171,12 @@ QUERIES: dict[str, Query] = {
     "category_counts": lambda s, d: reports.category_counts(_findings(s, d)),
     "quiet_line": lambda s, d: reports.quiet(_findings(s, d)),
     "exit_code": lambda s, d: risk.exit_code(_findings(s, d)),
-    "diagnostics": lambda s, d: reports.diagnostics(_findings(s, d)).select("path", "line", "column", "end_column", "level", "code"),
+    "diagnostics": lambda s, d: reports.diagnostics(_findings(s, d)).select("path", "line", "column", "end_column", "level", "code", "message"),
     "json_report": lambda s, d: reports.json_rows(_findings(s, d)),
     "file_risk": file_risks,
     "project_risk": project,
+    "scan_totals": scan_totals,
+    "tree_listing": lambda s, d: reports.tree_rows(_findings(s, d)).select("category", "severity", "path", "line_number", "rule_id"),
     "top_risky_files": top_files,
     "syntax_functions": _of_facts(lambda f: facts.symbols(f).drop("params")),
     "syntax_calls": _of_facts(facts.call_edges),
@@ -163,12 +186,14 @@ QUERIES: dict[str, Query] = {
     "taint_text_tainted": lambda s, d: taint.text_tainted(_text_files(s, d)),
     "taint_text_paths": lambda s, d: taint.text_paths(_text_files(s, d)),
     "taint_syntax_sources": _of_facts(taint.syntax_sources),
-    "taint_syntax_tainted": _of_facts(taint.syntax_tainted),
+    "taint_syntax_tainted": _of_stored_facts(taint.syntax_tainted),
     "taint_syntax_paths": syntax_paths,
     "chain_text_paths": text_chain_paths,
     "chain_text": text_chains,
     "chains_all": all_chains,
     "deep_summary": deep_report,
+    "deep_totals": lambda s, d: deep.deep_totals(deep_report(s, d)),
+    "deep_json": deep_json,
     "deep_exit_code": lambda s, d: deep.deep_exit_code(deep.analyse(code_files(s, d))),
     "calls_neighbours": _edges(lambda e: callgraph.callees(e).select("path", "name", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))),
     "calls_reachable": _edges(callgraph.reachable),

@@ -1,7 +1,7 @@
 """Files made of tables: path, content.
 
 ``text_files`` gives the texts of the tables themselves; ``code_files`` puts a snippet of code before each document, chosen by
-doc_id, and the document's own lines after it as comments, so that rules, taint and syntax have something to find at any scale.
+doc_id (the first for a null one), and the document's own lines after it as comments, so that rules, taint and syntax have something to find at any scale.
 """
 
 from __future__ import annotations
@@ -54,9 +54,10 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     snippets = spark.createDataFrame([(i, *s) for i, s in enumerate(SNIPPETS)], "k int, extension string, mark string, code string")
     # as many rows as there are snippets are broadcast
-    joined = docs.join(F.broadcast(snippets), F.pmod(F.col("doc_id"), F.lit(len(SNIPPETS))).cast("int") == F.col("k"))
+    joined = docs.join(F.broadcast(snippets), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(len(SNIPPETS))).cast("int") == F.col("k"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null-"), F.md5(F.coalesce("text", F.lit("")))))
     filler = F.concat("mark", F.lit(" "), F.regexp_replace(clean(F.coalesce("text", F.lit(""))), "\n", F.concat(F.lit("\n"), F.col("mark"), F.lit(" "))))
-    return joined.select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.col("extension")).alias("path"), F.concat("code", filler).alias("content"))
+    return joined.select(F.concat(F.lit("src/"), name, F.col("extension")).alias("path"), F.concat("code", filler).alias("content"))
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -7,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rules import Rule, built_in
-from corpusloom.functions.text import entropy, extension
+from corpusloom.functions.text import entropy, extension, search
 from corpusloom.operators import reports, risk
 from corpusloom.operators.scan import decoded, excluded, explode_lines, file_lines, find, scan, with_languages
 from corpusloom.sources.tree import MAX_BYTES, SKIPPED_ENDINGS, SKIPPED_FOLDERS, SKIPPED_NAMES, read_tree
@@ -148,3 +150,25 @@ def test_globs(spark):
     paths = spark.createDataFrame([(p,) for p in ("a.py", "x/a.py", "x/y/a.py", "aXpy", "x/ab.c")], "path string")
     for glob, want in cases.items():
         assert [r.path for r in paths.where(F.rlike("path", F.lit(glob_pattern(glob)))).orderBy("path").collect()] == want
+
+
+def test_long_words_and_blanks_take_linear_time(spark):
+    n = 1_000_000
+    texts = ["b64(" + "a" * n, "x" * n + " = 1", "eval(" + "é" * n, "b64(" + "aB3/" * (n // 4) + "); eval(x)", "return 1" + " " * n + "x"]
+    files = spark.createDataFrame([(f"{i}.js", t) for i, t in enumerate(texts)], "path string, content string")
+    began = time.time()
+    got = {(r.path, r.rule_id) for r in scan(files).collect()}
+    assert time.time() - began < 60
+    assert ("3.js", "POI-004") in got
+
+
+def test_a_leading_run_may_be_short(spark):
+    from corpusloom.functions.text import any_of
+
+    rng = random.Random(7)
+    rows = [("".join(rng.choice("ab_é1 =\"'f,SELECT+\n") for _ in range(rng.randint(0, 30))),) for _ in range(2_000)] + [('name = f"SELECT a"',), ('  =f"DROP ',), ("a" * 500 + ' = "x" + SELECT ',)]
+    lines = spark.createDataFrame(rows, "line string")
+    for r in built_in():
+        for p in r.patterns:
+            if p.startswith(r"\w+"):
+                assert lines.where(search(F.col("line"), p, True) != search(F.col("line"), any_of([p]), True)).count() == 0
