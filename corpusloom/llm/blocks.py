@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tables import partitions
+from corpusloom.llm.tables import partitions, written
 from corpusloom.llm.words import U64
 
 #: Bytes of text in a block, about.
@@ -40,13 +40,15 @@ def unpack(b: bytes) -> np.ndarray:
     return np.cumsum(numbers(b, np.uint64), dtype=np.uint64)
 
 
-def ranges(h: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
-    """The non-empty ranges of sorted hashes."""
-    cuts = [U64((i << 64) // parts) for i in range(1, parts)]
-    ends = [0, *np.searchsorted(h, np.array(cuts, np.uint64)), len(h)]
-    for i in range(parts):
-        if ends[i] < ends[i + 1]:
-            yield i, slice(ends[i], ends[i + 1])
+def ranges(h: np.ndarray, parts: int, place=None) -> Iterator[tuple[int, slice]]:
+    """The non-empty ranges of sorted hashes, or the places of ranges, in time that grows with the hashes and not with the ranges."""
+    if not len(h):
+        return
+    of = (h >> U64(32)) * U64(parts) >> U64(32)
+    of = of.astype(np.int64) if place is None else place(of.astype(np.int64))
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(h)]
+    for a, z in zip(cuts, cuts[1:]):
+        yield int(of[a]), slice(a, z)
 
 
 class Blocks:
@@ -63,4 +65,5 @@ class Blocks:
         placed = docs.withColumn("seq", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
         placed = placed.withColumn("block", F.pmod(F.xxhash64("seq", "text"), F.lit(self.count)).cast("int"))
         placed.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").format("parquet").saveAsTable(self.name)
+        written.append(self.name)
         self.table = self.spark.table(self.name)

@@ -7,7 +7,7 @@ A pre-token that is itself in the vocabulary is that token. Ids are ranks.
 
 ``encode`` adds ``ids`` (little-endian unsigned 32-bit integers), ``decode`` adds
 ``decoded`` (bytes) by the inverse mapping. Both work on whole texts, chunk by chunk;
-what a worker keeps of earlier pre-tokens is bounded by CACHE.
+a task keeps the ids of at most CACHE earlier pre-tokens of at most KEPT characters each, in two generations.
 
 Defined results: null and empty texts have no ids and decode to no bytes; other columns
 pass through, and an older ``ids`` or ``decoded`` column is replaced; repeated
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-import functools
 import struct
 from collections.abc import Iterator
 from pathlib import Path
@@ -32,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corpusloom.llm.tables import read
+from corpusloom.llm.tables import in_batches, read
 from corpusloom.llm.words import chunks, column
 
 _ID = struct.Struct("<I")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens, about, whose ids a worker keeps in each of two generations.
-CACHE = 60_000
+#: Pre-tokens, about, whose ids a task keeps in each of two generations, and their longest.
+CACHE, KEPT = 50_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -83,7 +82,7 @@ def model_of(ranks: dict[bytes, int]) -> bytes:
 
 
 class Coder:
-    """Encodes and decodes; one for each worker and vocabulary."""
+    """Encodes and decodes; one for each task."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
@@ -99,11 +98,11 @@ class Coder:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text; pre-tokens that are new to the worker are encoded together."""
+        """The packed ids of each text; pre-tokens that are new to the task are encoded together."""
         found = [self.find(t) for t in texts]
         if len(self.kept) >= CACHE:
             self.older, self.kept = self.kept, {}
-        kept, merge = self.kept, []
+        kept, merge, long = self.kept, [], []
         for token in set().union(*found).difference(kept):
             known = self.older.get(token)
             if known is None and (rank := self.ranks.get(token.encode())) is not None:
@@ -115,7 +114,12 @@ class Coder:
         shown = [codecs.charmap_decode(t.encode(), "strict", self.shown)[0] for t in merge]
         for token, ids in zip(merge, self.model.encode(shown, num_threads=1)):
             kept[token] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(kept.__getitem__, f)) for f in found]
+            if len(token) > KEPT:
+                long.append(token)
+        out = [b"".join(map(kept.__getitem__, f)) for f in found]
+        for token in long:
+            del kept[token]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         n = np.frombuffer(ids, "<u4")
@@ -124,52 +128,46 @@ class Coder:
         return self.blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[n] - (ends - sizes), sizes)].tobytes()
 
 
-@functools.lru_cache(1)
-def _coder(path: str, pattern: str) -> Coder:
-    return Coder(path, pattern)
-
-
-def _with(df: DataFrame, names: list[str], left_out: str | None, add) -> DataFrame:
-    """df with the binary columns that add makes, chunk by chunk, from each batch, and without one column."""
+def _with(df: DataFrame, names: list[str], left_out: str | None, path: str, pattern: str, add) -> DataFrame:
+    """df with the binary columns that add makes with a coder, chunk by chunk, from each batch, and without one column."""
     df = df.drop(*names)
     kept = [c for c in df.columns if c != left_out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(path, pattern)
         for batch in batches:
-            for part, made in add(batch):
+            for part, made in add(coder, batch):
                 columns = [part.column(part.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.binary()) for x in made)], [*kept, *names])
 
-    return df.mapInArrow(run, StructType([*(f for f in df.schema.fields if f.name in kept), *(StructField(n, BinaryType()) for n in names)]))
+    return in_batches(df, run, StructType([*(f for f in df.schema.fields if f.name in kept), *(StructField(n, BinaryType()) for n in names)]))
 
 
 def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, pattern: str | None = None, keep_text: bool = True, with_decoded: bool = False) -> DataFrame:
     """docs with ids; with_decoded: and, from the same pass, what these ids decode to; the text may be left out."""
     path, pattern = vocabulary or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
 
-    def add(batch: pa.RecordBatch):
-        coder = _coder(path, pattern)
+    def add(coder: Coder, batch: pa.RecordBatch):
         data, offsets = column(batch, text)
         raw = memoryview(data)
         for a, z in chunks(offsets):
             ids = coder.encode([str(raw[offsets[i] : offsets[i + 1]], "utf-8", "replace") for i in range(a, z)])
             yield batch.slice(a, z - a), [ids, list(map(coder.decode, ids))] if with_decoded else [ids]
 
-    return _with(docs, ["ids", "decoded"] if with_decoded else ["ids"], None if keep_text else text, add)
+    return _with(docs, ["ids", "decoded"] if with_decoded else ["ids"], None if keep_text else text, path, pattern, add)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """encoded (with ids) and decoded."""
     path, pattern = vocabulary or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
 
-    def add(batch: pa.RecordBatch):
-        coder = _coder(path, pattern)
+    def add(coder: Coder, batch: pa.RecordBatch):
         ids = batch.column(batch.schema.get_field_index("ids"))
         step = 256
         for a in range(0, len(ids), step):
             yield batch.slice(a, step), [[coder.decode(x or b"") for x in ids.slice(a, step).to_pylist()]]
 
-    return _with(encoded, ["decoded"], None, add)
+    return _with(encoded, ["decoded"], None, path, pattern, add)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

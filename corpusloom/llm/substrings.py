@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.llm.blocks import Blocks, numbers, pack, planes, ranges, unpack
-from corpusloom.llm.tables import read
+from corpusloom.llm.tables import in_groups, read
 from corpusloom.llm.words import Words, column
 
 LENGTH = 20
@@ -91,8 +91,8 @@ def _seeds(blocks: Blocks) -> DataFrame:
         out = [(b, h[_member(h, shared)]) for b, h in zip(t.column("block").to_pylist(), lists)]
         return _table([(b, pack(h)) for b, h in out if len(h)], _TOLD)
 
-    sent = blocks.table.select("block", "text").groupBy("block").applyInArrow(send, "part int, block int, hashes binary")
-    return sent.groupBy("part").applyInArrow(answer, "block int, hashes binary")
+    sent = in_groups(blocks.table.select("block", "text").groupBy("block"), send, "part int, block int, hashes binary")
+    return in_groups(sent.groupBy("part"), answer, "block int, hashes binary")
 
 
 def _first_places(h: np.ndarray, seq: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +140,8 @@ def _repeats(blocks: Blocks, seeds: DataFrame) -> DataFrame:
         return _table(out, _TOLD)
 
     docs = blocks.table.select("block", "seq", "text").groupBy("block")
-    sent = docs.cogroup(seeds.groupBy("block")).applyInArrow(extend, "part int, block int, hashes binary, seqs binary, starts binary")
-    return sent.groupBy("part").applyInArrow(answer, "block int, hashes binary")
+    sent = in_groups(docs.cogroup(seeds.groupBy("block")), extend, "part int, block int, hashes binary, seqs binary, starts binary")
+    return in_groups(sent.groupBy("part"), answer, "block int, hashes binary")
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         ]
         return pa.Table.from_arrays([*(t.column(c) for c in carried), *made], [*carried, "n_words", "n_removed", "repeats", "kept"])
 
-    return blocks.table.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(mark, schema)
+    return in_groups(blocks.table.groupBy("block").cogroup(repeats.groupBy("block")), mark, schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

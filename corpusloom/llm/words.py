@@ -27,21 +27,27 @@ _STEP = int(_constants(13, 1)[0]) & ~7 | 3
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown when a longer chunk comes."""
+    """Powers of an odd base and of its inverse modulo 2**64, grown when a longer chunk comes; those for a text far beyond a chunk are not kept."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > 2 * CHUNK_BYTES:
+            return self._first(n)
         if len(self.up) < n:
-            size = max(n, min(2 * len(self.up), CHUNK_BYTES), 1 << 16)
-            for name, x in (("up", self.base), ("down", self.inverse)):
-                p = np.full(size, x, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+            self.up, self.down = self._first(max(n, min(2 * len(self.up), CHUNK_BYTES), 1 << 16))
         return self.up[:n], self.down[:n]
 
+    def _first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for x in (self.base, self.inverse):
+            p = np.full(n, x, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        return out[0], out[1]
+
 
 _BYTES, _WORDS = _Powers(_BASE), _Powers(_STEP)
 
@@ -105,12 +111,9 @@ class Words:
         self._total, self._down = total, down
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
 
-    def prefixes(self, n: int, which: np.ndarray) -> np.ndarray:
-        """Hashes of the first n bytes of the chosen words; 0 for a shorter word."""
-        start = self.start[which]
-        end = np.minimum(start + n, self.end[which])
-        h = mix((self._total[end] - self._total[start]) * self._down[start], 900 + n)
-        return np.where(end - start == n, h, U64(0))
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of bytes, not yet mixed."""
+        return (self._total[end] - self._total[start]) * self._down[start]
 
     def grams(self, k: int, salt: int = 0, tokens: np.ndarray | None = None) -> np.ndarray:
         """Hashes of all runs of k words; those that cross into another text are not valid."""
