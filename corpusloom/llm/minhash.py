@@ -8,7 +8,8 @@ coordinates are candidates; bands and their rows follow from the threshold, so t
 
 Within a bucket no pairs are listed: all members are verified against the most central
 one. Members that then still lie in different components are joined on prefixes of the shingles in which they differ from the
-central member: two that are linked, but not both with it, differ from it in much the same way. So every pair that shares a band is
+central member: two that are linked, but not both with it, differ from it in much the same way. There too each meets one other first, and only
+what still lies apart meets all. So every pair that shares a band is
 linked, known to be no link, or inside one component, while the pairs of a group are never listed. Links are confirmed on full sets.
 
 Defined results: a document without words is linked with nothing and kept; fewer
@@ -24,17 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.graph import components
-from corpusloom.llm.tables import read, stored
+from corpusloom.llm.tables import in_batches, read, stored
 from corpusloom.llm.words import U64, Words, grams, mix, signed, texts_of
 
 SHINGLE = 5
 THRESHOLD = 85  # per cent of the union, in op6
 MISS = 3e-6
-MOST = 320  # coordinates of a sketch, unless bands of one row need more
+MOST = 168  # coordinates of a sketch, unless bands of one row need more
 _EMPTY = U64((1 << 64) - 1)
 
 
@@ -114,7 +115,7 @@ def signatures(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 ["doc_id", "key", "n_shingles", "node", "bands"],
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, key long, n_shingles long, node long, bands array<long>")
+    return in_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), run, "doc_id long, key long, n_shingles long, node long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             sets = [s for s in shingle_sets(w) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
-    return docs.select("text").mapInArrow(run, "node long, items binary")
+    return in_batches(docs.select("text"), run, "node long, items binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -146,7 +147,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     one = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     two = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return in_batches(pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _open(rows: DataFrame, key: str) -> DataFrame:
@@ -156,39 +157,75 @@ def _open(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(mixed.select(key, "most"), key)
 
 
-def differences(x: np.ndarray, y: np.ndarray, threshold: int) -> tuple[np.ndarray, int]:
-    """A prefix of the shingles that a set x and a central set y don't share, those of x first, and the number of all.
+def differences(x: np.ndarray, y: np.ndarray, threshold: int) -> tuple[np.ndarray, int, int, bool]:
+    """The shingles that a set x and a central set y don't share; how many of them, in an order that holds for all sets, are to meet sets that link to y, and how many others; whether x links to y.
 
-    Call these shingles D(x). Two sets link if at most b = (100 - t) / (100 + t) of both sizes is in one of them alone, and what is in one of
-    them alone is what is in D of one alone. So if one of two linked sets doesn't link to y, their D share a shingle,
-    and so many that both prefixes hold a common one: for a set that links to y more than (d + b (|y| - |x|)) / 2, for another at
-    least d - |x| (100 - t) / t, d being the size of D(x).
+    Call these shingles D(x), d of them. Two sets link if at most b = (100 - t) / (100 + t) of both sizes is in one of them alone, and what is in one of
+    them alone is what is in D of one alone; so they link if their D share (d(x) + d(z) - b (|x| + |z|)) / 2 or more. A set that doesn't
+    link to y has d(z) > b (|z| + |y|), so to meet one, more than (d(x) + b (|y| - |x|)) / 2 of D(x) must be shared. To meet
+    one that links to y, a set that doesn't must share d(x) - |x| (100 - t) / t at least. Where so many must be shared, all but so many and one more hold the first shared one.
     """
-    own, other = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-    d, shared, n = len(own) + len(other), len(x) - len(own), len(x)
-    if 100 * shared >= threshold * (n + len(y) - shared):
-        least = ((100 + threshold) * d + (100 - threshold) * (len(y) - n)) // (2 * (100 + threshold)) + 1
-    else:
-        least = max(1, d - n * (100 - threshold) // threshold)
-    return np.concatenate([own, other])[: max(0, d - least + 1)], d
+    some = np.setxor1d(x, y, assume_unique=True)
+    d, n = len(some), len(x)
+    shared = (n + len(y) - d) // 2
+    linked = 100 * shared >= threshold * (n + len(y) - shared)
+    apart = max(0, ((100 + threshold) * d + (100 - threshold) * (len(y) - n)) // (2 * (100 + threshold))) + 1
+    near = max(1, d - n * (100 - threshold) // threshold)
+    return some, 0 if linked else max(0, d - near + 1), max(0, d - apart + 1), linked
+
+
+_DIFFERING = "key long, a long, node long, n long, component long, d long, near long, apart long, linked boolean"
 
 
 def _differing(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """node, n, component, key (the hash of a central member a and of a shingle of the node's differences from it), d of them, left from this one on."""
+    """node, n, component, and whether it links to a central member a; key: the hash of a, of a shingle of the node's differences from it, and of which sets it is to meet there; d, how many differences; left, how many from this one on.
+
+    The rarest differences come first, so that one that a whole family shows hardly ever leads to a meeting, and those of one node alone to none. Of two
+    sets that link to a both are in one component, so sets that link to it only meet others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, node, n, component, x, y = (batch.column(k)[i].as_py() for k in range(6))
-                some, d = differences(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold)
+                a, node, n, component = (batch.column(k)[i].as_py() for k in range(4))
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (4, 5))
+                some, near, apart, linked = differences(x, y, threshold)
                 keys = signed(mix(some + mix(np.array([a], np.int64).view(np.uint64))))
-                same = [np.full(len(keys), v, np.int64) for v in (node, n, component, d)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (keys, *same, d - np.arange(len(keys)))], ["key", "node", "n", "component", "d", "left"])
+                same = [pa.array(np.full(len(keys), v)) for v in (a, node, n, component, len(keys), near, apart, linked)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *same], ["key", "a", "node", "n", "component", "d", "near", "apart", "linked"])
 
     of = rows.select("a", "node", "n", "component").distinct()
     one = sets.select("node", F.col("items").alias("x"))
     two = sets.select(F.col("node").alias("a"), F.col("items").alias("y"))
-    return of.join(one, "node").join(two, "a").select("a", "node", "n", "component", "x", "y").mapInArrow(run, "key long, node long, n long, component long, d long, left long")
+    every = stored(in_batches(of.join(one, "node").join(two, "a").select("a", "node", "n", "component", "x", "y"), run, _DIFFERING), "differing")
+    times = every.groupBy("key").agg(F.count("*").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("a", "node").orderBy("times", "key"))
+    ranked = every.join(times, "key").withColumn("rank", rank).where("times > 1")
+    # a linked set meets those apart, at the keys by which these meet linked ones
+    meets = F.array_compact(F.array(F.when(F.col("rank") <= F.when(F.col("linked"), F.col("apart")).otherwise(F.col("near")), True), F.when(~F.col("linked") & (F.col("rank") <= F.col("apart")), False)))
+    ranked = ranked.withColumn("meets_linked", F.explode(meets)).withColumn("left", F.col("d") - F.col("rank") + 1)
+    return ranked.select(F.xxhash64("key", "meets_linked").alias("key"), "node", "n", "component", "d", "left", "linked", "meets_linked")
+
+
+def _meetings(differing: DataFrame, threshold: int, first: bool) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that may link: at each key all, or only each one with the first, the closest to the central member."""
+    close = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * threshold) & (F.col("component") != F.col("component_a"))
+    # two that link share (d + d_a - b (n + n_a)) / 2 differences at least; from their first common one on, both must have so many
+    shared = (100 + threshold) * (F.col("d") + F.col("d_a")) - (100 - threshold) * (F.col("n") + F.col("n_a"))
+    enough = F.least("left", "left_a") * (2 * (100 + threshold)) >= shared
+    named = {c: f"{c}_a" for c in ("n", "component", "d", "left")} | {"node": "a"}
+    loose = differing.where("not linked")
+    if first:
+        order = F.struct("d", "node", "n", "component", "left")
+        hosts = differing.where("linked or not meets_linked").groupBy("key").agg(F.min(order).alias("host")).select("key", "host.*")
+        guests = loose
+    else:
+        hosts = differing.where("linked").select("key", "node", "n", "component", "d", "left")
+        apart = _open(loose.where("not meets_linked"), "key")
+        hosts = hosts.union(apart.where("component != most.component").select(hosts.columns))
+        guests = loose
+    pairs = guests.join(hosts.withColumnsRenamed(named), "key").where(close & enough)
+    return pairs.select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -196,7 +233,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     close = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * threshold) & (F.col("node") != F.col("a"))
     signed_docs = stored(signatures(docs, threshold), "signatures")
     some = signed_docs.where("node is not null")
-    nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(rows.join(shared, "bucket"), "members")
@@ -207,7 +244,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     leaders = leaders.select("bucket", F.col("top.node").alias("a"), F.col("top.n").alias("n_a"))
     stars = stored(members.join(leaders, "bucket").where(close).select("a", F.col("node").alias("b")).distinct(), "pairs")
 
-    wanted = members.select("node").distinct().join(some.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
     nameless = docs.where("doc_id is null").select("doc_id", "text")
     sets = stored(_sets(texts.union(nameless)).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
@@ -217,21 +254,24 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     placed = stored(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     differing = stored(_differing(_open(placed, "bucket").join(leaders, "bucket"), sets, threshold), "differing")
-    rows = _open(differing, "key")
-    strays = rows.where("component != most.component").select("key", *(F.col(c).alias(f"{c}_a") for c in ("n", "component", "d", "left")), F.col("node").alias("a"))
-    # two that link share (d + d_a - b (n + n_a)) / 2 differences at least; from their first common one on, both must have so many
-    shared = (100 + threshold) * (F.col("d") + F.col("d_a")) - (100 - threshold) * (F.col("n") + F.col("n_a"))
-    enough = (F.least("left", "left_a") * (2 * (100 + threshold)) >= shared) & (F.col("component") != F.col("component_a"))
-    rest = rows.join(strays, "key").where(close & enough)
-    rest = rest.select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b")).distinct()
-    rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
-    more = stored(_confirmed(rest, sets, threshold), "links")
-    if more.take(1):
-        labels = components(links.union(more))
-
-    joined = signed_docs.drop("bands").join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("component", "node"))
-    names = joined.where("group is not null").groupBy(F.col("group").alias("g")).agg(F.min("doc_id").alias("name"))
-    return joined.join(names, F.col("group") == F.col("g"), "left").select(
+    # what may link meets one at each key first; who still lies apart then meets all
+    for first in (True, False):
+        rest = stored(_meetings(differing, threshold, first).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = stored(_confirmed(rest, sets, threshold), "links")
+        if more.take(1):
+            links = links.union(more)
+            labels = components(links)
+            if first:
+                component = labels.withColumnRenamed("component", "now")
+                differing = differing.join(component, "node", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+        tested = tested.union(rest.select("a", "b"))
+
+    # names are found among nodes, not among rows: a text with many copies is one node, and one without a link names itself
+    named = nodes.select("node", "doc_id").join(labels, "node", "left")
+    names = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("name"))
+    linked = named.where("component is not null").join(names, "component").select(F.col("node").alias("of"), F.col("component").alias("group"), "name")
+    alone = named.where("component is null").select(F.col("node").alias("of"), F.col("node").alias("group"), F.col("doc_id").alias("name"))
+    return signed_docs.drop("bands").join(linked.union(alone), F.col("node") == F.col("of"), "left").select(
         "doc_id",
         "key",
         "n_shingles",
