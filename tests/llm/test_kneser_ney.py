@@ -1,5 +1,8 @@
 import math
+import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -79,3 +82,76 @@ def test_no_rows(spark):
     model = train(df.limit(0))
     assert [(r.doc_id, r.score, r.n_known) for r in score(df, model).orderBy("doc_id").collect()] == [(1, 0.0, 0), (2, 0.0, 0)]
     assert score(df.limit(0), train(df)).count() == 0
+
+
+def plain(teach, rows, order):
+    """log10 probabilities by the definition, gram by gram."""
+    marks = ["<s>"] * (order - 1)
+    grams = {k: Counter() for k in range(1, order + 1)}
+    for _, t in teach:
+        w = [*marks, *words(t)]
+        grams[order].update(tuple(w[i - order + 1 : i + 1]) for i in range(order - 1, len(w)))
+    for k in range(order - 1, 0, -1):
+        grams[k].update(g[1:] for g in grams[k + 1])
+    d = {k: (0.0, *discounts([sum(c == n for c in grams[k].values()) for n in (1, 2, 3, 4)])) for k in grams}
+    total, lost = Counter(), Counter()
+    for k in grams:
+        for g, c in grams[k].items():
+            total[k, g[:-1]] += c
+            lost[k, g[:-1]] += d[k][min(c, 3)]
+
+    def p(k, g):
+        if k == 0:
+            return 1 / (len(grams[1]) + 1)
+        lower = p(k - 1, g[1:])
+        if not total[k, g[:-1]]:
+            return lower
+        c = grams[k][g]
+        return (c - d[k][min(c, 3)] + lost[k, g[:-1]] * lower) / total[k, g[:-1]]
+
+    out = []
+    for i, t in rows:
+        w = [*marks, *words(t)]
+        out.append((str(i), str(t), sum(math.log10(p(order, tuple(w[n - order + 1 : n + 1]))) for n in range(order - 1, len(w)))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_every_order_counts_words_before(spark, monkeypatch, order):
+    monkeypatch.setattr(kneser_ney, "RANGE_BYTES", 500)
+    rng = random.Random(order)
+    rows = ROWS + [(20 + i, " ".join(rng.choices("abcdefg", [9, 7, 5, 3, 2, 1, 1], k=rng.randint(0, 40)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = score(df, train(df.where("doc_id < 60"), order)).collect()
+    want = plain([r for r in rows if r[0] is not None and r[0] < 60], rows, order)
+    assert sorted(str(r.doc_id) for r in got) == [w[0] for w in want]
+    by_id = {}
+    for i, _, x in want:
+        by_id.setdefault(i, []).append(x)
+    for r in got:
+        assert any(r.score == pytest.approx(x) for x in by_id[str(r.doc_id)])
+
+
+def test_few_files_are_open_whatever_the_number_of_ranges(tmp_path):
+    code = """
+import resource, sys
+import numpy as np
+from corpusloom.llm import kneser_ney as k
+k.OPEN = 16
+store = k.Store(sys.argv[1], 5_000)
+h = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 60_000, np.uint64))
+for file, s in k.ranges(h, store.parts, store.file_of):
+    w = k.Writer(store.path("t", file), {"hashes": np.uint64, "a": np.int64})
+    for half in np.array_split(h[s], 2):
+        w.append(hashes=half, a=(half % np.uint64(1_000)).astype(np.int64))
+    w.close()
+resource.setrlimit(resource.RLIMIT_NOFILE, (60, 60))
+some = np.concatenate([h[::3], h[:50], h[::3] + np.uint64(1)])
+assert store.files > 600
+for _ in range(2):
+    (a,) = k.look_up(store, "t", some, a=np.float64)
+    assert (a == np.where(np.isin(some, h), some % np.uint64(1_000), 0)).all()
+print(len(k._open))
+"""
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True)
+    assert out.stdout.strip() == "16", out.stderr
