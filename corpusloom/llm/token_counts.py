@@ -10,7 +10,8 @@ word has a count. Words are lower-cased runs of letters, single digits, or runs
 other characters that are no white space.
 
 Defined results: null and empty texts have no words and no tokens; repeated rows are
-counted each; other columns are ignored. A worker keeps the counts of at most CACHE words.
+counted each; other columns are ignored. A task keeps the counts of at most CACHE words of at most KEPT characters
+each; longer ones are counted whenever they come.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.byte_bpe import byte_characters
-from corpusloom.llm.tables import read
+from corpusloom.llm.tables import in_batches, read
 from corpusloom.llm.words import chunks, column
 
 VOCABULARY = "word_bpe_49k.json"
 WORD = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 END = "</w>"
-CACHE = 300_000
+CACHE, KEPT = 200_000, 32
 
 
 def symbols(raw: bytes, ends: bool) -> tuple[int, ...]:
@@ -105,8 +106,30 @@ class Automaton:
 
 
 @functools.lru_cache(1)
-def _automaton(path: str) -> tuple[Automaton, dict[str, int]]:
-    return Automaton(read_pieces(path)), {}
+def _automaton(path: str) -> Automaton:
+    return Automaton(read_pieces(path))
+
+
+class Counter:
+    """Word pieces of texts; what it keeps ends with the task."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton, self.find = automaton, regex.compile(WORD).findall
+        self.kept: dict[str, int] = {}
+
+    def count(self, text: str) -> tuple[int, int]:
+        """Words and tokens of a text."""
+        words = self.find(text.lower())
+        if len(self.kept) >= CACHE:
+            self.kept.clear()
+        kept, number = self.kept, self.automaton.count
+        new = set(words).difference(kept)
+        long = {w for w in new if len(w) > KEPT}
+        for w in new - long:
+            kept[w] = number(symbols(w.encode(), True))
+        if not long:
+            return len(words), sum(map(kept.__getitem__, words))
+        return len(words), sum(kept[w] if w in kept else number(symbols(w.encode(), True)) for w in words)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -114,23 +137,15 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, kept = _automaton(path)
-        find = regex.compile(WORD).findall
+        counter = Counter(_automaton(path))
         for batch in batches:
             data, offsets = column(batch, "text")
             raw = memoryview(data)
             for a, z in chunks(offsets):
-                words = [find(str(raw[offsets[i] : offsets[i + 1]], "utf-8", "replace").lower()) for i in range(a, z)]
-                if len(kept) >= CACHE:
-                    kept.clear()
-                for w in set().union(*words).difference(kept):
-                    kept[w] = automaton.count(symbols(w.encode(), True))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, z - a), pa.array(map(len, words), pa.int64()), pa.array([sum(map(kept.__getitem__, w)) for w in words], pa.int64())],
-                    ["doc_id", "n_words", "n_tokens"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+                found = [counter.count(str(raw[offsets[i] : offsets[i + 1]], "utf-8", "replace")) for i in range(a, z)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), *(pa.array(x, pa.int64()) for x in zip(*found))], ["doc_id", "n_words", "n_tokens"])
+
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_tokens long")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

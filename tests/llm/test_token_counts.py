@@ -1,8 +1,12 @@
+import functools
+import random
+import unicodedata
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm.token_counts import VOCABULARY, Automaton, count_tokens, read_pieces, symbols
+from corpusloom.llm.token_counts import VOCABULARY, Automaton, Counter, count_tokens, read_pieces, symbols
 
 PIECES = read_pieces(public_tokenizers.path(VOCABULARY))
 AUTOMATON = Automaton(PIECES)
@@ -41,3 +45,37 @@ def test_rows(spark):
     many = greedy(symbols(b"x" * 50_000, True), PIECES)
     assert got == sorted([(1, 2, 2 * hello), (1, 2, 2 * hello), (2, 0, 0), (3, 0, 0), (4, 1, many), (None, 2, 2)], key=str)
     assert count_tokens(df.limit(0)).count() == 0
+
+
+@functools.lru_cache(None)
+def _greedy(word):
+    return greedy(symbols(word.encode(), True), PIECES)
+
+
+def plain(text):
+    """Words and tokens of a text, character by character."""
+    words, kind = [], None
+    for c in (text or "").lower():
+        k = "letter" if unicodedata.category(c)[0] == "L" else "digit" if unicodedata.category(c)[0] == "N" else None if c.isspace() and not 0x1C <= ord(c) <= 0x1F else "other"
+        if k in ("letter", "other") and k == kind:
+            words[-1] += c
+        elif k:
+            words.append(c)
+        kind = k
+    return len(words), sum(map(_greedy, words))
+
+
+def test_whole_texts_are_split_and_counted_as_plainly(spark):
+    rng = random.Random(4)
+    parts = ["Hello", "ÉTÉ", "straße", "İ", "12345", "٣", "x1y", "!?", "…", "  ", "\t", "\n", "\u00a0", "\u3000", "漢字", "emoji🙂", "e\u0301", "w" * 40]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 25)))) for i in range(300)]
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: plain(t) for i, t in rows}
+
+
+def test_long_words_are_counted_and_not_kept():
+    counter = Counter(AUTOMATON)
+    long = [chr(97 + i % 26) * 3 + str(i) + "q" * 10_000 for i in range(50)]
+    n, tokens = counter.count(" ".join(long))
+    assert n == 190 and tokens == sum(plain(w)[1] for w in long[:2]) + sum(counter.count(w)[1] for w in long[2:])
+    assert all(len(w) <= 32 for w in counter.kept)
