@@ -1,5 +1,6 @@
 import numpy as np
 
+from corpusloom.llm import ann
 from corpusloom.llm.ann import Codebook, build_index, search, vectors
 
 
@@ -53,7 +54,8 @@ def test_few_and_no_rows(spark):
 def test_codes_mind_the_parallel_residual():
     x = np.random.default_rng(2).standard_normal((2_000, 64))
     book = Codebook.learn(x, 64)
-    parts = book.split(x)
+    coarse = book.coarse[book.nearest(x)]
+    parts = book.split(x - coarse)
 
     def loss(codes):
         r = np.concatenate([parts[s] - book.centroids[s][codes[s]] for s in range(book.pairs)], 1)
@@ -62,5 +64,19 @@ def test_codes_mind_the_parallel_residual():
     assert loss(book.codes(x)) < loss(book.codes(x, sweeps=0))
     q = x[:3]
     tables, codes = book.tables(q), book.packed(x)
-    decoded = np.concatenate([book.centroids[s][c] for s, c in enumerate(book.codes(x))], 1)
+    decoded = np.concatenate([book.centroids[s][c] for s, c in enumerate(book.codes(x))], 1) + coarse
     assert np.allclose(sum(tables[b][codes[:, b]] for b in range(len(tables))), decoded @ q.T, atol=1e-4)
+
+
+def test_a_grid_of_many_cells_finds_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 24)) * 3
+    rows = {i: centres[i % 12] + rng.standard_normal(24) for i in range(3_000)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    want = {(q, i) for q, _, i, _ in brute(rows, 20, 20)}
+    for segment, queries, segments in ((8_192, 8_192, 8), (300, 40, 3)):
+        for name, value in (("SEGMENT", segment), ("QUERIES", queries), ("SEGMENTS", segments)):
+            monkeypatch.setattr(ann, name, value)
+        got = found(df, 20, 20)
+        assert len(got) == 150 * 20 and [r[1] for r in got] == [*range(1, 21)] * 150
+        assert len(want & {(q, i) for q, _, i, _ in got}) >= 0.95 * len(want)
