@@ -25,9 +25,18 @@ sizes AS (SELECT DISTINCT n FROM phrases),
 runs AS (SELECT r, n, a, array_to_string(w[a : a + n - 1], ' ') AS phrase FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM docs, sizes WHERE len(w) >= n)),
 found AS (SELECT r, a, n, item_id FROM runs JOIN phrases USING (n, phrase)),
 hits AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(a, a + n)) AS i FROM found) GROUP BY r),
-listed AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY r)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
+listed AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY r),
+places AS (SELECT r, i, w[i] AS t FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs)),
+counts AS (SELECT t, count(*) AS c FROM places GROUP BY t),
+terms AS (SELECT phrase, n, o, string_split(phrase, ' ')[o] AS t FROM (SELECT phrase, n, unnest(range(1, n + 1)) AS o FROM (SELECT DISTINCT phrase, n FROM phrases))),
+rare AS (SELECT phrase, n, arg_min(t, coalesce(c, 0) * 100 + o) AS t FROM terms LEFT JOIN counts USING (t) GROUP BY phrase, n),
+centres AS (SELECT phrase, n, r, i FROM rare JOIN places USING (t)),
+around AS (SELECT c.phrase, c.r, c.i FROM centres c JOIN terms x ON x.phrase = c.phrase JOIN places p ON p.r = c.r AND p.t = x.t AND p.i BETWEEN c.i - 20 AND c.i + 20
+           GROUP BY c.phrase, c.r, c.i, c.n HAVING count(DISTINCT x.o) = c.n),
+near AS (SELECT r, count(DISTINCT item_id) AS n_near FROM around JOIN phrases USING (phrase) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(n_near, 0) AS n_near,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN listed USING (r) LEFT JOIN near USING (r)
 """
 
 NEAR_DUPLICATES = f"""

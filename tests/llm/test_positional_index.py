@@ -1,10 +1,15 @@
+import pickle
 import random
 import re
+import tracemalloc
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import positional_index
-from corpusloom.llm.positional_index import find_phrases, proximity
+from corpusloom.llm.positional_index import Phrases, find_phrases
 
 
 def words(text):
@@ -58,7 +63,47 @@ def test_empty_tables(spark):
     assert [(r.n_words, r.n_hit) for r in find_phrases(docs, items.limit(0)).collect()] == [(2, 0)]
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "gamma x alpha y beta"), (2, "alpha beta " + "x " * 9 + "gamma"), (3, "beta alpha gamma"), (4, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
-    assert sorted(r.doc_id for r in proximity(docs, items, 4).collect()) == [1, 3]
+def brute_near(docs, items, distance, window=10):
+    """Per document the items with a window whose words all lie within distance of its rarest, the first of equally rare ones."""
+    counts = Counter(x for _, t in docs for x in words(t))
+    phrases = set()
+    for i, t in items:
+        w = words(t)
+        n = min(window, len(w))
+        phrases |= {(i, tuple(w[a : a + n])) for a in range(len(w) - n + 1)} if n and i is not None else set()
+    out = []
+    for i, t in docs:
+        w, found = words(t), set()
+        for item, p in phrases:
+            rare = min(p, key=lambda x: counts[x])
+            if any(x == rare and all(y in w[max(0, at - distance) : at + distance + 1] for y in p) for at, x in enumerate(w)):
+                found.add(item)
+        out.append((i, sorted(found)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("slice_bytes", [8 << 20, 60])
+def test_items_near_a_place_are_those_of_a_plain_search(spark, monkeypatch, slice_bytes):
+    monkeypatch.setattr(positional_index, "PIECE", 50)
+    rng = random.Random(8)
+    vocabulary = [f"w{n}" for n in range(14)]
+    text = lambda n: " ".join(rng.choices(vocabulary, range(1, 15), k=n))
+    items = [(i, text(rng.randint(1, 14))) for i in range(25)] + [(None, text(12))]
+    docs = [(i, text(rng.randint(0, 80))) for i in range(150)] + [(150, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = find_phrases(df, spark.createDataFrame(items, "item_id long, text string"), slice_bytes=slice_bytes, distance=12).collect()
+    assert sorted(((r.doc_id, list(r.near)) for r in got), key=str) == brute_near(docs, items, 12)
+    assert any(set(r.near) - set(r["items"]) for r in got) and all(set(r["items"]) <= set(r.near) for r in got)
+
+
+def test_phrases_of_a_large_slice_stay_flat():
+    rng = np.random.default_rng(3)
+    line = " ".join(f"w{n}" for n in rng.integers(0, 50_000, 3_000))
+    items = pa.table({"item_id": pa.array(range(200), pa.int64()), "text": [line[k:] for k in range(200)]})
+    tracemalloc.start()
+    phrases = Phrases(items, 10)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    whole = [p for p in range(len(phrases.at)) if phrases.first[p + 1] - phrases.first[p] > 150]
+    assert len(phrases.at) < 2 * 3_000 and len(whole) > 2_900
+    assert len(pickle.dumps(phrases)) < 12 << 20
