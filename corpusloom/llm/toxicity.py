@@ -1,15 +1,18 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word's input is the sum of an embedding of the word and of embeddings of its first 3, 4, 5 and 6
-characters (as bytes), so an unseen form of a known stem is known too. Two GRUs read
+A word's input is the sum of an embedding of the word and of embeddings of all its runs of 3 and of 5 characters, told apart at
+its beginning and at its end, so an altered form of a known word is known in part. Two GRUs read
 a window of words, attention pools their states, and a logistic layer scores
 the window. All windows of a text, STRIDE words apart and WINDOW long, are scored; the
 text's score is that of its worst window, calibrated on whole texts.
 
 The network is trained in numpy on the driver, on a bounded sample: at most SAMPLE texts of each
-label by least hash of doc_id, at most SAMPLE_WINDOWS evenly spaced windows of each. Labels come
-only from rows that are not held out; label, language, source and doc_id are no inputs.
-Workers get the weights (under a megabyte: FEATURES inputs at most, each seen in SEEN texts at least and more often with one label by TELLING standard errors) and score whole texts chunk by chunk.
+label by least hash of doc_id. Labels come only from rows that are not held out; label, language, source and doc_id are no inputs.
+Tasks count the inputs of these whole texts; known are the COMMON most frequent ones and the FEATURES that differ most between the labels, each seen in more than SEEN
+texts. Tasks look at all windows and send KEPT of each text at most: those with most inputs of toxic texts, and some evenly between. Every
+epoch takes the window of each toxic text, and two of each clean one, that the network then finds worst or draws; so it learns which window bears the label. A fifth of the sample
+does not train: on its whole texts the scores are calibrated (on all, if it has fewer than CALIBRATE texts of a label).
+Workers get the weights (under a megabyte) and score whole texts chunk by chunk.
 
 Defined results: texts without words score 0, as nothing in them is toxic; repeated rows score
 alike; without labels of both kinds every score is the share of label 1, smoothed;
@@ -27,19 +30,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusloom.llm.tables import read, stored
-from corpusloom.llm.words import ALNUM, Words, texts_of
+from corpusloom.llm.tables import in_batches, partitions, read, stored
+from corpusloom.llm.words import ALNUM, U64, Words, mix, signed, texts_of
 
 WINDOW, STRIDE = 64, 48
-PREFIXES = (3, 4, 5, 6)
-SAMPLE, SAMPLE_WINDOWS, FEATURES, SEEN, TELLING = 1_500, 16, 20_000, 3, 2.3
+#: Characters of the runs of a word that are inputs.
+RUNS = (3, 5)
+SAMPLE, KEPT, CALIBRATE = 1_500, 16, 20
+FEATURES, TELLING, COMMON, SEEN = 12_000, 2.3, 4_000, 3
 FOLDS = 5
 #: Windows that a worker scores at once.
 BATCH = 1_024
 #: The logit of a text without words.
 NOTHING = -1e6
 _D, _H, _A = 8, 8, 8  # sizes of inputs, of a direction's state, of attention
-_EPOCHS, _STEPS, _BATCH, _RATE = 6, 200, 128, 0.01  # epochs, but steps at least
+_EPOCHS, _STEPS, _BATCH, _RATE = 8, 240, 128, 0.01  # epochs, but steps at least
+_MASK = (1 << 20) - 1
+_EDGES = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -47,10 +54,49 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % FOLDS == 0
 
 
-def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the inputs of each distinct word, a row of 1 + len(PREFIXES), and each word's row."""
-    _, first, number = np.unique(w.hash, return_index=True, return_inverse=True)
-    return np.stack([w.hash[first], *(w.prefixes(n, first) for n in PREFIXES)], 1), number
+@dataclass
+class Inputs:
+    """Of distinct words: those of word i are of[first[i] : first[i + 1]], the first of them the word itself."""
+
+    of: np.ndarray
+    first: np.ndarray
+
+    def only(self, known: np.ndarray) -> Inputs:
+        """Those that are known, by the numbers that known has for each."""
+        there = known > 0
+        return Inputs(known[there], np.concatenate(([0], np.cumsum(there)))[self.first])
+
+    def sums(self, e: np.ndarray) -> np.ndarray:
+        """The sum of the rows of e that each word's inputs number."""
+        out = np.zeros((len(self.first) - 1, e.shape[1]), e.dtype)
+        some = np.flatnonzero(self.first[1:] > self.first[:-1])
+        if len(some):
+            out[some] = np.add.reduceat(e[self.of], self.first[some])
+        return out
+
+    def take(self, words: np.ndarray) -> Inputs:
+        size = (self.first[1:] - self.first[:-1])[words]
+        first = np.concatenate(([0], np.cumsum(size)))
+        return Inputs(self.of[np.repeat(self.first[words] - first[:-1], size) + np.arange(first[-1])], first)
+
+
+def inputs(w: Words) -> tuple[Inputs, np.ndarray]:
+    """Hashes of the inputs of each distinct word, and each word's number among these."""
+    _, at, number = np.unique(w.hash, return_index=True, return_inverse=True)
+    start, end = w.start[at], w.end[at]
+    characters = np.append(np.flatnonzero((w.bytes & 0xC0) != 0x80), len(w.bytes))
+    first = np.searchsorted(characters, start)
+    size = np.searchsorted(characters, end) - first
+    found, owner = [w.hash[at]], [np.arange(len(at))]
+    for k in RUNS:
+        n = np.maximum(0, size - k + 1)
+        word = np.repeat(np.arange(len(at)), n)
+        i = np.arange(len(word)) + np.repeat(first - np.cumsum(n) + n, n)
+        a, z = characters[i], characters[i + k]
+        found.append(mix(w.span(a, z) + (a == start[word]) * _EDGES[0] + (z == end[word]) * _EDGES[1], 900 + k))
+        owner.append(word)
+    owner = np.concatenate(owner)
+    return Inputs(np.concatenate(found)[np.argsort(owner, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(at)))))), number
 
 
 def windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,12 +129,16 @@ class Model:
             p |= {f"W{k}": draw(_D, 3 * _H), f"U{k}": draw(_H, 3 * _H), f"b{k}": np.zeros(3 * _H, np.float32)}
         return cls(vocabulary, p)
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Rows of E for hashes, 0 for unknown ones."""
-        if not len(self.vocabulary):
-            return np.zeros(h.shape, np.int64)
-        i = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[i] == h, i + 1, 0)
+    def known(self, x: Inputs) -> Inputs:
+        """Rows of E of the inputs that the vocabulary has."""
+        some = np.zeros(_MASK + 1, bool)  # most hashes are unknown, and most of these end here
+        some[self.vocabulary & U64(_MASK)] = True
+        out = np.zeros(len(x.of), np.int64)
+        at = np.flatnonzero(some[x.of & U64(_MASK)])
+        if len(at):
+            i = np.minimum(np.searchsorted(self.vocabulary, x.of[at]), len(self.vocabulary) - 1)
+            out[at] = np.where(self.vocabulary[i] == x.of[at], i + 1, 0)
+        return x.only(out)
 
     def _run(self, k: str, x: np.ndarray, index: np.ndarray, mask: np.ndarray, kept: list | None) -> np.ndarray:
         """States (window position, window, _H) of one direction; x has the projected inputs that index chooses."""
@@ -125,13 +175,13 @@ class Model:
             kept |= {"h": h, "a": a, "w": w, "pooled": pooled}
         return pooled @ p["u"] + p["c"]
 
-    def gradients(self, numbers: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross entropy; numbers: (position, window, inputs of a word)."""
+    def gradients(self, known: Inputs, index: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy; known: rows of E for the inputs of distinct words, which index (position, window) numbers."""
         p, kept = self.weights, {}
         steps, n = mask.shape
-        x = p["E"][numbers].sum(2).reshape(-1, _D)
-        index = np.arange(steps * n).reshape(steps, n)
-        d = (_sigmoid(self.logits(x, index, mask, kept)) - y) / n
+        words = known.sums(p["E"])
+        x = words[index.reshape(-1)]
+        d = (_sigmoid(self.logits(words, index, mask, kept)) - y) / n
         g = {"u": kept["pooled"].T @ d, "c": d.sum(keepdims=True)}
         dpool = d[:, None] * p["u"]
         h, a, w = kept["h"], kept["a"], kept["w"]
@@ -157,8 +207,10 @@ class Model:
             flat = dg.reshape(-1, 3 * _H)
             g |= {f"U{k}": du, f"W{k}": x.T @ flat, f"b{k}": flat.sum(0)}
             dx += (flat @ p[f"W{k}"].T).reshape(steps, n, _D)
-        flat, of = dx.reshape(-1, _D), numbers.reshape(-1, numbers.shape[2])
-        g["E"] = np.stack([np.bincount(of.reshape(-1), np.repeat(flat[:, i], of.shape[1]), len(p["E"])) for i in range(_D)], 1).astype(np.float32)
+        size, flat = np.diff(known.first), dx.reshape(-1, _D)
+        of_words = np.stack([np.bincount(index.reshape(-1), flat[:, i], len(size)) for i in range(_D)], 1)
+        each = np.repeat(of_words, size, axis=0)
+        g["E"] = np.stack([np.bincount(known.of, each[:, i], len(p["E"])) for i in range(_D)], 1).astype(np.float32)
         g["E"][0] = 0
         return g
 
@@ -171,8 +223,8 @@ class Model:
 
     def worst(self, w: Words) -> np.ndarray:
         """The largest logit of each text's windows."""
-        h, number = features(w)
-        x = np.concatenate([self.weights["E"][self.numbers(h)].sum(1), np.zeros((1, _D), np.float32)])
+        words, number = inputs(w)
+        x = np.concatenate([self.known(words).sums(self.weights["E"]), np.zeros((1, _D), np.float32)])
         text, first, size = windows(w)
         worst = np.full(w.texts, -np.inf)
         for a in range(0, len(text), BATCH):
@@ -183,48 +235,52 @@ class Model:
         return np.where(w.counts > 0, worst, NOTHING)
 
 
-def train(bags: list[tuple[int, np.ndarray]], seed: int = 5) -> Model:
-    """A model without calibration; bags: label and hashes (window, position, inputs; 0 where the window has ended) of each sampled text."""
-    y = np.array([t for t, _ in bags], np.float32)
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(0, np.uint64), constant=float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.25)
+@dataclass
+class Bags:
+    """Windows of texts: words as numbers, -1 where a window has ended (window, position); each one's text; labels of texts; the inputs of the words."""
+
+    index: np.ndarray
+    text: np.ndarray
+    y: np.ndarray
+    known: Inputs
+
+    def batch(self, windows: np.ndarray) -> tuple[Inputs, np.ndarray, np.ndarray]:
+        """The inputs, index and mask of some windows."""
+        some = self.index[windows].T
+        words, index = np.unique(np.maximum(some, 0), return_inverse=True)
+        return self.known.take(words), index.reshape(some.shape), (some >= 0).astype(np.float32)
+
+
+def train(bags: Bags, vocabulary: np.ndarray, odds: np.ndarray, seed: int = 5) -> Model:
+    """A model without calibration; odds: how much each input of the vocabulary tells of label 1."""
+    if len(set(bags.y.tolist())) < 2:
+        return Model(np.zeros(0, np.uint64), constant=float((bags.y.sum() + 0.5) / (len(bags.y) + 1)) if len(bags.y) else 0.25)
     rng = np.random.default_rng(seed)
-    distinct = [np.unique(h[h > 0]) for _, h in bags]
-    toxic = y > 0
-    vocabulary = np.unique(np.concatenate(distinct))
-    seen = np.zeros((2, len(vocabulary)))
-    for label, d in zip(toxic.astype(int), distinct):
-        seen[label][np.searchsorted(vocabulary, d)] += 1
-    seen += 0.5
-    odds = np.log(seen[1] / (toxic.sum() + 1)) - np.log(seen[0] / ((~toxic).sum() + 1))
-    telling = np.abs(odds) / np.sqrt(1 / seen[0] + 1 / seen[1])  # in standard errors
-    known = np.sort(np.lexsort((vocabulary, -telling))[:FEATURES])
-    known = known[(telling[known] > TELLING) & (seen.sum(0)[known] > SEEN)]
-    model = Model.fresh(vocabulary[known], rng)
-    # the first input is how much a feature tells of the label; training goes on from there
-    odds = np.append(0.0, odds[known])
-    model.weights["E"][:, 0] = odds / 4
-
-    chosen, labels = [], []
-    for label, h in bags:
-        n = model.numbers(h)
-        by = np.argsort(-np.maximum(odds[n], 0).sum((1, 2)), kind="stable")
-        take = by[:1] if label else np.unique(np.concatenate([by[:2], rng.permutation(len(n))[:2]]))
-        chosen.append(n[take])
-        labels += [label] * len(take)
-    numbers, target = np.concatenate(chosen), np.array(labels, np.float32)
+    model = Model.fresh(vocabulary, rng)
+    # the first component is how much an input tells of the label, the others are small; training goes on from there
+    model.weights["E"][1:] = 0.1 * rng.standard_normal((len(vocabulary), _D))
+    model.weights["E"][1:, 0] = odds / 4
+    label = bags.y[bags.text] > 0
+    worst = bags.known.sums(np.maximum(np.append(0.0, odds), 0)[:, None])[:, 0]
+    worst = np.where(bags.index >= 0, np.append(worst, 0.0)[bags.index], 0.0).sum(1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
-    t = 0
-    for _ in range(max(_EPOCHS, -(-_STEPS * _BATCH // len(target)))):
-        order = rng.permutation(len(target))
-        for a in range(0, len(order), _BATCH):
-            some = numbers[order[a : a + _BATCH]].transpose(1, 0, 2)
-            mask = (some >= 0).all(2).astype(np.float32)
-            g, t = model.gradients(np.maximum(some, 0), mask, target[order[a : a + _BATCH]]), t + 1
+    steps = epoch = 0
+    while epoch < _EPOCHS or steps < _STEPS:
+        order = np.lexsort((-worst, bags.text))  # of each text the worst window first
+        first = order[np.concatenate(([True], np.diff(bags.text[order]) > 0))]
+        drawn = rng.permutation(len(label))
+        drawn = drawn[np.unique(bags.text[drawn], return_index=True)[1]]
+        chosen = np.unique(np.concatenate([first, drawn[~label[drawn]]]))
+        chosen = rng.permutation(chosen)
+        for a in range(0, len(chosen), _BATCH):
+            some = chosen[a : a + _BATCH]
+            g, steps = model.gradients(*bags.batch(some), label[some].astype(np.float32)), steps + 1
             for k, (m, v) in moments.items():
                 m += 0.1 * (g[k] - m)
                 v += 0.001 * (g[k] * g[k] - v)
-                model.weights[k] -= (_RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+                model.weights[k] -= (_RATE * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)).astype(np.float32)
+        epoch += 1
+        worst = np.concatenate([model.logits(k.sums(model.weights["E"]), i, m) for k, i, m in (bags.batch(np.arange(a, min(a + BATCH, len(label)))) for a in range(0, len(label), BATCH))])
     return model
 
 
@@ -249,53 +305,113 @@ def _calibration(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, y and text of a bounded sample of labelled texts, stored."""
+    """doc_id, y, text and part (what it is for: "train" or "calibrate") of a bounded sample of labelled texts, stored."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("y = 0").orderBy(*order).limit(SAMPLE).union(known.where("y = 1").orderBy(*order).limit(SAMPLE))
     # at most 2 * SAMPLE ids are broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
-    return stored(texts.select("doc_id", "y", "text"), "sample")
+    part = F.when(F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0, "calibrate").otherwise("train")
+    return stored(texts.select("doc_id", "y", "text", part.alias("part")).repartition(partitions(docs.sparkSession), "doc_id"), "sample")
+
+
+def vocabulary_of(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the known inputs, sorted, and the log odds of each for label 1, from all words of the texts (y, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, w in texts_of(batches, "text", kind=ALNUM, fold=True):
+            y = np.asarray(batch.column(0))
+            x, number = inputs(w)
+            for label in (0, 1):
+                seen = []
+                for i in np.flatnonzero((y == label) & (w.counts > 0)):
+                    seen.append(np.unique(x.take(np.unique(number[w.first[i] : w.first[i + 1]])).of))
+                if seen:
+                    h, n = np.unique(np.concatenate(seen), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.where(label, 0, n)), pa.array(np.where(label, n, 0))], ["h", "n0", "n1"])
+
+    total = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    counted = in_batches(texts.select("y", "text"), run, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") > SEEN)
+    a, b = F.col("n0") + 0.5, F.col("n1") + 0.5
+    odds = F.ln(b / (total[1] + 1)) - F.ln(a / (total[0] + 1))
+    counted = stored(counted.select("h", (F.col("n0") + F.col("n1")).alias("n"), odds.alias("odds"), (F.abs(odds) / F.sqrt(1 / a + 1 / b)).alias("telling")), "inputs")
+    telling = counted.where(F.col("telling") > TELLING).orderBy(F.desc("telling"), "h").limit(FEATURES)
+    common = counted.orderBy(F.desc("n"), "h").limit(COMMON)
+    rows = telling.select("h", "odds").union(common.select("h", "odds")).distinct().toArrow()
+    h = rows.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], rows.column("odds").to_numpy()[order]
+
+
+_BAGS = "doc_id long, y int, windows binary, inputs binary, ends binary"
+
+
+def bags_of(texts: DataFrame, vocabulary: np.ndarray, odds: np.ndarray) -> Bags:
+    """At most KEPT windows of each text (doc_id, y, text), chosen from all."""
+    model = Model(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tell = np.maximum(np.append(0.0, odds), 0)[:, None]
+        for batch, w in texts_of(batches, "text", kind=ALNUM, fold=True):
+            x, number = inputs(w)
+            x = model.known(x)
+            sums = np.concatenate(([0.0], np.cumsum(x.sums(tell)[number, 0] if len(number) else np.zeros(0))))
+            text, first, size = windows(w)
+            score = sums[first + size] - sums[first]
+            rows = []
+            for i, (a, z) in enumerate(zip(np.searchsorted(text, np.arange(w.texts)), np.searchsorted(text, np.arange(w.texts), "right"))):
+                mine = np.arange(a, z)
+                if len(mine) > KEPT:
+                    most = mine[np.argsort(-score[mine], kind="stable")[: KEPT - KEPT // 4]]
+                    rest = np.setdiff1d(mine, most)
+                    mine = np.union1d(most, rest[np.linspace(0, len(rest) - 1, KEPT // 4).astype(int)])
+                at = np.arange(WINDOW)
+                index = np.where(at < size[mine, None], np.append(number, 0)[np.minimum(first[mine, None] + at, len(number))], -1)
+                words, index_ = np.unique(index, return_inverse=True)
+                lack = int(len(words) > 0 and words[0] < 0)
+                own = x.take(words[lack:])
+                rows.append([(index_.reshape(index.shape) - lack).astype(np.int32).tobytes(), own.of.astype(np.int32).tobytes(), own.first[1:].astype(np.int32).tobytes()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in zip(*rows))], ["doc_id", "y", "windows", "inputs", "ends"])
+
+    rows = sorted(in_batches(texts.select("doc_id", "y", "text"), run, _BAGS).collect())
+    index, text, of, sizes, n = [], [], [], [], 0
+    for k, r in enumerate(rows):
+        own, ends = np.frombuffer(r.windows, np.int32).reshape(-1, WINDOW), np.frombuffer(r.ends, np.int32)
+        index.append(np.where(own >= 0, own + n, -1))
+        text.append(np.full(len(own), k))
+        of.append(np.frombuffer(r.inputs, np.int32))
+        sizes.append(np.diff(ends, prepend=0))
+        n += len(ends)
+    together = lambda a, empty: np.concatenate(a) if a else empty
+    known = Inputs(together(of, np.zeros(0, np.int64)), np.concatenate(([0], np.cumsum(together(sizes, np.zeros(0, np.int64))))).astype(np.int64))
+    return Bags(together(index, np.zeros((0, WINDOW), np.int64)), together(text, np.zeros(0, np.int64)), np.array([r.y for r in rows], np.float32), known)
 
 
 def fit(texts: DataFrame) -> Model:
-    """The model of a bounded sample (doc_id, y, text), calibrated on all windows of these texts."""
-    model = train(bags_of(texts))
+    """The model of a bounded sample (doc_id, y, text, part), calibrated on the whole texts that don't train."""
+    teach = texts.where("part = 'train'")
+    vocabulary, odds = vocabulary_of(teach)
+    model = train(bags_of(teach, vocabulary, odds), vocabulary, odds)
     if model.constant is None:
+        counts = {r.y: r.n for r in texts.where("part = 'calibrate'").groupBy("y").agg(F.count("*").alias("n")).collect()}
+        enough = min(counts.get(0, 0), counts.get(1, 0)) >= CALIBRATE
+        shared = texts.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, w in texts_of(batches, "text", kind=ALNUM, fold=True):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.worst(w).astype(np.float64))], ["doc_id", "y", "worst"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.worst(w).astype(np.float64))], ["doc_id", "y", "worst"])
 
-        rows = sorted(texts.mapInArrow(run, "doc_id long, y int, worst double").collect())
+        apart = texts.where("part = 'calibrate'") if enough else texts
+        rows = sorted(in_batches(apart.select("doc_id", "y", "text"), run, "doc_id long, y int, worst double").collect())
+        shared.unpersist()
         worst = np.array([r.worst for r in rows])
         worst = np.maximum(worst, min(worst[worst > NOTHING], default=0.0))
         model.slope, model.shift = _calibration(worst, np.array([r.y for r in rows], np.float64))
     return model
 
 
-def bags_of(texts: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """Label and evenly spaced windows, as hashes, of each text of a bounded sample."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, w in texts_of(batches, "text", kind=ALNUM, fold=True):
-            h, number = features(w)
-            text, first, size = windows(w)
-            packed = []
-            for i in range(w.texts):
-                mine = np.flatnonzero(text == i)
-                mine = mine[np.unique(np.linspace(0, len(mine) - 1, SAMPLE_WINDOWS).astype(int))] if len(mine) > SAMPLE_WINDOWS else mine
-                out = np.zeros((len(mine), WINDOW, h.shape[1] if len(h) else 1 + len(PREFIXES)), np.uint64)
-                for k, j in enumerate(mine):
-                    out[k, : size[j]] = h[number[first[j] : first[j] + size[j]]]
-                packed.append(out.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "y", "windows"])
-
-    rows = texts.mapInArrow(run, "doc_id long, y int, windows binary").collect()
-    shape = (-1, WINDOW, 1 + len(PREFIXES))
-    return [(r.y, np.frombuffer(r.windows, np.uint64).reshape(shape)) for r in sorted(rows, key=lambda r: r.doc_id)]
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep_text: bool = True) -> DataFrame:
     """docs, with or without the text, and held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels, label)))
@@ -307,7 +423,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", kee
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(shared.value.scores(w).astype(np.float64))], [*kept, "score"])
 
     schema = StructType([*(f for f in docs.schema.fields if f.name in kept), StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema).withColumns({"held_out": held_out(), "predicted": (F.col("score") >= 0.5).cast("int")})
+    return in_batches(docs, run, schema).withColumns({"held_out": held_out(), "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
