@@ -7,11 +7,13 @@
 5. byte-level BPE: adds ids, their number, and whether they decode to the text.
 
 Rows of one doc_id are told apart by their texts; repeated rows are one document from stage 2 on. Documents without
-words are no duplicates, hold nothing toxic and no passage, and stay.
+words are no duplicates, hold nothing toxic and no passage, and stay. Columns beside doc_id, text and n_chars pass through every stage
+unchanged, whatever their names; where one has the name of a column that the last stage adds, that one gets ``bpe_`` before its own.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_bpe, minhash, positional_index, substrings, toxicity
-from corpusloom.llm.tables import read, shared_dir
+from corpusloom.llm.tables import read, remove, shared_dir, written
 
 #: Per cent of the union of shingles from which two documents are near copies; op6 has a threshold of its own.
 SIMILAR = 80
@@ -27,11 +29,36 @@ SIMILAR = 80
 ORACLE_SQL = None
 
 
+_OWN = {"doc_id", "text", "n_chars"}
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """work, with all columns but its own under names that meet no name in it."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        under = [c if c in _OWN else f"carried_{i}" for i, c in enumerate(names)]
+        out = work(spark, docs.toDF(*under), sf_dir)
+        back = dict(zip(under, names))
+        taken, final = {c.lower() for c in names}, []
+        for c in out.columns:
+            name = back.get(c, c)
+            while c not in back and name.lower() in taken:
+                name = f"bpe_{name}"
+            final.append(name)
+        return out.toDF(*final)
+
+    return run
+
+
+@stage
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"))
     return scored.where("predicted = 0").select(docs.columns)
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, threshold=SIMILAR)
     texts = found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("rows"))
@@ -43,6 +70,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.where("rows = 1").union(repeated).select(docs.columns)
 
 
+@stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = substrings.find_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
@@ -52,6 +80,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return left.select(docs.columns)
 
 
+@stage
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = positional_index.find_phrases(docs, read(spark, sf_dir, "benchmark")).where("n_hit > 0")
     found = found.select(F.col("doc_id").alias("id"), F.col("key").alias("text_key")).distinct()
@@ -59,6 +88,7 @@ def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(found, same, "left_anti")
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode(docs, with_decoded=True)
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -76,9 +106,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all stages leave of documents."""
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        at = f"{shared_dir(spark)}/pipeline-{name}-{uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(at)
+    docs, before = read(spark, sf_dir, "documents"), None
+    for name, work in STAGES:
+        at, begun = f"{shared_dir(spark)}/pipeline-{name}-{uuid4().hex}", len(written)
+        work(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        # what the stage wrote on its way, and what it read, is needed no more
+        remove(spark, [*written[begun:], *([before] if before else [])])
+        del written[begun:]
+        before = at
     return docs

@@ -78,3 +78,20 @@ def test_near_copies_from_four_fifths_on_are_one_group(spark):
         rows += [(3 * n, " ".join(words)), (3 * n + 1, " ".join(near)), (3 * n + 2, " ".join(far))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in one_of_each_group(spark, docs, "").collect()} == {i for i, _ in rows if i % 3 != 1}
+
+
+def test_any_other_columns_pass_through_unchanged(spark, corpus):
+    at = corpus[-1]
+    names = "id rows text_key block seq kept n_words score held_out predicted ids n_tokens decodes group key bpe_ids Component carried_0".split()
+    docs = spark.read.parquet(f"{at}/documents.parquet").where("doc_id % 3 = 0")
+    docs = docs.selectExpr(*[f"concat('{n}', doc_id) as `{n}`" for n in names], "doc_id", "text", "n_chars")
+    plain, added = docs.select("doc_id", "text", "n_chars"), None
+    for _, work in STAGES:
+        out, without = work(spark, docs, at).cache(), work(spark, plain, at).cache()
+        rows = out.collect()
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in without.collect())
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+        added = out.columns[len(docs.columns) :]
+        docs, plain = out, without
+    assert added == ["bpe_n_tokens", "bpe_bpe_ids", "bpe_decodes"]
