@@ -5,6 +5,7 @@ equal anchors. Blocks of documents exchange anchors by hash range and learn whic
 of theirs occur elsewhere. Only of runs that select such an anchor the blocks exchange
 the hashes with their first place, and learn which begin earlier elsewhere; matches are
 not aligned or extended word by word. Overlapping runs of a document join into its repeats, and their words go.
+Runs are equal if two hashes of theirs are, of 64 and of 32 bits: among 10**12 exchanged runs a false equality has a chance of about 10**-5.
 
 Text moves once, into blocks of bounded size; what blocks send is packed and holds
 each hash once a block, so neither a hot passage nor a hot copy gathers in one task.
@@ -16,6 +17,8 @@ texts; documents shorter than LENGTH keep everything; an empty table gives no ro
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from corpusloom.llm.blocks import Blocks, numbers, pack, planes, ranges, unpack
 from corpusloom.llm.tables import in_groups, read
-from corpusloom.llm.words import Words, column
+from corpusloom.llm.words import U64, Words, column
 
 LENGTH = 20
 K = 6
@@ -71,8 +74,9 @@ def _table(rows: list, schema: pa.Schema) -> pa.Table:
 
 
 _SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary())])
-_PLACED = pa.schema([*_SENT, ("seqs", pa.binary()), ("starts", pa.binary())])
+_PLACED = pa.schema([*_SENT, ("checks", pa.binary()), ("seqs", pa.binary()), ("starts", pa.binary())])
 _TOLD = pa.schema([("block", pa.int32()), ("hashes", pa.binary())])
+_TOLD_RUNS = pa.schema([*_TOLD, ("checks", pa.binary())])
 
 
 def _seeds(blocks: Blocks) -> DataFrame:
@@ -95,53 +99,96 @@ def _seeds(blocks: Blocks) -> DataFrame:
     return in_groups(sent.groupBy("part"), answer, "block int, hashes binary")
 
 
-def _first_places(h: np.ndarray, seq: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, sorted, each with its least (seq, start)."""
-    order = np.lexsort((start, seq, h))
-    h, seq, start = h[order], seq[order], start[order]
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    return h[first], seq[first], start[first]
-
-
-def _runs(t: pa.Table) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words; of each run: its place among them, anchor, hash, seq and start in its text."""
+@dataclass
+class Runs:
+    """Runs of LENGTH words: hash, a second one (check), seq of the document and start in it."""
+
+    h: np.ndarray
+    check: np.ndarray
+    seq: np.ndarray
+    start: np.ndarray
+
+    def __getitem__(self, which) -> Runs:
+        return Runs(self.h[which], self.check[which], self.seq[which], self.start[which])
+
+    def first_places(self) -> Runs:
+        """Of equal runs the one with the least (seq, start); sorted by hash and check."""
+        order = np.lexsort((self.start, self.seq, self.h))
+        same = self.h[order[1:]] == self.h[order[:-1]]
+        apart = same & (self.check[order[1:]] != self.check[order[:-1]])
+        if apart.any():  # of one hash, but not equal
+            order = np.lexsort((self.start, self.seq, self.check, self.h))
+            same = (self.h[order[1:]] == self.h[order[:-1]]) & (self.check[order[1:]] == self.check[order[:-1]])
+        first = np.ones(len(order), bool)
+        first[1:] = ~same
+        return self[order[first]]
+
+    def later_than(self, first: Runs) -> np.ndarray:
+        """True for runs that begin later than the equal one among first, which first_places gave."""
+        i, there = _find(self.h, self.check, first.h, first.check)
+        if not there.any():
+            return there
+        return there & ((self.seq > first.seq[i]) | (self.seq == first.seq[i]) & (self.start > first.start[i]))
+
+
+def _find(h: np.ndarray, check: np.ndarray, of_h: np.ndarray, of_check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of runs among sorted ones, and whether they are there."""
+    if not len(of_h):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    i = np.minimum(np.searchsorted(of_h, h), len(of_h) - 1)
+    while True:  # other runs of one hash follow each other by their checks
+        on = np.flatnonzero((of_h[i] == h) & (of_check[i] < check) & (i + 1 < len(of_h)))
+        on = on[of_h[i[on] + 1] == h[on]]
+        if not len(on):
+            return i, (of_h[i] == h) & (of_check[i] == check)
+        i[on] += 1
+
+
+def _runs(t: pa.Table) -> tuple[Words, np.ndarray, np.ndarray, Runs]:
+    """Words; of each run its place among them, its anchor, and itself."""
     w = _words(t)
     at, anchor = anchors_of_runs(w)
-    seq = t.column("seq").to_numpy()
     text = w.text[at]
-    return w, at, anchor, w.grams(LENGTH, 3)[at], seq[text], (at - w.first[text]).astype(np.int32)
+    check = (w.grams(LENGTH, 4)[at] >> U64(32)).astype(np.uint32)
+    return w, at, anchor, Runs(w.grams(LENGTH, 3)[at], check, t.column("seq").to_numpy()[text], (at - w.first[text]).astype(np.int32))
+
+
+def _together(lists: list[Runs]) -> Runs:
+    return Runs(*(np.concatenate([getattr(r, f) for r in lists]) for f in ("h", "check", "seq", "start")))
 
 
 def _repeats(blocks: Blocks, seeds: DataFrame) -> DataFrame:
-    """block, hashes: the runs of a block that begin earlier in another block."""
+    """block, hashes, checks: the runs of a block that begin earlier in another block."""
     parts = blocks.parts
 
     def extend(t: pa.Table, told: pa.Table) -> pa.Table:
         if not t.num_rows or not told.num_rows:
             return _PLACED.empty_table()
         block = t.column("block")[0].as_py()
-        _, _, anchor, h, seq, start = _runs(t)
-        near = _member(anchor, _heard(told))
-        h, seq, start = _first_places(h[near], seq[near], start[near])
-        return _table([(p, block, pack(h[s]), planes(seq[s]), planes(start[s])) for p, s in ranges(h, parts)], _PLACED)
+        _, _, anchor, runs = _runs(t)
+        r = runs[_member(anchor, _heard(told))].first_places()
+        return _table([(p, block, pack(r.h[s]), planes(r.check[s]), planes(r.seq[s]), planes(r.start[s])) for p, s in ranges(r.h, parts)], _PLACED)
 
     def answer(t: pa.Table) -> pa.Table:
-        lists = [unpack(x) for x in t.column("hashes").to_pylist()]
-        seqs = [numbers(x, np.int64) for x in t.column("seqs").to_pylist()]
-        starts = [numbers(x, np.int32) for x in t.column("starts").to_pylist()]
-        h, seq, start = _first_places(np.concatenate(lists), np.concatenate(seqs), np.concatenate(starts))
+        lists = [Runs(unpack(h), numbers(c, np.uint32), numbers(q, np.int64), numbers(a, np.int32)) for h, c, q, a in zip(*(t.column(n).to_pylist() for n in ("hashes", "checks", "seqs", "starts")))]
+        first = _together(lists).first_places()
         out = []
-        for b, x, s, at in zip(t.column("block").to_pylist(), lists, seqs, starts):
-            i = np.searchsorted(h, x)
-            later = (s > seq[i]) | (s == seq[i]) & (at > start[i])
-            if later.any():
-                out.append((b, pack(x[later])))
-        return _table(out, _TOLD)
+        for b, r in zip(t.column("block").to_pylist(), lists):
+            r = r[r.later_than(first)]
+            if len(r.h):
+                out.append((b, pack(r.h), planes(r.check)))
+        return _table(out, _TOLD_RUNS)
 
     docs = blocks.table.select("block", "seq", "text").groupBy("block")
-    sent = in_groups(docs.cogroup(seeds.groupBy("block")), extend, "part int, block int, hashes binary, seqs binary, starts binary")
-    return in_groups(sent.groupBy("part"), answer, "block int, hashes binary")
+    sent = in_groups(docs.cogroup(seeds.groupBy("block")), extend, "part int, block int, hashes binary, checks binary, seqs binary, starts binary")
+    return in_groups(sent.groupBy("part"), answer, "block int, hashes binary, checks binary")
+
+
+def _heard_runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and checks of all runs that other tasks told a block of, sorted."""
+    h, c = (np.concatenate([x, *(f(v) for v in t.column(n).to_pylist())]) for n, f, x in (("hashes", unpack, np.zeros(0, np.uint64)), ("checks", lambda b: numbers(b, np.uint32), np.zeros(0, np.uint32))))
+    order = np.lexsort((c, h))
+    return h[order], c[order]
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -155,11 +202,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(added).fields])
 
     def mark(t: pa.Table, told: pa.Table) -> pa.Table:
-        w, at, _, h, seq, start = _runs(t)
-        first_h, first_seq, first_start = _first_places(h, seq, start)
-        i = np.searchsorted(first_h, h)
-        gone = (seq > first_seq[i]) | (seq == first_seq[i]) & (start > first_start[i]) if len(h) else np.zeros(0, bool)
-        gone |= _member(h, _heard(told))
+        w, at, _, runs = _runs(t)
+        gone = runs.later_than(runs.first_places()) | _find(runs.h, runs.check, *_heard_runs(told))[1]
         edge = np.zeros(len(w.hash) + 1, np.int64)
         np.add.at(edge, at[gone], 1)
         np.add.at(edge, at[gone] + LENGTH, -1)

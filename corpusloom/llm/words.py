@@ -7,6 +7,7 @@ partitions and shuffles the rows. Hashes are 64-bit and depend on content only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Bytes of text that are hashed together; a longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes from which a word is long.
+LONG = 256
 
 
 def _constants(seed: int, n: int) -> np.ndarray:
@@ -110,6 +113,12 @@ class Words:
         np.cumsum(_BYTE[self.bytes] * up[:n], out=total[1:])
         self._total, self._down = total, down
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+        self._long(self.bytes)
+
+    def _long(self, raw: np.ndarray) -> None:
+        """Long words have hashes of another kind: with polynomials modulo 2**64, words of a thousand bytes and more can be made to collide."""
+        for i in np.flatnonzero(self.end - self.start >= LONG):
+            self.hash[i] = int.from_bytes(blake2b(raw[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of bytes, not yet mixed."""

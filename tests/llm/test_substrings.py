@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import blocks
-from corpusloom.llm.substrings import LENGTH, find_repeats
+from corpusloom.llm.substrings import LENGTH, Runs, find_repeats
+from corpusloom.llm.words import Words
 
 
 def brute(rows):
@@ -52,3 +54,27 @@ def test_repeats_are_those_of_a_plain_search(spark, monkeypatch, block):
 
 def test_no_rows(spark):
     assert find_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_runs_of_one_hash_that_differ_stay_apart():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        runs = Runs(rng.integers(0, 5, n).astype(np.uint64), rng.integers(0, 3, n).astype(np.uint32), rng.integers(0, 6, n), rng.integers(0, 9, n).astype(np.int32))
+        least = {}
+        for h, c, q, a in zip(runs.h.tolist(), runs.check.tolist(), runs.seq.tolist(), runs.start.tolist()):
+            least[h, c] = min(least.get((h, c), (9, 9)), (q, a))
+        first = runs.first_places()
+        assert {(h, c): (q, a) for h, c, q, a in zip(first.h.tolist(), first.check.tolist(), first.seq.tolist(), first.start.tolist())} == least and len(first.h) == len(least)
+        later = [(q, a) > least[h, c] for h, c, q, a in zip(runs.h.tolist(), runs.check.tolist(), runs.seq.tolist(), runs.start.tolist())]
+        assert runs.later_than(first).tolist() == later
+        assert not runs.later_than(first[first.h > 9]).any()
+
+
+def test_long_words_that_a_polynomial_takes_for_equal_have_other_hashes():
+    flips = "a"
+    while len(flips) < 1 << 13:
+        flips += flips.translate({97: "b", 98: "a"})
+    raw = f"{flips} {flips.translate({97: 'b', 98: 'a'})} {flips}".encode()
+    w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
+    assert w.hash[0] == w.hash[2] != w.hash[1]
