@@ -96,8 +96,13 @@ def set_hash(s: np.ndarray) -> int:
     return int(mix(np.bitwise_xor.reduce(mix(s, 501), keepdims=True) + mix(np.sum(mix(s, 502), keepdims=True)) + U64(len(s)))[0].view(np.int64)) if len(s) else 0
 
 
+def set_twin(s: np.ndarray) -> int:
+    """Another hash of the set, by which sets of one hash are told apart."""
+    return int(mix(np.bitwise_xor.reduce(mix(s, 503), keepdims=True) * U64(3) + mix(np.sum(mix(s, 504), keepdims=True), 9))[0].view(np.int64)) if len(s) else 0
+
+
 def signatures(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, key (a hash of the text), n_shingles, node (a hash of the set, null if empty), bands."""
+    """doc_id, key (a hash of the text), n_shingles, node and twin (hashes of the set, node null if it is empty), bands."""
     n, rows = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,23 +115,33 @@ def signatures(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                     batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array(list(map(set_twin, sets)), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n), pa.array(bands.reshape(-1))),
                 ],
-                ["doc_id", "key", "n_shingles", "node", "bands"],
+                ["doc_id", "key", "n_shingles", "node", "twin", "bands"],
             )
 
-    return in_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), run, "doc_id long, key long, n_shingles long, node long, bands array<long>")
+    return in_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), run, "doc_id long, key long, n_shingles long, node long, twin long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """node, items (the packed sorted set) of each text."""
+    """node, twin, items (the packed sorted set) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, w in texts_of(batches, "text", fold=True):
             sets = [s for s in shingle_sets(w) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
+            hashes = (pa.array([f(s) for s in sets], pa.int64()) for f in (set_hash, set_twin))
+            yield pa.RecordBatch.from_arrays([*hashes, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "twin", "items"])
+
+    return in_batches(docs.select("text"), run, "node long, twin long, items binary")
 
-    return in_batches(docs.select("text"), run, "node long, items binary")
+
+def _apart(df: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """df with another node for the sets that clash: different ones of one hash."""
+    if clashes is None:
+        return df
+    joined = df.join(clashes.select("node", F.lit(True).alias("clash")), "node", "left")
+    return joined.withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "twin")).otherwise(F.col("node"))).select(df.columns)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -231,9 +246,16 @@ def _meetings(differing: DataFrame, threshold: int, first: bool) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, group (null if empty), component_id (its smallest doc_id), kept for each row of docs."""
     close = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * threshold) & (F.col("node") != F.col("a"))
-    signed_docs = stored(signatures(docs, threshold), "signatures")
-    some = signed_docs.where("node is not null")
-    nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
+    signed_docs, clashes = stored(signatures(docs, threshold), "signatures"), None
+    while True:
+        twins = (F.min("twin").alias("twin"), F.max("twin").alias("last_twin"))
+        nodes = signed_docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), *twins)
+        nodes = stored(nodes, "nodes")
+        found = nodes.where("twin != last_twin")
+        if clashes is not None or not found.take(1):
+            break
+        clashes = stored(found.select("node"), "clashes")
+        signed_docs = stored(_apart(signed_docs, clashes), "signatures")
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(rows.join(shared, "bucket"), "members")
@@ -247,7 +269,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
     nameless = docs.where("doc_id is null").select("doc_id", "text")
-    sets = stored(_sets(texts.union(nameless)).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = stored(_apart(_sets(texts.union(nameless)), clashes).drop("twin").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     links = stored(_confirmed(stars, sets, threshold), "links")
     labels = components(links)
@@ -271,7 +293,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     names = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("name"))
     linked = named.where("component is not null").join(names, "component").select(F.col("node").alias("of"), F.col("component").alias("group"), "name")
     alone = named.where("component is null").select(F.col("node").alias("of"), F.col("node").alias("group"), F.col("doc_id").alias("name"))
-    return signed_docs.drop("bands").join(linked.union(alone), F.col("node") == F.col("of"), "left").select(
+    return signed_docs.drop("bands", "twin").join(linked.union(alone), F.col("node") == F.col("of"), "left").select(
         "doc_id",
         "key",
         "n_shingles",

@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from corpusloom.llm.minhash import band_hashes, banding, differences, near_duplicates, sketches
+from corpusloom.llm import minhash
+from corpusloom.llm.minhash import band_hashes, banding, differences, near_duplicates, signatures, sketches
 
 
 def shingles(text):
@@ -122,3 +124,14 @@ def test_components_at_other_thresholds(spark):
                 if name[a] != name[b] and 100 * len(x & y) >= t * len(x | y):
                     name = [min(name[a], name[b]) if n in (name[a], name[b]) else n for n in name]
         assert {r.doc_id: r.component_id for r in near_duplicates(df, t).collect()} == dict(enumerate(name))
+
+
+def test_different_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=6))) for i in range(40)] + [(50 + i, "a b c d e f g") for i in range(3)]
+    few = signatures(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("node", F.pmod("node", F.lit(7)))
+    monkeypatch.setattr(minhash, "signatures", lambda docs, threshold: few)
+    whole = minhash._sets
+    monkeypatch.setattr(minhash, "_sets", lambda docs: whole(docs).withColumn("node", F.pmod("node", F.lit(7))))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == brute(rows)
