@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_substring_dedup": sql.SUBSTRINGS,
     "op4_decontamination": sql.PHRASES,
+    "op5_sharding": sharding.SQL,
     "op6_minhash": sql.NEAR_DUPLICATES,
     "op7_url_filters": url_filter.SQL,
 }

@@ -51,11 +51,16 @@ def layout(shards: int) -> list[Leaf]:
     return leaves
 
 
+def _bits(*parts: Column) -> Column:
+    """52 bits of the MD5 of some strings."""
+    return F.conv(F.substring(F.md5(F.concat_ws("\n", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 1, 13), 16, 10).cast("long")
+
+
 def _descend(key: Column, children: Column) -> Column:
     """The name of the child with the largest draw, ln(u) / weight; u has 52 bits of a hash and is never 0."""
 
     def draw(child: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, child["name"]), 12).cast("double")
+        bits = _bits(child["name"], key).cast("double")
         return F.struct((F.ln((bits + 0.5) / F.lit(float(1 << 52))) / child["weight"]).alias("draw"), child["name"].alias("name"))
 
     return F.array_max(F.transform(children, draw))["name"]
@@ -90,7 +95,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, law: str = "key") -> DataFrame:
     )
     blocks = max(1, math.ceil(docs.count() / (BLOCK_ROWS * shards)))
     alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
-    alike = alike.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
+    alike = alike.withColumn("block", (_bits(F.lit("block"), F.col("doc_id"), F.col("text_crc32"), F.col("size")) % blocks).cast("int"))
     earlier = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = alike.groupBy("shard", "block").agg(F.sum("n").alias("n")).select("shard", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,3 +110,34 @@ def shard(docs: DataFrame, shards: int = SHARDS, law: str = "key") -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
+
+
+def _tree(leaves: list[Leaf]) -> dict[tuple[str, str], float]:
+    """Weights of nodes with their children, for the SQL."""
+    out: dict[tuple[str, str], float] = {}
+    for region, rack, number, weight in leaves:
+        path = ["", region, f"{region}/{rack}", f"{region}/{rack}/{number}"]
+        for edge in zip(path, path[1:]):
+            out[edge] = out.get(edge, 0.0) + weight
+    return out
+
+
+_NODES = ", ".join(f"({n}, '{node}', '{child}', {weight}::DOUBLE)" for n in (SHARDS, SHARDS + 1) for (node, child), weight in _tree(layout(n)).items())
+_STEP = """level{0} AS (SELECT r, n, arg_max(child, ln((('0x' || substr(md5(child || chr(10) || key), 1, 13))::BIGINT + 0.5) / 4503599627370496::DOUBLE) / weight) AS here
+    FROM (SELECT l.r, l.n, l.here, coalesce(doc_id::VARCHAR, '') AS key FROM level{1} l JOIN sized USING (r)) JOIN tree USING (n) WHERE node = here GROUP BY r, n)"""
+# The CRC-32 of bytes: each is met by eight shifts, which -1 stands for.
+SQL = f"""
+WITH tree(n, node, child, weight) AS (VALUES {_NODES}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 8 AS size, coalesce(string_split(hex(encode(text)), ''), []) AS h FROM documents),
+sized AS (SELECT r, doc_id, size, CASE WHEN size = 8 THEN 0 ELSE xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(h) // 2 + 1),
+    lambda i: [(16 * (instr('0123456789ABCDEF', h[2 * i - 1]) - 1) + instr('0123456789ABCDEF', h[2 * i]) - 1)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) END AS text_crc32 FROM docs),
+level0 AS (SELECT r, n, '' AS here FROM sized, (VALUES ({SHARDS}), ({SHARDS + 1})) AS v(n)),
+{_STEP.format(1, 0)}, {_STEP.format(2, 1)}, {_STEP.format(3, 2)},
+placed AS (SELECT r, split_part(here, '/', 3)::INTEGER AS s, n FROM level3),
+rows AS (SELECT doc_id, size, text_crc32, a.s AS shard, b.s AS grown_shard, (SELECT greatest(1, ceil(count(*) / {BLOCK_ROWS * SHARDS}.0))::BIGINT FROM sized) AS blocks
+    FROM sized JOIN placed a ON a.r = sized.r AND a.n = {SHARDS} JOIN placed b ON b.r = sized.r AND b.n = {SHARDS + 1})
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard, row_number() OVER (PARTITION BY shard
+    ORDER BY ('0x' || substr(md5('block' || chr(10) || coalesce(doc_id::VARCHAR, '') || chr(10) || text_crc32 || chr(10) || size), 1, 13))::BIGINT % blocks, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+FROM rows
+"""

@@ -1,9 +1,8 @@
+import hashlib
 import math
-import struct
 import zlib
 from collections import Counter
 
-import xxhash
 from pyspark.sql import functions as F
 
 from corpusloom.llm import sharding
@@ -52,10 +51,9 @@ def descend(key, leaves):
             tree[node][child] += weight
     at = ""
     while at in tree:
-        seed = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
 
-        def draw(child, seed=seed, at=at):
-            u = ((xxhash.xxh64_intdigest(child.encode(), seed) >> 12) + 0.5) / 2**52
+        def draw(child, at=at):
+            u = (int(hashlib.md5(f"{child}\n{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
             return math.log(u) / tree[at][child]
 
         at = max((c for c in tree[at] if tree[at][c] > 0), key=draw)
