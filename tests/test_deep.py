@@ -82,6 +82,15 @@ def test_chains_and_summary(spark, capsys, tmp_path):
     assert main([str(tmp_path), "--json", "--category", "security"], spark) == 0
 
 
+def test_a_call_path_raises_the_confidence(spark):
+    text = "import requests\ndef run():\n    page = requests.get(u)\n    code = base64.decode(page)\n    exec(page)\n"
+    files = table(spark, a_py=text, b_py=text)
+    paths = taint.syntax_paths(facts.python_facts(files), files)
+    called = spark.createDataFrame([("a.py", "Download & Execute"), ("a.py", "Download & Execute"), ("b.py", "none")], "path string, chain_name string")
+    got = {(r.path, r.chain_name): (r.n_paths, round(r.confidence, 6)) for r in chains.chains(paths, files, called).collect()}
+    assert got["a.py", "Download & Execute"] == (1, 0.8) and got["b.py", "Download & Execute"] == (1, 0.725)
+
+
 def test_call_graph_against_searches(spark):
     rng = random.Random(1)
     rows = [(f"g{g}", rng.choice("abcdefg"), rng.choice("abcdefg"), 1) for g in range(6) for _ in range(9)] + [("chain", x, y, 1) for x, y in itertools.pairwise("abcdefgh")]
