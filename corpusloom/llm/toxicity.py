@@ -8,8 +8,8 @@ text's score is that of its worst window, calibrated on whole texts.
 
 The network is trained in numpy on the driver, on a bounded sample: at most SAMPLE texts of each
 label by least hash of doc_id. Labels come only from rows that are not held out; label, language, source and doc_id are no inputs.
-Tasks count the inputs of these whole texts; known are the COMMON most frequent ones and the FEATURES that differ most between the labels, each seen in more than SEEN
-texts. Tasks look at all windows and send KEPT of each text at most: those with most inputs of toxic texts, and some evenly between. Every
+Tasks count the inputs of these whole texts; known are the FEATURES that differ most between the labels, each seen in more than SEEN texts, and the words of a SHARE of
+all texts, COMMON at most (runs that are as common would only learn these texts by heart). Tasks look at all windows and send KEPT of each text at most: those with most inputs of toxic texts, and some evenly between. Every
 epoch takes the window of each toxic text, and two of each clean one, that the network then finds worst or draws; so it learns which window bears the label. A fifth of the sample
 does not train: on its whole texts the scores are calibrated (on all, if it has fewer than CALIBRATE texts of a label).
 Workers get the weights (under a megabyte) and score whole texts chunk by chunk.
@@ -36,8 +36,8 @@ from corpusloom.llm.words import ALNUM, U64, Words, mix, signed, texts_of
 WINDOW, STRIDE = 64, 48
 #: Characters of the runs of a word that are inputs.
 RUNS = (3, 5)
-SAMPLE, KEPT, CALIBRATE = 1_500, 16, 20
-FEATURES, TELLING, COMMON, SEEN = 12_000, 2.3, 4_000, 3
+SAMPLE, KEPT, CALIBRATE = 1_500, 16, 8
+FEATURES, TELLING, COMMON, SHARE, SEEN = 12_000, 2.3, 4_000, 0.1, 3
 FOLDS = 5
 #: Windows that a worker scores at once.
 BATCH = 1_024
@@ -257,8 +257,7 @@ def train(bags: Bags, vocabulary: np.ndarray, odds: np.ndarray, seed: int = 5) -
         return Model(np.zeros(0, np.uint64), constant=float((bags.y.sum() + 0.5) / (len(bags.y) + 1)) if len(bags.y) else 0.25)
     rng = np.random.default_rng(seed)
     model = Model.fresh(vocabulary, rng)
-    # the first component is how much an input tells of the label, the others are small; training goes on from there
-    model.weights["E"][1:] = 0.1 * rng.standard_normal((len(vocabulary), _D))
+    # an input begins with how much it tells of the label, and with nothing else; training goes on from there
     model.weights["E"][1:, 0] = odds / 4
     label = bags.y[bags.text] > 0
     worst = bags.known.sums(np.maximum(np.append(0.0, odds), 0)[:, None])[:, 0]
@@ -328,17 +327,17 @@ def vocabulary_of(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     seen.append(np.unique(x.take(np.unique(number[w.first[i] : w.first[i + 1]])).of))
                 if seen:
                     h, n = np.unique(np.concatenate(seen), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.where(label, 0, n)), pa.array(np.where(label, n, 0))], ["h", "n0", "n1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.isin(h, x.of[x.first[:-1]])), pa.array(np.where(label, 0, n)), pa.array(np.where(label, n, 0))], ["h", "word", "n0", "n1"])
 
     total = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return np.zeros(0, np.uint64), np.zeros(0)
-    counted = in_batches(texts.select("y", "text"), run, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") > SEEN)
+    counted = in_batches(texts.select("y", "text"), run, "h long, word boolean, n0 long, n1 long").groupBy("h", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") > SEEN)
     a, b = F.col("n0") + 0.5, F.col("n1") + 0.5
     odds = F.ln(b / (total[1] + 1)) - F.ln(a / (total[0] + 1))
-    counted = stored(counted.select("h", (F.col("n0") + F.col("n1")).alias("n"), odds.alias("odds"), (F.abs(odds) / F.sqrt(1 / a + 1 / b)).alias("telling")), "inputs")
+    counted = stored(counted.select("h", "word", (F.col("n0") + F.col("n1")).alias("n"), odds.alias("odds"), (F.abs(odds) / F.sqrt(1 / a + 1 / b)).alias("telling")), "inputs")
     telling = counted.where(F.col("telling") > TELLING).orderBy(F.desc("telling"), "h").limit(FEATURES)
-    common = counted.orderBy(F.desc("n"), "h").limit(COMMON)
+    common = counted.where(F.col("word") & (F.col("n") >= SHARE * sum(total.values()))).orderBy(F.desc("n"), "h").limit(COMMON)
     rows = telling.select("h", "odds").union(common.select("h", "odds")).distinct().toArrow()
     h = rows.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
