@@ -52,3 +52,65 @@ names AS (SELECT origin AS first, min(other) AS component FROM reached GROUP BY
 SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
 FROM sets LEFT JOIN copies ON copies.s = sets.s LEFT JOIN names USING (first)
 """
+
+# The CRC-32 of the strings of a table keys(key): a table of 256 steps, then a step for each byte.
+_CRC = """steps(i, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+walked(key, h, p, c) AS (SELECT key, hex(encode(key)), 1, 4294967295::BIGINT FROM keys
+    UNION ALL SELECT key, h, p + 2, xor(w.c >> 8, t.c) FROM walked w JOIN steps t ON t.k = 8 AND t.i = xor(w.c & 255, ('0x' || substr(h, p, 2))::BIGINT) WHERE p <= len(h)),
+crcs AS (SELECT key, xor(c, 4294967295) AS crc FROM walked WHERE p > len(h))"""
+
+
+def _tree(name: str, nodes: str, levels: int) -> str:
+    """Levels of runs of the trees of nodes (tree, pos, size, digest): {name}0 on; a level's vertices are the hashes of the last one's runs."""
+    out = [f"{name}0 AS (SELECT tree, pos // 16 AS run, any_value(size) AS size, list(digest ORDER BY pos) AS d FROM {nodes} GROUP BY ALL)"]
+    for k in range(1, levels):
+        vertex = f"SELECT tree, run AS pos, (size + 15) // 16 AS size, sha256(array_to_string(d, '')) AS digest FROM {name}{k - 1} WHERE size > 16"
+        out.append(f"{name}{k} AS (SELECT tree, pos // 16 AS run, any_value(size) AS size, list(digest ORDER BY pos) AS d FROM ({vertex}) GROUP BY ALL)")
+    tops = " UNION ALL ".join(f"SELECT tree, CASE WHEN size = 1 THEN d[1] ELSE sha256(array_to_string(d, '')) END AS digest FROM {name}{k} WHERE size <= 16" for k in range(levels))
+    return ", ".join([*out, f"{name}_root AS ({tops})"])
+
+
+def _climb(name: str, start: str, levels: int) -> str:
+    """start (tree, pos, size, ...) with a proof and a digest that go up the levels of a tree, one step for each."""
+    out, last = [], start
+    for k in range(levels):
+        place = f"(s.pos // {16**k}) % 16"
+        left, right = f"array_to_string(r.d[1 : {place}], '')", f"array_to_string(r.d[{place} + 2 :], '')"
+        out.append(f"""{name}_up{k} AS (SELECT s.* EXCLUDE (digest, proof), CASE WHEN r.d IS NULL OR r.size = 1 THEN s.digest ELSE sha256({left} || s.digest || {right}) END AS digest,
+            CASE WHEN r.d IS NULL OR r.size = 1 THEN proof ELSE proof || {left} || {right} END AS proof FROM {last} s LEFT JOIN {name}{k} r ON r.tree = s.tree AND r.run = s.pos // {16 ** (k + 1)})""")
+        last = f"{name}_up{k}"
+    return ", ".join(out)
+
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_DEPTH, _TOP = 6, 4
+MANIFEST = f"""
+WITH RECURSIVE keys AS (SELECT DISTINCT doc_id::VARCHAR AS key FROM documents WHERE doc_id IS NOT NULL), {_CRC},
+leaves AS (SELECT doc_id, coalesce('.' || source, '') AS tree, {_LEAF.format('text')} AS leaf, {_LEAF.format(_LOWER.format('text'))} AS changed, coalesce(crc % 5 = 0, FALSE) AS tampered
+    FROM documents LEFT JOIN crcs ON key = doc_id::VARCHAR),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size, leaf AS digest FROM leaves),
+{_tree('part', 'placed', _DEPTH)},
+sources AS (SELECT '' AS tree, tree AS source, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS size, digest FROM part_root),
+{_tree('trunk', 'sources', _TOP)},
+begun AS (SELECT doc_id, tree, pos, size, leaf, '' AS proof, CASE WHEN tampered THEN changed ELSE leaf END AS digest FROM placed),
+{_climb('part', 'begun', _DEPTH)},
+joined AS (SELECT u.doc_id, u.leaf, u.digest, u.proof, t.digest AS subroot, '' AS tree, t.pos FROM part_up{_DEPTH - 1} u JOIN sources t ON t.source = u.tree),
+{_climb('trunk', 'joined', _TOP)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified FROM trunk_up{_TOP - 1}, (SELECT digest AS root FROM trunk_root)
+"""
+
+SPELLINGS = f"""
+WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS key, w FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[a-zÀ-ÿ]+')) AS w FROM documents) WHERE len(w) >= 5),
+keys AS (SELECT DISTINCT key FROM runs), {_CRC},
+spelt AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(w, 1, crc % len(w)) || substr(w, crc % len(w) + 2) ELSE w END AS word FROM runs JOIN crcs USING (key)),
+words AS (SELECT word, count(*) AS n FROM spelt WHERE len(word) >= 5 GROUP BY word HAVING count(*) >= 3),
+rests AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(len(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM rests a JOIN rests b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT word, rest FROM rests JOIN words USING (word) WHERE rest IN (SELECT word FROM words)
+    UNION SELECT rest, word FROM rests WHERE rest IN (SELECT word FROM words)),
+best AS (SELECT a.word, count(*) AS n_near, arg_min(w.word, (-w.n, w.word)) AS form, max(w.n) AS form_n FROM near a JOIN words w ON w.word = a.other GROUP BY a.word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+ways(word, here) AS (SELECT word, word FROM forms UNION ALL SELECT w.word, f.form FROM ways w JOIN forms f ON f.word = w.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.here AS root, f.n, f.n_near, f.form_n FROM forms f JOIN ways w USING (word) JOIN forms e ON e.word = w.here WHERE e.form IS NULL
+"""
