@@ -1,6 +1,7 @@
 """Attack chains: taint paths that fit a definition's kinds and words.
 
-The definitions are a projection, as the rules are: one pass over the paths, each with its two lines and those between.
+The definitions are a projection, as the rules are: one pass over the paths. What they ask of a path's two lines and of those
+between comes as flags and ranks of lines, so no text goes with a path.
 """
 
 from __future__ import annotations
@@ -12,31 +13,26 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.flows import CHAINS
 from corpusloom.functions.text import contains_any
+from corpusloom.operators.between import between, both_ends, ranked
 from corpusloom.operators.callgraph import reachable
-from corpusloom.operators.scan import lines_of
 
 # A chain with one path, what a second one adds, what a call path adds, and how many paths a summary shows.
 ONE_PATH, MORE_PATHS, CALLED, SHOWN = 0.6, 0.15, 0.15, 3
 
 
-def _line(n: Column) -> Column:
-    return F.coalesce(F.get("lines", n - 1), F.lit(""))
-
-
 def chain_paths(paths: DataFrame, files: DataFrame) -> DataFrame:
-    """The columns of paths, chain_ord, chain_name, severity: a row for each chain that a path fits."""
-    lines = files.select("path", F.transform(lines_of(F.col("content")), lambda x: F.lower(x)).alias("lines"))
-    rows = paths.join(lines, "path")
-    between = F.slice("lines", F.col("source_line") + 1, F.greatest(F.lit(0), F.col("sink_line") - F.col("source_line") - 1))
-    rows = rows.withColumns({"first": _line(F.col("source_line")), "last": _line(F.col("sink_line")), "between": F.array_join(between, "")})
-    low = lambda words: [w.lower() for w in words]
-    cases = []
-    for n, (name, severity, kinds, source_words, words, sink_kinds, sink_words) in enumerate(CHAINS):
+    """The columns of paths, chain_ord, chain_name, severity: a row for each chain that a path fits; paths are read twice."""
+    words, cases = {}, []
+    for n, (name, severity, kinds, source_words, inner_words, sink_kinds, sink_words) in enumerate(CHAINS):
         ok = F.col("sink_kind").isin(sink_kinds)
         ok = ok & F.col("source_kind").isin(kinds) if kinds else ok
-        for column, some in (("first", source_words), ("between", words), ("last", sink_words)):
-            ok = ok & contains_any(F.col(column), low(some)) if some else ok
+        for what, some, fits in (("first", source_words, lambda c: F.col("head")[f"on_{c}"]), ("inner", inner_words, between), ("last", sink_words, lambda c: F.col("tail")[f"on_{c}"])):
+            if some:
+                words[f"{what}_{n}"] = some
+                ok = ok & fits(f"{what}_{n}")
         cases.append(F.when(ok, F.struct(F.lit(n).alias("chain_ord"), F.lit(name).alias("chain_name"), F.lit(severity).alias("severity"))))
+    points = paths.select("path", F.col("source_line").alias("line")).union(paths.select("path", "sink_line"))
+    rows = both_ends(paths, ranked(points, files, words), "source_line", "sink_line")
     return rows.select(*paths.columns, F.explode(F.array_compact(F.array(*cases))).alias("c")).select(*paths.columns, "c.*")
 
 

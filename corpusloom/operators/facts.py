@@ -1,9 +1,10 @@
-"""Syntax facts of Python files: functions, calls, assignments, imports and errors as rows.
+"""Syntax facts of files: functions, calls, assignments, imports and errors as rows.
 
 Parsing is the only step that leaves the JVM: one mapInArrow from files to rows of one table, which all
-later steps filter and join. A file that doesn't parse gives one error row and nothing else.
+later steps filter and join. PARSERS names the languages; Python has a syntax tree, those of grammars.GRAMMARS are read by their brackets,
+the shell by its words. A file that doesn't parse gives one error row and nothing else, whatever stopped it.
 
-In a syntax tree only statements' bodies and these expressions are entered: a call's arguments (not what is called), a name,
+In Python's syntax tree only statements' bodies and these expressions are entered: a call's arguments (not what is called), a name,
 an attribute's object, a subscript's base, and the fields of everything else. Sequence numbers follow that
 order from the top down.
 """
@@ -12,34 +13,40 @@ from __future__ import annotations
 
 import ast
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.grammars import GRAMMARS
+from corpusloom.functions.text import taint_language
+from corpusloom.operators.brackets import bracket_facts, shell_facts
+
 #: fact: function, call, call_ref, call_inner, assign, assign_ref, import, error.
-SCHEMA = "path string, fact string, seq int, ord int, name string, caller string, line int, line_end int, params array<string>, value_call string, value_line int, chain string"
+SCHEMA = "path string, language string, fact string, seq int, ord int, name string, caller string, line int, line_end int, params array<string>, value_call string, value_line int, chain string"
 _ARROW = pa.schema(
-    [("path", pa.string()), ("fact", pa.string()), ("seq", pa.int32()), ("ord", pa.int32()), ("name", pa.string()), ("caller", pa.string()), ("line", pa.int32()), ("line_end", pa.int32())]
+    [("path", pa.string()), ("language", pa.string()), ("fact", pa.string()), ("seq", pa.int32()), ("ord", pa.int32()), ("name", pa.string()), ("caller", pa.string()), ("line", pa.int32()), ("line_end", pa.int32())]
     + [("params", pa.list_(pa.string())), ("value_call", pa.string()), ("value_line", pa.int32()), ("chain", pa.string())]
 )
 
 
 def name_of(node: ast.AST) -> str:
-    """The dotted name of an expression; '' if it has none."""
-    match node:
-        case ast.Name():
-            return node.id
-        case ast.Attribute():
-            return f"{name_of(node.value)}.{node.attr}"
-        case ast.Subscript():
-            return name_of(node.value)
-        case ast.Call():
-            return name_of(node.func)
-        case ast.Constant():
-            return repr(node.value)
-    return ""
+    """The dotted name of an expression; '' if it has none. Chains may be of any length."""
+    parts: list[str] = []
+    while True:
+        match node:
+            case ast.Attribute():
+                parts.append(node.attr)
+                node = node.value
+            case ast.Subscript():
+                node = node.value
+            case ast.Call():
+                node = node.func
+            case _:
+                first = node.id if isinstance(node, ast.Name) else repr(node.value) if isinstance(node, ast.Constant) else ""
+                return ".".join([first, *reversed(parts)])
 
 
 def inner(node: ast.AST) -> list[ast.AST]:
@@ -83,13 +90,9 @@ def _chain(node: ast.AST) -> str:
 
 
 def facts_of(content: str) -> Iterator[dict]:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        yield {"fact": "error", "seq": 0, "name": f"{type(e).__name__}: {e}"}
-        return
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        tree = ast.parse(content)
     for seq, (node, caller) in enumerate(below(tree)):
         match node:
             case ast.FunctionDef() | ast.AsyncFunctionDef():
@@ -112,17 +115,40 @@ def facts_of(content: str) -> Iterator[dict]:
                 yield from ({"fact": "import", "seq": seq, "ord": n, "name": f"{node.module or ''}.{a.name}"} for n, a in enumerate(node.names))
 
 
-def python_facts(files: DataFrame) -> DataFrame:
-    """The facts of the files whose deep language is python; files has path, deep_language and content."""
+#: Deep language and what reads it.
+PARSERS: dict[str, Callable[[str], Iterator[dict]]] = {"python": facts_of, **{x: partial(bracket_facts, language=x) for x in GRAMMARS}, "bash": shell_facts}
+#: Rows of a file that leave a task at once.
+ROWS = 20_000
+
+
+def _rows(parse: Callable[[str], Iterator[dict]], content: str) -> list[dict]:
+    """The facts of a text; one error row if it can't be read."""
+    try:
+        return list(parse(content))
+    except Exception as e:
+        return [{"fact": "error", "seq": 0, "name": f"{type(e).__name__}: {e}"}]
+
+
+def syntax_facts(files: DataFrame, languages: Collection[str] | None = None) -> DataFrame:
+    """The facts of the files of some deep languages, or of all that have a parser; files has path, deep_language and content.
+
+    language names the sources and sinks that hold for a file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                rows = [{"path": path, **x} for x in facts_of(content or "")]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            for path, language, content, parser in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                rows = [{"path": path, "language": language, **x} for x in _rows(PARSERS[parser], content or "")]
+                for a in range(0, len(rows), ROWS):
+                    yield pa.RecordBatch.from_pylist(rows[a : a + ROWS], _ARROW)
+
+    some = files.where(F.col("deep_language").isin(list(PARSERS if languages is None else languages)))
+    return some.select("path", taint_language(F.col("deep_language")).alias("language"), "content", "deep_language").mapInArrow(run, SCHEMA)
 
-    return files.where("deep_language = 'python'").select("path", "content").mapInArrow(run, SCHEMA)
+
+def python_facts(files: DataFrame) -> DataFrame:
+    """The facts of the files whose deep language is python."""
+    return syntax_facts(files, ["python"])
 
 
 def symbols(facts: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.chains import chains
-from corpusloom.operators.facts import call_edges, errors, python_facts, symbols
+from corpusloom.operators.facts import call_edges, errors, symbols, syntax_facts
 from corpusloom.operators.scan import with_languages
 from corpusloom.operators.taint import syntax_paths, text_paths
 from corpusloom.sources.shared import stored
@@ -23,13 +24,13 @@ class Deep:
     chains: DataFrame
 
 
-def analyse(files: DataFrame, by_text: bool = True) -> Deep:
-    """files has path and content. Python is analysed by syntax, other known languages by text (or not at all)."""
+def analyse(files: DataFrame, by_text: bool = True, syntax: Collection[str] = ("python",)) -> Deep:
+    """files has path and content. Some languages are analysed by syntax (of PARSERS, Python unless told otherwise), other known ones by text (or not at all)."""
     files = with_languages(files)
-    facts = stored(python_facts(files), "facts")  # read by five tables
+    facts = stored(syntax_facts(files, syntax), "facts")  # read by five tables
     paths = syntax_paths(facts, files)
     if by_text:
-        paths = paths.union(text_paths(files.where("deep_language is not null and deep_language not in ('python', 'dockerfile')")))
+        paths = paths.union(text_paths(files.where(~F.col("deep_language").isin(*syntax, "dockerfile"))))
     paths = stored(paths, "paths")
     return Deep(symbols(facts), call_edges(facts), errors(facts), paths, chains(paths, files))
 

