@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import any_of, contains_any, entropy, search, stripped
+from corpusloom.functions.gaps import in_two_gaps, linear
+from corpusloom.functions.text import INSTEAD, any_of, contains_any, entropy, search, stripped
 
 # Words and patterns of the checks.
 SAFE_HOSTS = ["localhost", "127.0.0.1", "0.0.0.0", "::1", "api.", "pypi.org", "npmjs.com", "github.com", "googleapis.com", "cdn.", "static."]
@@ -55,6 +56,8 @@ REQUEST = r"(?:request\.|params\[|query\[|body\[|req\.)"
 PYTHON_RANDOM, PYTHON_RANDOM_WORDS = r"\brandom\.(?:randint|random|choice|shuffle)\b", ["token", "password", "secret", "key", "auth", "session"]
 JS_RANDOM, JS_RANDOM_WORDS = r"\bMath\.random\b", ["token", "password", "secret", "key", "auth"]
 
+INSTEAD.update({p: linear(p) for p in (PIP_URL, NPM_URL, PIPED, REGISTRY, RAISES, YAML)} | {RETURNED_HTML: in_two_gaps(RETURNED_HTML)})
+
 
 def _starts(text: Column, *heads: str) -> Column:
     out = F.lit(False)

@@ -49,9 +49,13 @@ TAINT_LANGUAGES = {
 LEADING_RUN = r"\w+"
 
 
+#: Patterns and what is searched for instead, with the same result in less time.
+INSTEAD: dict[str, str] = {}
+
+
 def search(line: Column, pattern: str, ignore_case: bool = False) -> Column:
     """True where the pattern occurs: Unicode classes and borders, and only \\n ends a line."""
-    return F.rlike(line, F.lit(f"(?{'i' if ignore_case else ''}Ud){pattern}"))
+    return F.rlike(line, F.lit(f"(?{'i' if ignore_case else ''}Ud){INSTEAD.get(pattern, pattern)}"))
 
 
 def any_of(patterns: Iterable[str]) -> str:
@@ -59,7 +63,8 @@ def any_of(patterns: Iterable[str]) -> str:
 
     A run of word characters that begins a pattern may be one character long; tried from each character of a long word, it would cost its length squared.
     """
-    return "|".join(f"(?:{p[:2] + p[3:] if p.startswith(LEADING_RUN) else p})" for p in dict.fromkeys(patterns))
+    shorter = (INSTEAD[p] if p in INSTEAD else p[:2] + p[3:] if p.startswith(LEADING_RUN) else p for p in dict.fromkeys(patterns))
+    return "|".join(f"(?:{p})" for p in shorter)
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

@@ -1,16 +1,23 @@
 """Call graphs of files: reachability, paths, cycles, degrees. Edges are rows (path, caller, callee).
 
 Files are graphs of their own, so every join is on path and a name. Searches go DEPTH calls deep at most, a round for
-each level. Edges that are read from many rounds should be a stored table.
+each level. Edges that are read from many rounds should be a stored table. What lies on a cycle has no such bound: a file's edges
+are gathered once, and its strongly connected components found in time that grows with them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.components import components, shortest_cycles
+from corpusloom.sources.shared import stored
+
+_CYCLES = pa.schema([("path", pa.string()), ("name", pa.string()), ("component", pa.string()), ("names", pa.list_(pa.string()))])
 # Fixed value: calls that a search follows.
 DEPTH = 5
 
@@ -62,24 +69,55 @@ def all_paths(edges: DataFrame, pairs: DataFrame, depth: int = DEPTH) -> DataFra
     return reduce(DataFrame.union, found)
 
 
-def on_cycle(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """path, name of every function that calls itself in at most depth calls."""
-    return reachable(edges, depth).where("source = target").select("path", F.col("source").alias("name"))
+def _on_cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cycles of any length but one call: a caller of cycles() leaves out those that it finds itself."""
+    for batch in batches:
+        out = []
+        for path, edges in zip(batch.column(0).to_pylist(), batch.column(1)):
+            graph: dict[str, list[str]] = {}
+            for e in edges.as_py():
+                graph.setdefault(e["caller"], []).append(e["callee"])
+            for part in components(graph):
+                least = min(part)
+                out.extend({"path": path, "name": name, "component": least, "names": None} for name in part)
+                out.extend({"path": path, "name": None, "component": least, "names": names} for names in shortest_cycles(graph, part, 1))
+        yield pa.RecordBatch.from_pylist(out, _CYCLES)
+
+
+def _searched(edges: DataFrame) -> DataFrame:
+    """Rows of _CYCLES: of each file the names on a cycle with their component, and cycles of more than DEPTH calls."""
+    files = _distinct(edges).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("caller", "callee"))).alias("edges"))
+    return files.mapInArrow(_on_cycles, "path string, name string, component string, names array<string>")
+
+
+def call_components(edges: DataFrame) -> DataFrame:
+    """path, name, component (its least name) of every function that calls itself, by however many calls."""
+    return _searched(edges).where("name is not null").select("path", "name", "component")
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """path, name of every function that calls itself, by however many calls."""
+    return call_components(edges).select("path", "name")
 
 
 def cycles(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """path, names: simple cycles of at most depth calls, each once, from its least name."""
-    e = _distinct(edges)
+    """path, names, each once, from its least name: all simple cycles of at most depth calls, and of each call the shortest cycle that it is part of, however long.
+
+    So every call on a cycle is in some row; a dense component has too many long cycles to list them all.
+    """
+    found = stored(_searched(edges), "cycles")
+    at = lambda c: found.where("name is not null").select("path", F.col("name").alias(c), F.col("component").alias(f"of_{c}"))
+    e = stored(_distinct(edges).join(at("caller"), ["path", "caller"]).join(at("callee"), ["path", "callee"]).where("of_caller = of_callee").select("path", "caller", "callee"), "inner")
     steps = e.select("path", F.col("caller").alias("at"), F.col("callee").alias("next"))
     now = e.select("path", F.array("caller").alias("names"), F.col("callee").alias("next"))
-    found = []
+    rows = [found.where(F.size("names") > depth + 1).select("path", "names")]
     for n in range(depth):
-        found.append(now.where("next = names[0]").select("path", F.concat("names", F.array("next")).alias("names")))
+        rows.append(now.where("next = names[0]").select("path", F.concat("names", F.array("next")).alias("names")))
         if n < depth - 1:
             on = now.where((F.col("next") > F.col("names")[0]) & ~F.array_contains("names", F.col("next")))
             on = on.select("path", F.concat("names", F.array("next")).alias("names"), F.col("next").alias("at"))
             now = on.join(steps, ["path", "at"]).select("path", "names", "next")
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, rows)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

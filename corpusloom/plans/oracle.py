@@ -225,6 +225,8 @@ REACH = f"""{SYNTAX}, steps(path, source, target, depth) AS (SELECT path, caller
     UNION SELECT s.path, s.source, c.callee, s.depth + 1 FROM steps s JOIN calls c ON c.path = s.path AND c.caller = s.target WHERE s.depth < 5),
 reach AS (SELECT DISTINCT path, source, target FROM steps)"""
 
+FULL_REACH = REACH.replace(" WHERE s.depth < 5", "").replace(", 1 FROM calls", " FROM calls").replace(", s.depth + 1 FROM", " FROM").replace("target, depth)", "target)")
+
 # Python by its syntax, other languages by text.
 DEEP_ANALYSIS = f"""{FLOWS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {FACTS},
 every_path AS (SELECT * FROM paths WHERE NOT ends_with(path, '.py') AND NOT ends_with(path, '.dockerfile') UNION ALL
@@ -255,7 +257,8 @@ ORACLE_SQL: dict[str, str] = {
     "taint_syntax_tainted": f"{SYNTAX} SELECT path, name, kind, line, name AS source_var FROM snippet JOIN source USING (k) UNION ALL SELECT path, d.name, s.kind, s.line, s.name FROM snippet JOIN derived d USING (k) JOIN source s ON s.k = d.k AND s.name = d.source_var",
     "taint_syntax_paths": f"{SYNTAX} SELECT path, f.source_var, s.kind AS source_kind, s.line AS source_line, sink_name, sink_kind, sink_line, confidence FROM snippet JOIN flow f USING (k) JOIN source s ON s.k = f.k AND s.name = f.source_var",
     "calls_reachable": f"{REACH} SELECT * FROM reach",
-    "calls_on_cycle": f"{REACH} SELECT path, source AS name FROM reach WHERE source = target",
+    "calls_on_cycle": f"{FULL_REACH} SELECT path, source AS name FROM reach WHERE source = target",
+    "calls_components": f"{FULL_REACH} SELECT a.path, a.source AS name, min(a.target) AS component FROM reach a JOIN reach b ON b.path = a.path AND b.source = a.target AND b.target = a.source GROUP BY a.path, a.source",
     "calls_has_path": f"{REACH} SELECT p.path, p.source, p.target, p.source = p.target OR r.path IS NOT NULL AS connected FROM pairs p LEFT JOIN reach r ON r.path = p.path AND r.source = p.source AND r.target = p.target",
     "calls_all_paths": f"""{SYNTAX}, walk(path, source, target, here, names) AS (SELECT path, source, target, source, [source] FROM pairs
         UNION ALL SELECT w.path, w.source, w.target, e.callee, list_append(w.names, e.callee) FROM walk w JOIN edges e ON e.path = w.path AND e.caller = w.here
@@ -270,8 +273,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT path, source, target, array_to_string(names, '>') AS names FROM walk WHERE here = target""",
     "calls_cycles": f"""{SYNTAX}, walk(path, here, names) AS (SELECT path, callee, [caller, callee] FROM calls
         UNION ALL SELECT w.path, c.callee, list_append(w.names, c.callee) FROM walk w JOIN calls c ON c.path = w.path AND c.caller = w.here
-        WHERE w.here > w.names[1] AND len(w.names) <= 5 AND NOT list_contains(w.names[2:], c.callee))
-        SELECT path, array_to_string(names, '>') AS names FROM walk WHERE here = names[1]""",
+        WHERE w.here <> w.names[1] AND NOT list_contains(w.names[2:], c.callee)),
+        round AS (SELECT path, names[:-2] AS way FROM walk WHERE here = names[1]),
+        few AS (SELECT path, arg_min(way, (len(way), way)) AS way FROM round GROUP BY path, way[1], coalesce(way[2], way[1])),
+        every AS (SELECT path, way FROM round WHERE len(way) <= 5 UNION SELECT path, way FROM few)
+        SELECT DISTINCT path, array_to_string(list_concat(way[list_position(way, list_min(way)) :], way[: list_position(way, list_min(way))]), '>') AS names FROM every""",
     "calls_neighbours": f"""{SYNTAX}, o AS (SELECT path, caller AS name, string_agg(callee, ',' ORDER BY callee) AS callees FROM calls GROUP BY ALL),
         i AS (SELECT path, callee AS name, string_agg(caller, ',' ORDER BY caller) AS callers FROM calls GROUP BY ALL)
         SELECT path, name, coalesce(callees, '') AS callees, coalesce(callers, '') AS callers FROM o FULL JOIN i USING (path, name)""",

@@ -227,6 +227,7 @@ QUERIES: dict[str, Query] = {
     "calls_paths_of_all": _edges(lambda e: callgraph.all_paths(e, _all_pairs(e)).select("path", "source", "target", F.array_join("names", ">").alias("names"))),
     "calls_on_cycle": _edges(callgraph.on_cycle),
     "calls_cycles": _edges(lambda e: callgraph.cycles(e).select("path", F.array_join("names", ">").alias("names"))),
+    "calls_components": _edges(callgraph.call_components),
     "calls_degrees": _edges(callgraph.degrees),
     "events_by_hour": events_by_hour,
 }

@@ -1,8 +1,6 @@
 import itertools
 import random
 
-import pytest
-
 from corpusloom.__main__ import main
 from corpusloom.operators import callgraph, chains, facts, taint
 from corpusloom.operators.scan import with_languages
@@ -14,11 +12,6 @@ def table(spark, **texts):
     return with_languages(spark.createDataFrame([(k.replace("_", "."), v) for k, v in texts.items()], "path string, content string"))
 
 
-def syntax(spark, text):
-    files = table(spark, a_py=text)
-    return [(r.source_var, r.source_kind, r.source_line, r.sink_name, r.sink_kind, r.sink_line, r.confidence) for r in taint.syntax_paths(facts.python_facts(files), files).orderBy("source_line", "sink_line").collect()]
-
-
 def test_facts(spark):
     text = "import os, sys\nfrom .a import b\n@dec(1)\ndef f(x, y=g()):\n    def h():\n        k(*x, z=len(y))\n    return h()\nclass C:\n    def m(self):\n        self.n(f'{x}')\nprint(1)\n"
     f = facts.python_facts(table(spark, a_py=text, b_py="def (", c_js="f()", d_py=""))
@@ -31,27 +24,31 @@ def test_facts(spark):
 HOPS = "a = input()\n" + "".join(f"{y} = {x}\n" for x, y in itertools.pairwise("abcdefgh"))
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("c = input()\nos.system(c)\n", [("c", "stdin", 1, "os.system", "command_exec", 2, 0.85)]),
-        ("c = input()\nd = [c]\neval(d)\n", [("c", "stdin", 1, "eval", "code_exec", 3, 0.85)]),
-        (HOPS + "eval(f)\n", [("a", "stdin", 1, "eval", "code_exec", 9, 0.85)]),
-        (HOPS + "eval(g)\n", []),
-        ("c: str = input()\neval(c)\n", []),
-        ("(c, d) = input()\neval(c)\n", []),
-        ("c = input()\nd = c.strip()\neval(d)\n", []),
-        ("c = input()\nd = c.attr\neval(d)\n", [("c", "stdin", 1, "eval", "code_exec", 3, 0.85)]),
-        ("c = input()\nisinstance(c, str)\neval(c)\n", [("c", "stdin", 1, "eval", "code_exec", 3, 0.3)]),
-        ("c = input()\neval(input())\n", [("c", "stdin", 1, "eval", "code_exec", 2, 0.6)]),
-        ("eval(input())\n", []),
-        ("eval(c)\nc = input()\n", [("c", "stdin", 2, "eval", "code_exec", 1, 0.85)]),
-        ("c = input()\nc = requests.get(u)\neval(c)\n", [("c", "network_recv", 2, "eval", "code_exec", 3, 0.85)]),
-        ("c = 1\neval(c)\n", []),
-    ],
-)
-def test_syntax_taint(spark, text, want):
-    assert syntax(spark, text) == want
+SYNTAX_TAINT = [
+    ("c = input()\nos.system(c)\n", [("c", "stdin", 1, "os.system", "command_exec", 2, 0.85)]),
+    ("c = input()\nd = [c]\neval(d)\n", [("c", "stdin", 1, "eval", "code_exec", 3, 0.85)]),
+    (HOPS + "eval(f)\n", [("a", "stdin", 1, "eval", "code_exec", 9, 0.85)]),
+    (HOPS + "eval(g)\n", []),
+    ("c: str = input()\neval(c)\n", []),
+    ("(c, d) = input()\neval(c)\n", []),
+    ("c = input()\nd = c.strip()\neval(d)\n", []),
+    ("c = input()\nd = c.attr\neval(d)\n", [("c", "stdin", 1, "eval", "code_exec", 3, 0.85)]),
+    ("c = input()\nisinstance(c, str)\neval(c)\n", [("c", "stdin", 1, "eval", "code_exec", 3, 0.3)]),
+    ("c = input()\neval(input())\n", [("c", "stdin", 1, "eval", "code_exec", 2, 0.6)]),
+    ("eval(input())\n", []),
+    ("eval(c)\nc = input()\n", [("c", "stdin", 2, "eval", "code_exec", 1, 0.85)]),
+    ("c = input()\nc = requests.get(u)\neval(c)\n", [("c", "network_recv", 2, "eval", "code_exec", 3, 0.85)]),
+    ("c = 1\neval(c)\n", []),
+]
+
+
+def test_syntax_taint(spark):
+    files = table(spark, **{f"f{i}_py": text for i, (text, _) in enumerate(SYNTAX_TAINT)})
+    found = {}
+    for r in taint.syntax_paths(facts.python_facts(files), files).orderBy("source_line", "sink_line").collect():
+        found.setdefault(r.path, []).append((r.source_var, r.source_kind, r.source_line, r.sink_name, r.sink_kind, r.sink_line, r.confidence))
+    for i, (text, want) in enumerate(SYNTAX_TAINT):
+        assert found.get(f"f{i}.py", []) == want, text
 
 
 def test_text_taint(spark):
