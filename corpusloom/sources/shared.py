@@ -4,11 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders and tables that this driver wrote for results that are read lazily; whoever has the result may remove them.
 written: list[str] = []
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+def note(what: str) -> None:
+    """Keeps in mind a folder or table that was written."""
+    written.append(what)
+    if (own := _noted.get()) is not None:
+        own.append(what)
+
+
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """A list of what this thread writes inside, and no other one, so that it can be removed when its results have been read."""
+    own: list[str] = []
+    token = _noted.set(own)
+    try:
+        yield own
+    finally:
+        _noted.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +56,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    written.append(at)
+    note(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -46,3 +68,5 @@ def remove(spark: SparkSession, what: list[str]) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         else:
             spark.sql(f"DROP TABLE IF EXISTS {x}")
+        if x in written:
+            written.remove(x)
