@@ -14,11 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tables import partitions, written
+from corpusloom.llm.tables import note, partitions
 from corpusloom.llm.words import U64
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 2 << 20
+#: Buckets of a table, below the most that Spark allows unless told otherwise.
+MOST_BUCKETS = 65_536
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -51,6 +53,11 @@ def ranges(h: np.ndarray, parts: int, place=None) -> Iterator[tuple[int, slice]]
         yield int(of[a]), slice(a, z)
 
 
+def buckets_for(blocks: int, partitions: int) -> int:
+    """Some blocks a bucket. Spark has a most of buckets; where there are more blocks, a task takes more of them, one after another."""
+    return max(1, min(blocks, max(partitions, math.ceil(blocks / 4)), MOST_BUCKETS))
+
+
 class Blocks:
     """docs as a bucketed table with the columns block, seq (doc_id, nulls last) and those of docs."""
 
@@ -58,12 +65,12 @@ class Blocks:
         self.spark = docs.sparkSession
         rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
         self.count = max(1, math.ceil((size or 0) / BLOCK_BYTES), math.ceil(rows / 50_000))
-        buckets = max(1, min(self.count, max(partitions(self.spark), math.ceil(self.count / 4))))
-        #: Ranges of hashes: a range gets what about one block's text gives.
-        self.parts = max(1, min(self.count, 4 * buckets))
+        buckets = buckets_for(self.count, partitions(self.spark))
+        #: Ranges of hashes: a range gets what about one block's text gives, however many blocks there are.
+        self.parts = self.count
         self.name = f"corpusloom_blocks_{uuid.uuid4().hex}"
         placed = docs.withColumn("seq", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
         placed = placed.withColumn("block", F.pmod(F.xxhash64("seq", "text"), F.lit(self.count)).cast("int"))
         placed.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").format("parquet").saveAsTable(self.name)
-        written.append(self.name)
+        note(self.name)
         self.table = self.spark.table(self.name)

@@ -11,10 +11,12 @@ occurrences in the longest grams and distinct words before in all others; under
 vocabulary and one unknown word. Every text begins after marks of its own and ends with a token that is predicted.
 
 The arrays lie in the shared folder, which all workers mount. A range covers about RANGE_BYTES of text, so ranges grow in number and not in size;
-a file holds some ranges that follow each other. Workers look up the sorted hashes of a chunk of texts and keep at most OPEN files
-mapped, however many there are. A lost executor's files are written again with the same content. Nothing is pruned.
+a file holds some ranges that follow each other. A task looks up the sorted hashes of a chunk of texts and keeps at most OPEN files
+mapped until its end, however many there are; beyond MOST files of PER_FILE ranges (about a terabyte of text) files grow instead. A lost executor's files are written again with the same content. Nothing is pruned.
 
-Defined results: null and empty texts are one end token; a null doc_id is held out; repeated rows
+Grams of one 64-bit hash count as one.
+
+Defined results: null and empty texts are one end token; very long ones are counted and scored whole, a chunk of their own; a null doc_id is held out; repeated rows
 teach and are scored each; without training texts every model probability is that of an
 unknown word, 1; an empty table gives no rows; other columns are ignored.
 """
@@ -45,7 +47,7 @@ ORDER = 2
 RANGE_BYTES = 8 << 20
 #: A file for each range up to FEW, then one for every PER_FILE ranges up to MOST, then MOST.
 FEW, PER_FILE, MOST = 256, 8, 16_384
-#: Files that a worker keeps mapped.
+#: Files that a task keeps mapped.
 OPEN = 256
 #: Distinct hashes that a task combines before it sends them on.
 COMBINED = 1 << 21
@@ -189,6 +191,18 @@ def _mapped(path: str) -> dict[str, np.ndarray] | None:
     return found
 
 
+def unmapped(run):
+    """What run yields; the maps that it opened go as the task ends."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _open.clear()
+
+    return one
+
+
 def look_up(store: Store, table: str, h: np.ndarray, **kinds) -> list[np.ndarray]:
     """For each hash its values in a table, by name, 0 where it is unknown."""
     distinct, number = np.unique(h, return_inverse=True)
@@ -274,7 +288,7 @@ def _tabulate(texts: DataFrame, store: Store, table: str, kinds: list, make, col
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["numbers"])
 
-    sent = in_batches(texts, lambda b: _sent(b, store, kinds, make), "file int, part int, hashes binary, sums array<binary>")
+    sent = in_batches(texts, unmapped(lambda b: _sent(b, store, kinds, make)), "file int, part int, hashes binary, sums array<binary>")
     dealt = sent.repartitionById(store.files, "file").sortWithinPartitions("part")
     found = in_batches(dealt, write, "numbers array<double>").select(F.posexplode("numbers").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
     return [r.x for r in found]
@@ -397,7 +411,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
-    return in_batches(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return in_batches(rows, unmapped(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

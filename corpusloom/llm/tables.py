@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from corpusloom.sources.shared import remove, shared_dir, stored, written
+from corpusloom.sources.shared import note, noting, remove, shared_dir, stored, written
 
-__all__ = ["ascii_lower", "give_back", "in_batches", "in_groups", "partitions", "read", "remove", "shared_dir", "stored", "written"]
+__all__ = ["ascii_lower", "give_back", "in_batches", "in_groups", "note", "noting", "partitions", "read", "remove", "shared_dir", "stored", "written"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes, about, that go to a Python worker at once; a longer row goes alone.
 BATCH_BYTES = 4 << 20

@@ -78,3 +78,10 @@ def test_long_words_that_a_polynomial_takes_for_equal_have_other_hashes():
     raw = f"{flips} {flips.translate({97: 'b', 98: 'a'})} {flips}".encode()
     w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
     assert w.hash[0] == w.hash[2] != w.hash[1]
+
+
+def test_buckets_have_a_most_and_ranges_have_none():
+    from corpusloom.llm.blocks import MOST_BUCKETS, buckets_for
+
+    assert buckets_for(1, 200) == 1 and buckets_for(100, 200) == 100 and buckets_for(10_000, 200) == 2_500
+    assert buckets_for(500_000, 200) == buckets_for(50_000_000, 1_000) == MOST_BUCKETS < 100_000
