@@ -7,7 +7,8 @@
 5. byte-level BPE: adds ids, their number, and whether they decode to the text.
 
 Rows of one doc_id are told apart by their texts; repeated rows are one document from stage 2 on. Documents without
-words are no duplicates, hold nothing toxic and no passage, and stay. Columns beside doc_id, text and n_chars pass through every stage
+words are no duplicates, hold nothing toxic and no passage, and stay. Rows without doc_id are told apart by their texts and treated as others are;
+very long texts go through all stages whole; an empty table gives no rows. Columns beside doc_id, text and n_chars pass through every stage
 unchanged, whatever their names; where one has the name of a column that the last stage adds, that one gets ``bpe_`` before its own.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_bpe, minhash, positional_index, substrings, toxicity
-from corpusloom.llm.tables import read, remove, shared_dir, written
+from corpusloom.llm.tables import noting, read, remove, shared_dir
 
 #: Per cent of the union of shingles from which two documents are near copies; op6 has a threshold of its own.
 SIMILAR = 80
@@ -108,11 +109,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all stages leave of documents."""
     docs, before = read(spark, sf_dir, "documents"), None
     for name, work in STAGES:
-        at, begun = f"{shared_dir(spark)}/pipeline-{name}-{uuid4().hex}", len(written)
-        work(spark, docs, sf_dir).write.parquet(at)
+        at = f"{shared_dir(spark)}/pipeline-{name}-{uuid4().hex}"
+        with noting() as own:
+            work(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
         # what the stage wrote on its way, and what it read, is needed no more
-        remove(spark, [*written[begun:], *([before] if before else [])])
-        del written[begun:]
+        remove(spark, [*own, *([before] if before else [])])
         before = at
     return docs
