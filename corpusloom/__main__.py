@@ -1,4 +1,4 @@
-"""python -m corpusloom PATH [--json | --quiet] [--severity S] [--category C] [--deep] | --version: scans a source tree; --deep heeds neither severity nor category."""
+"""python -m corpusloom PATH [--json | --quiet | --out FOLDER] [--syntax] [--severity S] [--category C] [--deep] | --version: scans a source tree; --deep heeds neither severity nor category."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Row, SparkSession
 
 from corpusloom import __version__
 from corpusloom.functions.rules import SEVERITIES
+from corpusloom.operators.facts import PARSERS
 from corpusloom.operators.reports import FIELDS, full_report, quiet, report_lines
 from corpusloom.operators.risk import exit_code
 from corpusloom.operators.scan import decoded
@@ -43,6 +44,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--version", action="version", version=f"corpusloom {__version__}")
     p.add_argument("--json", action="store_true")
     p.add_argument("--quiet", action="store_true")
+    p.add_argument("--out", metavar="FOLDER", help="write JSON lines there, by tasks, instead of printing")
+    p.add_argument("--syntax", action="store_true", help="with --deep: all languages that have a parser by syntax, not Python alone")
     p.add_argument("--severity", choices=list(SEVERITIES))
     p.add_argument("--category", choices=["poisoning", "security"])
     p.add_argument("--deep", action="store_true")
@@ -50,11 +53,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("corpusloom").getOrCreate()
     files = decoded(read_tree(spark, a.path, "deep" if a.deep else "scan")).select("path", "content")
     if a.deep:
-        deep = analyse(files)
+        deep = analyse(files, syntax=list(PARSERS) if a.syntax else ["python"])
         total = deep_totals(deep_summary(files, deep)).first()
         if a.quiet:
             print(f"{total.taint_paths} taint paths, {total.attack_chains} attack chains, {total.errors} errors in {total.reported_files} files")
             return deep_exit_code(deep).first()[0]
+        if a.out:
+            deep_rows(files, deep).write.json(a.out)
+            print(f"{total.reported_files} files in {a.out}")
+            return deep_exit_code(deep).first()[0]
         rows = deep_rows(files, deep).orderBy("path").toLocalIterator()
         if a.json:
             _print_json({"scan_path": a.path, "files_analyzed": files.count(), **total.asDict()}, "files", (r.asDict(recursive=True) for r in rows))
@@ -64,7 +71,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{total.taint_paths} paths, {total.attack_chains} chains, {total.errors} errors in {total.reported_files} files")
         return deep_exit_code(deep).first()[0]
     findings, summary = full_report(files, a.severity, a.category)
-    if a.json:
+    if a.out:  # written by tasks and committed as a whole; a folder that is there is an error
+        findings.select(FIELDS).write.json(a.out)
+        print(f"{summary['findings_count']} findings in {a.out}")
+    elif a.json:
         rows = (r.asDict() for r in findings.orderBy("path", "rule_ord", "line_number").select(FIELDS).toLocalIterator())
         _print_json({"scan_path": a.path, "files_scanned": summary["files_scanned"], "findings_count": summary["findings_count"]}, "findings", rows, ensure_ascii=False)
     elif a.quiet:

@@ -25,7 +25,8 @@ from corpusloom.functions.text import taint_language
 from corpusloom.operators.brackets import bracket_facts, shell_facts
 
 #: fact: function, call, call_ref, call_inner, assign, assign_ref, import, error.
-SCHEMA = "path string, language string, fact string, seq int, ord int, name string, caller string, line int, line_end int, params array<string>, value_call string, value_line int, chain string"
+FACT = "fact string, seq int, ord int, name string, caller string, line int, line_end int, params array<string>, value_call string, value_line int, chain string"
+SCHEMA = f"path string, language string, {FACT}"
 _ARROW = pa.schema(
     [("path", pa.string()), ("language", pa.string()), ("fact", pa.string()), ("seq", pa.int32()), ("ord", pa.int32()), ("name", pa.string()), ("caller", pa.string()), ("line", pa.int32()), ("line_end", pa.int32())]
     + [("params", pa.list_(pa.string())), ("value_call", pa.string()), ("value_line", pa.int32()), ("chain", pa.string())]
@@ -121,7 +122,7 @@ PARSERS: dict[str, Callable[[str], Iterator[dict]]] = {"python": facts_of, **{x:
 ROWS = 20_000
 
 
-def _rows(parse: Callable[[str], Iterator[dict]], content: str) -> list[dict]:
+def rows_of(parse: Callable[[str], Iterator[dict]], content: str) -> list[dict]:
     """The facts of a text; one error row if it can't be read."""
     try:
         return list(parse(content))
@@ -138,7 +139,7 @@ def syntax_facts(files: DataFrame, languages: Collection[str] | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, language, content, parser in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                rows = [{"path": path, "language": language, **x} for x in _rows(PARSERS[parser], content or "")]
+                rows = [{"path": path, "language": language, **x} for x in rows_of(PARSERS[parser], content or "")]
                 for a in range(0, len(rows), ROWS):
                     yield pa.RecordBatch.from_pylist(rows[a : a + ROWS], _ARROW)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rules import RISK_LEVELS, SEVERITIES
+from corpusloom.operators.scan import line_count, scan
 
 # Two poisoning rules that together raise an alert.
 COMBINATIONS = [
@@ -34,19 +35,25 @@ def tail_from(n_lines: Column) -> Column:
     return F.greatest(F.lit(1), n_lines - F.expr("n_lines div 4"))
 
 
-def file_risk(findings: DataFrame, file_lines: DataFrame) -> DataFrame:
+def risk_of_files(files: DataFrame) -> DataFrame:
+    """file_risk of files (path, content), read once: findings carry the number of their file's lines along."""
+    counted = files.withColumn("n_lines", line_count(F.col("content")))
+    return file_risk(scan(counted, carry=["n_lines"]))
+
+
+def file_risk(findings: DataFrame, file_lines: DataFrame | None = None) -> DataFrame:
     """path, total_score, poisoning_score, security_score, findings_count, flags; files without findings have no row.
 
-    Findings are summed before they meet the line counts; the tail's limit is needed per finding, so counts join first where a
-    file has grave findings.
+    n_lines comes with the findings, or from file_lines (path, n_lines).
     """
+    if file_lines is not None:
+        findings = findings.join(file_lines, "path", "left")
     w, poisoning = weight(F.col("severity")), F.col("category") == "poisoning"
     has = lambda rule: F.coalesce(F.bool_or(poisoning & (F.col("rule_id") == rule)), F.lit(False))
     grave = F.col("severity").isin("critical", "high") & (F.col("n_lines") > 0) & (F.col("line_number") >= tail_from(F.col("n_lines")))
     flags = [F.when(has(a) & has(b), F.lit(name)) for name, a, b in COMBINATIONS] + [F.when(F.count_if(grave) >= 2, F.lit(TAIL))]
     return (
-        findings.join(file_lines, "path", "left")
-        .groupBy("path")
+        findings.groupBy("path")
         .agg(
             F.sum(w).cast("long").alias("total_score"),
             F.sum(F.when(poisoning, w).otherwise(0)).cast("long").alias("poisoning_score"),

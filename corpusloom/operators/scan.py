@@ -52,8 +52,8 @@ def _applies(rule: Rule) -> Column:
     return ok
 
 
-def find(lines: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """path, line_number, rule_ord, rule_id, matched_line, context_note of each finding; lines has path, language, line_number, line."""
+def find(lines: DataFrame, rules: Sequence[Rule] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """path, line_number, rule_ord, rule_id, matched_line, context_note and carry of each finding; lines has path, language, line_number, line and carry."""
     rules = [r for r in (built_in() if rules is None else rules) if r.patterns]
     if not rules:
         rules = [Rule("none", "", "low", "security", [], ["(?!)"])]
@@ -68,8 +68,8 @@ def find(lines: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     gate = may_match(line, [p for r in rules if "all" in r.languages for p in r.patterns])
     if some:
         gate = F.when(F.col("language").isin(some), may_match(line, [p for r in rules for p in r.patterns])).otherwise(gate)
-    hits = lines.where(gate).select("path", "line_number", "line", F.explode(F.filter(F.array(*cases), lambda x: x["context_note"].isNotNull())).alias("hit"))
-    return hits.select("path", "line_number", "hit.rule_ord", "hit.rule_id", shown(line).alias("matched_line"), "hit.context_note")
+    hits = lines.where(gate).select("path", "line_number", "line", *carry, F.explode(F.filter(F.array(*cases), lambda x: x["context_note"].isNotNull())).alias("hit"))
+    return hits.select("path", "line_number", "hit.rule_ord", "hit.rule_id", shown(line).alias("matched_line"), "hit.context_note", *carry)
 
 
 def rules_table(spark, rules: Sequence[Rule] | None = None) -> DataFrame:
@@ -83,9 +83,9 @@ def severity_rank(severity: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for n, s in enumerate(SEVERITIES) for x in (s, n))), severity), F.lit(9))
 
 
-def scan(files: DataFrame, rules: Sequence[Rule] | None = None, severity: str | None = None, category: str | None = None) -> DataFrame:
-    """All columns of a finding; severity is the least grave one to report. files has path and content."""
-    found = find(explode_lines(with_languages(files).select("path", "language", "content")), rules)
+def scan(files: DataFrame, rules: Sequence[Rule] | None = None, severity: str | None = None, category: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """All columns of a finding; severity is the least grave one to report. files has path, content and what findings carry along."""
+    found = find(explode_lines(with_languages(files).select("path", "language", *carry, "content")), rules, carry)
     # as many rows as there are rules are broadcast
     out = found.join(F.broadcast(rules_table(files.sparkSession, rules).drop("rule_ord", "languages")), "rule_id")
     if severity:
@@ -93,12 +93,18 @@ def scan(files: DataFrame, rules: Sequence[Rule] | None = None, severity: str |
     if category:
         out = out.where(F.col("category") == category)
     columns = ["rule_id", "rule_name", "severity", "category", "path", "line_number", "matched_line", "description", "recommendation", "context_note", "rule_ord"]
-    return out.select(columns)
+    return out.select(*columns, *carry)
+
+
+def line_count(content: Column) -> Column:
+    """Lines of a text, counted without splitting it."""
+    breaks = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit("")))
+    return (breaks + ((content != "") & ~F.endswith(content, F.lit("\n"))).cast("int")).cast("int")
 
 
 def file_lines(files: DataFrame) -> DataFrame:
     """path, n_lines."""
-    return files.select("path", F.size(lines_of(F.col("content"))).alias("n_lines"))
+    return files.select("path", line_count(F.col("content")).alias("n_lines"))
 
 
 def excluded(path: Column, folders: Sequence[str], names: Sequence[str], endings: Sequence[str], length: Column | None = None, most: int = 0) -> Column:

@@ -87,7 +87,7 @@ def text_flows(files: DataFrame) -> DataFrame:
         return F.struct(
             (i + 1).alias("n"),
             F.when(F.contains(text, F.lit("=")), assigned(text)).alias("var"),
-            fits("sources").alias("sources"),
+            F.when(F.contains(text, F.lit("=")), fits("sources")).otherwise(none).alias("sources"),
             F.when(comment, none).otherwise(fits("sinks")).alias("sinks"),
             contains_any(F.lower(text), SANITIZERS).alias("safe"),
             text.alias("text"),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Collection
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import deep_language
 from corpusloom.operators.chains import chains
 from corpusloom.operators.facts import call_edges, errors, symbols, syntax_facts
 from corpusloom.operators.scan import with_languages
@@ -37,25 +39,29 @@ def analyse(files: DataFrame, by_text: bool = True, syntax: Collection[str] = ("
 
 def deep_summary(files: DataFrame, deep: Deep) -> DataFrame:
     """path, language, symbols_count, call_edges, taint_paths, attack_chains, errors of each file that has a path, a chain or an error."""
-    n = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
-    out = with_languages(files).select("path", F.col("deep_language").alias("language"))
-    counts = {"symbols_count": deep.symbols, "call_edges": deep.call_edges, "taint_paths": deep.taint_paths, "attack_chains": deep.chains, "errors": deep.errors}
-    for name, df in counts.items():
-        out = out.join(n(df, name), "path", "left")
-    out = out.fillna(0, list(counts))
-    return out.where("taint_paths > 0 or attack_chains > 0 or errors > 0")
+    counts = [F.count_if(F.col("what") == name).alias(name) for name in ("symbols_count", "call_edges", "taint_paths", "attack_chains", "errors")]
+    return _together(deep).groupBy("path").agg(*counts).where(_REPORTED).select("path", deep_language(F.col("path")).alias("language"), "symbols_count", "call_edges", "taint_paths", "attack_chains", "errors")
 
 
-def deep_rows(files: DataFrame, deep: Deep) -> DataFrame:
-    """The columns of deep_summary, with the file's paths, chains and errors themselves as arrays in order."""
+_REPORTED = "taint_paths > 0 or attack_chains > 0 or errors > 0"
+
+
+def _together(deep: Deep) -> DataFrame:
+    """path, what, and a path, chain or error of each row of the tables, so that one grouping has them all."""
     path = F.struct("source_line", "sink_line", "source_var", "source_kind", "sink_name", "sink_kind", F.round("confidence", 6).alias("confidence"))
     chain = F.struct("chain_name", "severity", F.round("confidence", 6).alias("confidence"), "summary")
-    every = lambda df, what, name: df.groupBy("path").agg(F.sort_array(F.collect_list(what)).alias(name))
-    out = deep_summary(files, deep).select("path", "language", "symbols_count", "call_edges")
-    out = out.join(every(deep.taint_paths, path, "taint_paths"), "path", "left").join(every(deep.chains, chain, "attack_chains"), "path", "left")
-    out = out.join(every(deep.errors, F.col("message"), "errors"), "path", "left")
-    none = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
-    return out.select("path", "language", "symbols_count", "call_edges", none("taint_paths"), none("attack_chains"), none("errors"))
+    parts = {"symbols_count": (deep.symbols, {}), "call_edges": (deep.call_edges, {}), "taint_paths": (deep.taint_paths, {"a_path": path}), "attack_chains": (deep.chains, {"a_chain": chain}), "errors": (deep.errors, {"an_error": F.col("message")})}
+    rows = [df.select("path", F.lit(what).alias("what"), *(c.alias(name) for name, c in own.items())) for what, (df, own) in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+
+
+def deep_rows(files: DataFrame, deep: Deep) -> DataFrame:
+    """The columns of deep_summary, with the file's paths, chains and errors themselves as arrays in order."""
+    every = {"taint_paths": "a_path", "attack_chains": "a_chain", "errors": "an_error"}
+    counts = [F.count_if(F.col("what") == name).alias(name) for name in ("symbols_count", "call_edges")]
+    rows = _together(deep).groupBy("path").agg(*counts, *(F.sort_array(F.collect_list(c)).alias(name) for name, c in every.items()))
+    rows = rows.where(" or ".join(f"size({name}) > 0" for name in every))
+    return rows.select("path", deep_language(F.col("path")).alias("language"), "symbols_count", "call_edges", *every)
 
 
 def deep_totals(summary: DataFrame) -> DataFrame:

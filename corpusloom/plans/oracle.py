@@ -241,13 +241,16 @@ BROKEN = "SyntaxError: invalid syntax (<unknown>, line 1)"
 ADVICE = "advice(rule_id, rule_name, description, recommendation) AS (VALUES " + ", ".join(f"({q(r.id)}, {q(r.name)}, {q(r.description)}, {q(r.recommendation)})" for r in RULES) + ")"
 
 ORACLE_SQL: dict[str, str] = {
-    "rules_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"({q(r.id)}, {n}, {q(r.severity)}, {q(r.category)}, {q(','.join(r.languages))})" for n, r in enumerate(RULES)) + ") AS t(rule_id, rule_ord, severity, category, languages)",
+    "rules_catalogue": f"{findings()}, rules(rule_id, rule_ord, severity, category, languages) AS (VALUES " + ", ".join(f"({q(r.id)}, {n}, {q(r.severity)}, {q(r.category)}, {q(','.join(r.languages))})" for n, r in enumerate(RULES)) + """)
+        SELECT r.*, count(f.path) AS n_findings, count(DISTINCT f.path) AS n_files FROM rules r LEFT JOIN findings f USING (rule_id) GROUP BY ALL""",
+    "project_flags": f"{RISK} SELECT path, unnest(flags) AS flag FROM risk",
     "syntax_functions": f"{SYNTAX} SELECT path, name, 'function' AS kind, line_start, line_end FROM snippet JOIN fn USING (k)",
     "syntax_calls": f"{SYNTAX} SELECT * FROM edges",
     "syntax_imports": f"{SYNTAX} SELECT path, name FROM snippet JOIN imported USING (k)",
     "syntax_errors": f"{SYNTAX} SELECT path FROM snippet WHERE k = 23",
     "syntax_all_functions": f"{ALL_SYNTAX} SELECT path, name, 'function' AS kind, line_start, line_end, params FROM snippet JOIN (SELECT fn.*, params FROM fn JOIN params USING (k, name) UNION ALL SELECT * FROM more_fn) USING (k)",
     "syntax_all_calls": f"{ALL_SYNTAX} SELECT path, caller, callee, line FROM snippet JOIN (SELECT * FROM call UNION ALL SELECT * FROM more_call) USING (k)",
+    "syntax_calls_by_sql": f"{ALL_SYNTAX} SELECT path, caller, callee, line FROM snippet JOIN (SELECT * FROM call UNION ALL SELECT * FROM more_call) USING (k)",
     "syntax_all_imports": f"{ALL_SYNTAX} SELECT path, name FROM snippet JOIN (SELECT * FROM imported UNION ALL SELECT * FROM more_imported) USING (k)",
     "taint_syntax_all_sources": f"{ALL_SYNTAX} SELECT path, name, kind, line FROM snippet JOIN every_source USING (k)",
     "taint_syntax_all_paths": f"{ALL_SYNTAX} SELECT * FROM syntax_path",
@@ -288,7 +291,7 @@ ORACLE_SQL: dict[str, str] = {
     "languages": f"WITH {CODE}, l AS (SELECT path, {LANGUAGE} AS language, {DEEP} AS deep_language FROM files) SELECT *, {TAINT_LANGUAGE} AS taint_language FROM l",
     "lines": f"WITH {TEXT}, {LINES} SELECT path, line_number, line FROM lines",
     "lines_per_file": f"WITH {TEXT}, {LINES} SELECT path, (SELECT count(*) FROM lines l WHERE l.path = f.path)::INTEGER AS n_lines FROM files f",
-    "line_entropy": "SELECT DISTINCT text, round(CASE WHEN text = '' THEN 0 ELSE list_entropy(string_split(text, '')) END, 6) AS entropy FROM conversations WHERE text IS NOT NULL",
+    "line_entropy": f"WITH {TEXT}, {LINES} SELECT DISTINCT text, round(CASE WHEN text = '' THEN 0 ELSE list_entropy(string_split(text, '')) END, 6) AS entropy FROM (SELECT rtrim(line, chr(10)) AS text FROM lines)",
     **{f"rule_{r.id.lower().replace('-', '_')}": f"{findings(rules=[r])} SELECT path, line_number, matched_line, context_note FROM findings" for r in RULES},
     "findings_code": f"{findings()} {PLAIN}",
     "findings_text": f"{findings(TEXT)} {PLAIN}",

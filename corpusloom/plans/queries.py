@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.rules import built_in
 from corpusloom.functions.text import entropy, taint_language
-from corpusloom.operators import callgraph, chains, facts, reports, risk, taint
+from corpusloom.operators import callgraph, chains, facts, reports, risk, tablefunctions, taint
 from corpusloom.operators.scan import explode_lines, file_lines, find, rules_table, scan, severity_rank, with_languages
 from corpusloom.plans import deep
 from corpusloom.sources.corpus import code_files, text_files
@@ -54,26 +54,35 @@ def rules_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entropy of the different lines of conversations."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("text").where("text is not null").distinct()
+    """Entropy of the different lines of all texts, without their line ends."""
+    rows = explode_lines(text_files(spark, sf_dir)).select(F.rtrim("line", F.lit("\n")).alias("text")).distinct()
     return rows.select("text", F.round(entropy(F.col("text")), 6).alias("entropy"))
 
 
 def file_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = code_files(spark, sf_dir)
-    found = risk.file_risk(scan(files), file_lines(files))
+    found = risk.risk_of_files(code_files(spark, sf_dir))
     return found.select("path", "total_score", "poisoning_score", "security_score", "findings_count", F.array_join("flags", "|").alias("flags"))
 
 
 def project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = code_files(spark, sf_dir)
-    return risk.project_risk(risk.file_risk(scan(files), file_lines(files)))
+    return risk.project_risk(risk.risk_of_files(code_files(spark, sf_dir)))
+
+
+def project_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flag of every file: the project's list, with its repetitions."""
+    return risk.risk_of_files(code_files(spark, sf_dir)).select("path", F.explode("flags").alias("flag"))
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules, each with what it finds in the files."""
+    counts = _findings(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n_findings"), F.countDistinct("path").alias("n_files"))
+    rules = rules_table(spark).select("rule_id", "rule_ord", "severity", "category", F.array_join("languages", ",").alias("languages"))
+    return rules.join(counts, "rule_id", "left").fillna(0, ["n_findings", "n_files"])
 
 
 def top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 files with the largest scores."""
-    files = code_files(spark, sf_dir)
-    return risk.file_risk(scan(files), file_lines(files)).select("path", "total_score").orderBy(F.desc("total_score"), "path").limit(20)
+    return risk.risk_of_files(code_files(spark, sf_dir)).select("path", "total_score").orderBy(F.desc("total_score"), "path").limit(20)
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -134,6 +143,13 @@ def all_syntax_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deep.analyse(code_files(spark, sf_dir), syntax=list(facts.PARSERS)).chains
 
 
+def calls_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of all languages, by the parsers as a table function."""
+    tablefunctions.register(spark)
+    files = with_languages(code_files(spark, sf_dir)).select("path", "deep_language", "content")
+    return spark.sql("SELECT path, caller, f.name AS callee, line FROM {files}, LATERAL syntax_facts(deep_language, content) f WHERE fact = 'call' AND caller IS NOT NULL", files=files)
+
+
 def syntax_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taint.syntax_paths(*_stored_facts(spark, sf_dir))
 
@@ -182,7 +198,7 @@ QUERIES: dict[str, Query] = {
     **{f"rule_{r.id.lower().replace('-', '_')}": _rule(r.id) for r in built_in()},
     "findings_code": lambda s, d: _plain(_findings(s, d)),
     "findings_text": lambda s, d: _plain(scan(text_files(s, d))),
-    "rules_catalogue": lambda s, d: rules_table(s).select("rule_id", "rule_ord", "severity", "category", F.array_join("languages", ",").alias("languages")),
+    "rules_catalogue": catalogue,
     "severity_floor_high": lambda s, d: _plain(scan(code_files(s, d), severity="high")),
     "category_poisoning": lambda s, d: _plain(scan(code_files(s, d), category="poisoning")),
     "severity_counts": lambda s, d: reports.severity_counts(_findings(s, d)),
@@ -193,6 +209,7 @@ QUERIES: dict[str, Query] = {
     "json_report": lambda s, d: reports.json_rows(_findings(s, d)),
     "file_risk": file_risks,
     "project_risk": project,
+    "project_flags": project_flags,
     "scan_totals": scan_totals,
     "tree_listing": lambda s, d: reports.tree_rows(_findings(s, d)).select("category", "severity", "path", "line_number", "rule_id"),
     "top_risky_files": top_files,
@@ -202,6 +219,7 @@ QUERIES: dict[str, Query] = {
     "syntax_errors": _of_facts(lambda f: facts.errors(f).select("path")),
     "syntax_all_functions": _of_all_facts(lambda f: facts.symbols(f).select("path", "name", "kind", "line_start", "line_end", F.array_join("params", ",").alias("params"))),
     "syntax_all_calls": _of_all_facts(facts.call_edges),
+    "syntax_calls_by_sql": calls_by_sql,
     "syntax_all_imports": _of_all_facts(facts.imports),
     "taint_syntax_all_sources": _of_all_facts(taint.syntax_sources),
     "taint_syntax_all_paths": all_syntax_paths,

@@ -46,3 +46,18 @@ def test_report_has_groups_numbers_and_advice(spark, capsys, tmp_path):
     assert groups[0] == "== critical ==" and groups[-1] == "== what to do =="
     assert [x.split()[0] for x in lines if " a.py:" in x] == ["1", "2", "3"]
     assert any(x.startswith("alerts: remote control: 1") for x in lines)
+
+
+def test_out_is_written_by_tasks_as_a_whole(spark, capsys, tmp_path):
+    code, out = tmp_path / "code", tmp_path / "out"
+    code.mkdir()
+    (code / "a.py").write_text("eval(x)\n" * 30)
+    (code / "b.js").write_text("const cmd = req.query.c;\nlet line = cmd;\nexec(line);\n")
+    assert main([str(code), "--out", str(out)], spark) == 2
+    rows = [json.loads(x) for f in out.glob("part-*.json") for x in f.read_text().splitlines()]
+    assert len(rows) >= 30 and {r["rule_id"] for r in rows} >= {"POI-002"} and (out / "_SUCCESS").exists()
+    assert f"{len(rows)} findings" in capsys.readouterr().out
+    deep = tmp_path / "deep"
+    assert main([str(code), "--deep", "--syntax", "--out", str(deep)], spark) >= 1
+    [row] = [json.loads(x) for f in deep.glob("part-*.json") for x in f.read_text().splitlines()]
+    assert row["path"] == "b.js" and row["taint_paths"][0]["sink_name"] == "exec"
