@@ -6,10 +6,10 @@ a window of words, attention pools their states, and a logistic layer scores
 the window. All windows of a text, STRIDE words apart and WINDOW long, are scored; the
 text's score is that of its worst window, calibrated on whole texts.
 
-The network is trained in numpy on the driver, on a bounded sample: at most SAMPLE texts of each
-label by least hash of doc_id. Labels come only from rows that are not held out; label, language, source and doc_id are no inputs.
+The network is trained in numpy on the driver, on a bounded sample: of each label at most SAMPLE texts, by least hash of doc_id, and of these the
+first SAMPLE_BYTES of whole texts (of rows with one doc_id the largest text). Labels come only from rows that are not held out; label, language, source and doc_id are no inputs.
 Tasks count the inputs of these whole texts; known are the FEATURES that differ most between the labels, each seen in more than SEEN texts, and the words of a SHARE of
-all texts, COMMON at most (runs that are as common would only learn these texts by heart). Tasks look at all windows and send KEPT of each text at most: those with most inputs of toxic texts, and some evenly between. Every
+all texts, COMMON at most (runs that are as common would only learn these texts by heart). All windows of these texts teach: every
 epoch takes the window of each toxic text, and two of each clean one, that the network then finds worst or draws; so it learns which window bears the label. A fifth of the sample
 does not train: on its whole texts the scores are calibrated (on all, if it has fewer than CALIBRATE texts of a label).
 Workers get the weights (under a megabyte) and score whole texts chunk by chunk.
@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -36,7 +36,7 @@ from corpusloom.llm.words import ALNUM, U64, Words, mix, signed, texts_of
 WINDOW, STRIDE = 64, 48
 #: Characters of the runs of a word that are inputs.
 RUNS = (3, 5)
-SAMPLE, KEPT, CALIBRATE = 1_500, 16, 8
+SAMPLE, SAMPLE_BYTES, CALIBRATE = 1_500, 64 << 20, 8
 FEATURES, TELLING, COMMON, SHARE, SEEN = 12_000, 2.3, 4_000, 0.1, 3
 FOLDS = 5
 #: Windows that a worker scores at once.
@@ -304,12 +304,17 @@ def _calibration(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, y, text and part (what it is for: "train" or "calibrate") of a bounded sample of labelled texts, stored."""
+    """doc_id, y, text and part (what it is for: "train" or "calibrate") of a bounded sample of labelled texts, stored.
+
+    Of each label SAMPLE rows at most, the first by a hash, and of these the first SAMPLE_BYTES of whole texts; a longer text is in no sample.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("y = 0").orderBy(*order).limit(SAMPLE).union(known.where("y = 1").orderBy(*order).limit(SAMPLE))
     # at most 2 * SAMPLE ids are broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
+    whole = Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    texts = texts.withColumn("bytes", F.sum(F.octet_length("text")).over(whole)).where(F.coalesce("bytes", F.lit(0)) <= SAMPLE_BYTES)
     part = F.when(F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0, "calibrate").otherwise("train")
     return stored(texts.select("doc_id", "y", "text", part.alias("part")).repartition(partitions(docs.sparkSession), "doc_id"), "sample")
 
@@ -347,25 +352,18 @@ def vocabulary_of(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 _BAGS = "doc_id long, y int, windows binary, inputs binary, ends binary"
 
 
-def bags_of(texts: DataFrame, vocabulary: np.ndarray, odds: np.ndarray) -> Bags:
-    """At most KEPT windows of each text (doc_id, y, text), chosen from all."""
+def bags_of(texts: DataFrame, vocabulary: np.ndarray) -> Bags:
+    """All windows of each text (doc_id, y, text)."""
     model = Model(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tell = np.maximum(np.append(0.0, odds), 0)[:, None]
         for batch, w in texts_of(batches, "text", kind=ALNUM, fold=True):
             x, number = inputs(w)
             x = model.known(x)
-            sums = np.concatenate(([0.0], np.cumsum(x.sums(tell)[number, 0] if len(number) else np.zeros(0))))
             text, first, size = windows(w)
-            score = sums[first + size] - sums[first]
             rows = []
             for i, (a, z) in enumerate(zip(np.searchsorted(text, np.arange(w.texts)), np.searchsorted(text, np.arange(w.texts), "right"))):
                 mine = np.arange(a, z)
-                if len(mine) > KEPT:
-                    most = mine[np.argsort(-score[mine], kind="stable")[: KEPT - KEPT // 4]]
-                    rest = np.setdiff1d(mine, most)
-                    mine = np.union1d(most, rest[np.linspace(0, len(rest) - 1, KEPT // 4).astype(int)])
                 at = np.arange(WINDOW)
                 index = np.where(at < size[mine, None], np.append(number, 0)[np.minimum(first[mine, None] + at, len(number))], -1)
                 words, index_ = np.unique(index, return_inverse=True)
@@ -392,7 +390,7 @@ def fit(texts: DataFrame) -> Model:
     """The model of a bounded sample (doc_id, y, text, part), calibrated on the whole texts that don't train."""
     teach = texts.where("part = 'train'")
     vocabulary, odds = vocabulary_of(teach)
-    model = train(bags_of(teach, vocabulary, odds), vocabulary, odds)
+    model = train(bags_of(teach, vocabulary), vocabulary, odds)
     if model.constant is None:
         counts = {r.y: r.n for r in texts.where("part = 'calibrate'").groupBy("y").agg(F.count("*").alias("n")).collect()}
         enough = min(counts.get(0, 0), counts.get(1, 0)) >= CALIBRATE
