@@ -10,7 +10,7 @@ code byte by code byte; the DEPTH best distinct vectors are then scored exactly,
 precision. Equal vectors of a segment are scanned once and stand for their ids, so a vector with many copies crowds nobody out.
 
 All vectors are scanned for every query, as near-isotropic vectors leave no partition that could be skipped at this recall.
-The work is a grid: hashed blocks of about QUERIES queries along one side, SEGMENTS segments along the other, both dealt by a
+The work is a grid: hashed blocks of about QUERIES queries along one side (a segment goes out once for each of these), SEGMENTS segments along the other, both dealt by a
 shuffle; a cell keeps the k best of each of its queries, and a last step ranks what the cells found. One plan does, whatever the
 number of queries, and no query or candidate passes through the driver but the sample that the centroids are learnt on.
 
@@ -37,7 +37,7 @@ THRESHOLD = 0.2
 SAMPLE = 20_000
 SEGMENT, DEPTH = 8_192, 100
 #: Of a cell, about.
-QUERIES, SEGMENTS = 8_192, 8
+QUERIES, SEGMENTS = 65_536, 8
 _ROUNDS, _SWEEPS = 8, 3
 _TILE = 64  # queries that are scanned together
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
