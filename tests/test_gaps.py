@@ -12,6 +12,8 @@ from corpusloom.functions.text import INSTEAD, any_of, search
 # words and marks of the rewritten patterns
 PARTS = ["x03", "x0f", " ", "curl", "wget", "|", "bash", "sh", "python", "pip", "install", "http://", "https://", "pypi.org", "npm", "npmjs.com", "go", "get", "github.com", "docker", "run", "Set-ItemProperty", "Registry", "chmod", "+s", "a", " = ", '"', "'", "+", "SELECT", "DROP", ".format", "(", ")", "%", "eyJ", ".", "-", 'f"', "f'", "*", ",", "return", "response", "<b", "<", ">", "{", "reg add", "chown root", "yaml.load", "Loader=yaml.SafeLoader", "é", "\t", "_"]
 
+MATCHES = ['a = "b, c" + d SELECT', "x='y'+z drop_ DROP\n", 'q = f"a, SELECT', ".format(a) b SELECT", "'%s UPDATE", '" % (a) DELETE', "eyJa.eyJb.c", "x03 x0f", "yaml.load(a)", "response f'<b>{"]
+
 
 def lines_of(pattern, n):
     """Lines of a pattern's own words, in any order and in its own."""
@@ -30,7 +32,7 @@ def lines_of(pattern, n):
         for _ in range(rng.randint(0, 3)):
             line += [x for w in ordered if rng.random() < 0.8 for x in (w, rng.choice(["", " ", " ", rng.choice(short)]))]
         out.append("".join(line + rng.choices(words + short, k=rng.randint(0, 3))) + rng.choice(["", "\n"]))
-    return out
+    return out + MATCHES + [rng.choice(out).strip("\n") + m for m in MATCHES * 20]
 
 
 def test_the_same_lines_match(spark):
