@@ -16,6 +16,7 @@ from corpusloom.operators.reports import FIELDS, full_report, quiet, report_line
 from corpusloom.operators.risk import exit_code
 from corpusloom.operators.scan import decoded
 from corpusloom.plans.deep import analyse, deep_exit_code, deep_rows, deep_summary, deep_totals
+from corpusloom.sources.shared import noting, remove
 from corpusloom.sources.tree import read_tree
 
 
@@ -51,6 +52,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--deep", action="store_true")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("corpusloom").getOrCreate()
+    with noting() as own:
+        try:
+            return run(a, spark)
+        finally:
+            remove(spark, own)  # listings, facts and paths that this run stored
+
+
+def run(a: argparse.Namespace, spark: SparkSession) -> int:
+    """The exit code; prints or writes what is asked for."""
     files = decoded(read_tree(spark, a.path, "deep" if a.deep else "scan")).select("path", "content")
     if a.deep:
         deep = analyse(files, syntax=list(PARSERS) if a.syntax else ["python"])
