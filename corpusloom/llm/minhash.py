@@ -13,7 +13,7 @@ what still lies apart meets all. So every pair that shares a band is
 linked, known to be no link, or inside one component, while the pairs of a group are never listed. Links are confirmed on full sets.
 
 Defined results: a document without words is linked with nothing and kept; fewer
-than five words are one shingle; repeated rows and equal sets are one node; a
+than five words are one shingle; very long texts are sketched and compared whole; repeated rows and equal sets are one node; a
 null doc_id takes part but never names a component, unless there is no other; an
 empty table gives no rows; other columns are ignored.
 """

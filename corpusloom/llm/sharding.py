@@ -14,7 +14,7 @@ blocks of a shard, and the counts of earlier blocks are added, so that the block
 alike rows are dealt out again in pieces of PIECE slots.
 
 Defined results: a null text has size 8 and the CRC-32 of nothing, 0; a null doc_id
-is a key of its own; repeated rows share the shard and have slots of their own, next to each other;
+is a key of its own; very long texts are measured where they are read; repeated rows share the shard and have slots of their own, next to each other;
 an empty table gives no rows; other columns are ignored.
 """
 

@@ -8,7 +8,7 @@ Two words that differ by one replaced character meet where that character is lef
 longer by a character meets the shorter one itself. So nothing is listed twice, no pair is listed at all: each group gives every
 member the number of its neighbours and the best of them, and at most as many words meet as there are letters and places.
 
-Defined results: null and empty texts have no words; in the key of a row without doc_id nothing stands before the colon; repeated rows count each;
+Defined results: null and empty texts have no words; very long ones are counted whole; in the key of a row without doc_id nothing stands before the colon; repeated rows count each;
 of neighbours with the same count the first in code-point order is the form; an empty table gives no rows; other columns are
 ignored. Words of any length are compared: those of more than LONG characters meet by the name of their string, and the strings are
 joined where two of them met.
