@@ -44,13 +44,17 @@ def needed(pattern: str) -> frozenset[str]:
     return words if words and min(map(len, words)) >= LEAST else frozenset()
 
 
-def may_match(line: Column, patterns: Iterable[str]) -> Column:
-    """True on every line that one of the patterns matches (ignoring case), and on few others."""
+def folded(text: Column) -> Column:
+    """Letters that are one another's case in any direction become the same."""
+    return F.lower(F.upper(text))
+
+
+def may_match(line: Column, patterns: Iterable[str], low: Column | None = None) -> Column:
+    """True on every line that one of the patterns matches (ignoring case), and on few others; low is the folded line, where it is known."""
     patterns = list(dict.fromkeys(patterns))
     words = {p: needed(p) for p in patterns}
     every = set().union(*words.values())
     least = sorted(w for w in every if not any(v != w and v in w for v in every))
     rest = [p for p in patterns if not words[p]]
-    # upper and lower: letters that are one another's case in any direction become the same
-    out = contains_any(F.lower(F.upper(line)), least) if least else F.lit(False)
+    out = contains_any(folded(line) if low is None else low, least) if least else F.lit(False)
     return out | search(line, any_of(rest), True) if rest else out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,6 +74,11 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return out
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def stripped(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"(?Ud)^\s+|(?<!\s)\s+\z", "")

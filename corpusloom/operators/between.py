@@ -22,9 +22,8 @@ def ranked(points: DataFrame, files: DataFrame, words: Mapping[str, Sequence[str
 
     on: the line holds one of them in any case; from: so many lines up to this one do; to: so many before it do.
     """
-    low = F.lower("line")
-    flags = [contains_any(low, sorted({w.lower() for w in some})).alias(f"on_{name}") for name, some in words.items()]
-    lines = explode_lines(files.select("path", "content")).select("path", F.col("line_number").alias("at"), *flags)
+    flags = [contains_any(F.col("line"), sorted({w.lower() for w in some})).alias(f"on_{name}") for name, some in words.items()]
+    lines = explode_lines(files.select("path", F.lower("content").alias("content"))).select("path", F.col("line_number").alias("at"), *flags)
     lines = lines.where(reduce(Column.__or__, (F.col(f"on_{name}") for name in words)))
     points = points.select("path", F.col("line").alias("at")).distinct()
     marked = lines.join(points.select("path").distinct(), "path", "left_semi").withColumn("point", F.lit(False))

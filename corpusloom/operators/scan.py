@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.prefilter import may_match
+from corpusloom.functions.prefilter import folded, may_match
 from corpusloom.functions.rules import SEVERITIES, Rule, built_in
 from corpusloom.functions.text import any_of, deep_language, scan_language, search, shown
 
@@ -38,6 +38,13 @@ def explode_lines(files: DataFrame) -> DataFrame:
     return files.select(*rest, F.posexplode(lines_of(F.col("content"))).alias("at", "line")).select(*rest, (F.col("at") + 1).alias("line_number"), "line")
 
 
+def explode_folded(files: DataFrame) -> DataFrame:
+    """explode_lines with low, the folded line: a whole text is folded once, and not a line for every word that it is searched for."""
+    rest = [c for c in files.columns if c != "content"]
+    both = F.arrays_zip(lines_of(F.col("content")).alias("line"), lines_of(folded(F.col("content"))).alias("low"))
+    return files.select(*rest, F.posexplode(both).alias("at", "x")).select(*rest, (F.col("at") + 1).alias("line_number"), F.col("x")["line"].alias("line"), F.col("x")["low"].alias("low"))
+
+
 def _extension_in(path: Column, extensions: Sequence[str]) -> Column:
     ends = "|".join(e.lower().lstrip(".").replace(".", r"\.") for e in extensions)
     return F.rlike(F.lower(path), F.lit(rf"\.(?:{ends})\z"))
@@ -53,7 +60,7 @@ def _applies(rule: Rule) -> Column:
 
 
 def find(lines: DataFrame, rules: Sequence[Rule] | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """path, line_number, rule_ord, rule_id, matched_line, context_note and carry of each finding; lines has path, language, line_number, line and carry."""
+    """path, line_number, rule_ord, rule_id, matched_line, context_note and carry of each finding; lines has path, language, line_number, line, carry and, where it is known, low."""
     rules = [r for r in (built_in() if rules is None else rules) if r.patterns]
     if not rules:
         rules = [Rule("none", "", "low", "security", [], ["(?!)"])]
@@ -65,9 +72,10 @@ def find(lines: DataFrame, rules: Sequence[Rule] | None = None, carry: Sequence[
         cases.append(F.struct(F.lit(n).alias("rule_ord"), F.lit(r.id).alias("rule_id"), hit.alias("context_note")))
     # texts meet only the rules for all languages
     some = sorted({x for r in rules for x in r.languages} - {"all"})
-    gate = may_match(line, [p for r in rules if "all" in r.languages for p in r.patterns])
+    low = F.col("low") if "low" in lines.columns else None
+    gate = may_match(line, [p for r in rules if "all" in r.languages for p in r.patterns], low)
     if some:
-        gate = F.when(F.col("language").isin(some), may_match(line, [p for r in rules for p in r.patterns])).otherwise(gate)
+        gate = F.when(F.col("language").isin(some), may_match(line, [p for r in rules for p in r.patterns], low)).otherwise(gate)
     hits = lines.where(gate).select("path", "line_number", "line", *carry, F.explode(F.filter(F.array(*cases), lambda x: x["context_note"].isNotNull())).alias("hit"))
     return hits.select("path", "line_number", "hit.rule_ord", "hit.rule_id", shown(line).alias("matched_line"), "hit.context_note", *carry)
 
@@ -85,7 +93,7 @@ def severity_rank(severity: Column) -> Column:
 
 def scan(files: DataFrame, rules: Sequence[Rule] | None = None, severity: str | None = None, category: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """All columns of a finding; severity is the least grave one to report. files has path, content and what findings carry along."""
-    found = find(explode_lines(with_languages(files).select("path", "language", *carry, "content")), rules, carry)
+    found = find(explode_folded(with_languages(files).select("path", "language", *carry, "content")), rules, carry)
     # as many rows as there are rules are broadcast
     out = found.join(F.broadcast(rules_table(files.sparkSession, rules).drop("rule_ord", "languages")), "rule_id")
     if severity:

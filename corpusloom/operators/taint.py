@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.flows import DIRECT_USES, INLINE, PLAIN, ROUNDS, SANITISED, SANITIZERS, SINKS, SOURCES
-from corpusloom.functions.text import contains_any, stripped, taint_language
+from corpusloom.functions.text import contains_any, let, taint_language
 from corpusloom.operators.between import between, both_ends, ranked
 from corpusloom.operators.scan import lines_of
 from corpusloom.operators.spread import spread
@@ -89,7 +89,7 @@ def text_flows(files: DataFrame) -> DataFrame:
             F.when(F.contains(text, F.lit("=")), assigned(text)).alias("var"),
             F.when(F.contains(text, F.lit("=")), fits("sources")).otherwise(none).alias("sources"),
             F.when(comment, none).otherwise(fits("sinks")).alias("sinks"),
-            contains_any(F.lower(text), SANITIZERS).alias("safe"),
+            let(F.lower(text), lambda low: contains_any(low, SANITIZERS)).alias("safe"),
             text.alias("text"),
         )
 
