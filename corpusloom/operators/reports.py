@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.rules import SEVERITIES
 from corpusloom.operators.risk import exit_code, file_risk, project_risk
 from corpusloom.operators.scan import file_lines, scan, severity_rank
+from corpusloom.sources.shared import stored
 
 # The level of a diagnostic by severity.
 LEVELS = {"critical": "Error", "high": "Error", "medium": "Warning", "low": "Information"}
@@ -51,8 +52,8 @@ def totals(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def tree_rows(findings: DataFrame) -> DataFrame:
-    """The findings by category and in it by severity, path, line and rule."""
-    return findings.orderBy("category", severity_rank(F.col("severity")), "path", "line_number", "rule_ord")
+    """The findings by category and in it by severity, path, line and rule; they are stored, as a sort reads what it sorts twice."""
+    return stored(findings, "findings").orderBy("category", severity_rank(F.col("severity")), "path", "line_number", "rule_ord")
 
 
 _NUMBERS = {"files_scanned", "findings_count", "exit_code", "overall_score", "poisoning_score", "security_score", "risk_level"}

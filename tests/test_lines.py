@@ -47,3 +47,9 @@ def test_found_lines_give_what_all_lines_give(spark):
     own = [Rule("A", "", "low", "security", ["all"], [r"z$"]), Rule("B", "", "low", "security", ["all"], ["(?!)"])]
     assert scan(spark.createDataFrame([("a", "z\nzz\nb\nz")], "path string, content string"), own).count() == 3
     assert scan(files.select("path", "content"), []).count() == 0
+
+
+def test_a_listing_sorts_stored_findings(spark):
+    files = spark.createDataFrame([("a.py", "eval(input())\n"), ("b.py", "random.choice(x)\nrequests.get('http://a.b')\n"), ("c.md", "none")], "path string, content string")
+    listed = reports.tree_rows(scan(files))
+    assert "MapInArrow" not in plan(listed) and [(r.path, r.rule_id) for r in listed.collect()] == [(r.path, r.rule_id) for r in scan(files).orderBy("category", "path", "line_number", "rule_ord").collect()]
