@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rules import SEVERITIES
-from corpusloom.operators.risk import exit_code, file_risk, project_risk
+from corpusloom.operators.risk import code, exit_code, file_risk, project_risk
 from corpusloom.operators.scan import file_lines, scan, severity_rank
 from corpusloom.sources.shared import stored
 
@@ -47,8 +47,9 @@ def diagnostics(findings: DataFrame) -> DataFrame:
 
 def totals(files: DataFrame, findings: DataFrame) -> DataFrame:
     """One row: files_scanned (those without findings too), findings_count, files_with_findings, exit_code."""
-    some = findings.agg(F.count("*").alias("findings_count"), F.count_distinct("path").alias("files_with_findings"))
-    return files.agg(F.count("*").alias("files_scanned")).join(some).join(exit_code(findings))  # three single rows
+    of_file = findings.groupBy("path").agg(F.count("*").alias("n"), F.max(code(F.col("severity"))).alias("code"))  # findings are made once
+    some = of_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("findings_count"), F.count("*").alias("files_with_findings"), F.coalesce(F.max("code"), F.lit(0)).alias("exit_code"))
+    return files.agg(F.count("*").alias("files_scanned")).join(some)  # two single rows
 
 
 def tree_rows(findings: DataFrame) -> DataFrame:

@@ -49,6 +49,12 @@ def test_found_lines_give_what_all_lines_give(spark):
     assert scan(files.select("path", "content"), []).count() == 0
 
 
+def test_reports_make_findings_once(spark):
+    files = spark.createDataFrame([("a.py", "eval(input())\n"), ("b.py", "random.choice(x)\nrequests.get('http://a.b')\n"), ("c.md", "none")], "path string, content string")
+    assert plan(reports.totals(files, scan(files))).count("MapInArrow") == 1
+    assert reports.totals(files, scan(files)).first() == (3, scan(files).count(), 2, 2) and reports.totals(files, scan(files, [])).first() == (3, 0, 0, 0)
+
+
 def test_a_listing_sorts_stored_findings(spark):
     files = spark.createDataFrame([("a.py", "eval(input())\n"), ("b.py", "random.choice(x)\nrequests.get('http://a.b')\n"), ("c.md", "none")], "path string, content string")
     listed = reports.tree_rows(scan(files))
