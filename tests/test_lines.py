@@ -59,3 +59,18 @@ def test_a_listing_sorts_stored_findings(spark):
     files = spark.createDataFrame([("a.py", "eval(input())\n"), ("b.py", "random.choice(x)\nrequests.get('http://a.b')\n"), ("c.md", "none")], "path string, content string")
     listed = reports.tree_rows(scan(files))
     assert "MapInArrow" not in plan(listed) and [(r.path, r.rule_id) for r in listed.collect()] == [(r.path, r.rule_id) for r in scan(files).orderBy("category", "path", "line_number", "rule_ord").collect()]
+
+
+@pytest.mark.parametrize("text", ["", "a", "abab", "\U0001f600é\U0001f600", "x" * 1000 + "y"])
+def test_entropy_of_batches(text):
+    want = -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+    assert math.isclose(lines.bits(pa.array(["q", text, "", "rr"]))[1], want, abs_tol=1e-12) and list(lines.bits(pa.array([], pa.string()))) == []
+    assert list(lines.bits(pa.array(["rs", text, "rs"]).slice(2))) == [1.0]
+
+
+def test_different_lines(spark):
+    found = texts(8, 300)
+    files = spark.createDataFrame([(x,) for x in [*found, None, "", "\n"]], "content string")
+    rows = lines.with_entropy(lines.distinct_lines(files))
+    assert Counter(r.text for r in rows.collect()) == Counter({line for x in [*found, "\n"] for line in (x[:-1] if x.endswith("\n") else x).split("\n") if x})
+    assert "(?<=" not in plan(rows) and "aggregate" not in plan(rows).lower().replace("hashaggregate", "")
