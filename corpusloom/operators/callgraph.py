@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import components, shortest_cycles
+from corpusloom.sources.batches import in_batches
 from corpusloom.sources.shared import stored
 
 _CYCLES = pa.schema([("path", pa.string()), ("name", pa.string()), ("component", pa.string()), ("names", pa.list_(pa.string()))])
@@ -87,7 +88,7 @@ def _on_cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _searched(edges: DataFrame) -> DataFrame:
     """Rows of _CYCLES: of each file the names on a cycle with their component, and cycles of more than DEPTH calls."""
     files = _distinct(edges).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("caller", "callee"))).alias("edges"))
-    return files.mapInArrow(_on_cycles, "path string, name string, component string, names array<string>")
+    return in_batches(files, _on_cycles, "path string, name string, component string, names array<string>")
 
 
 def call_components(edges: DataFrame) -> DataFrame:

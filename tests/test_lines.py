@@ -74,3 +74,12 @@ def test_different_lines(spark):
     rows = lines.with_entropy(lines.distinct_lines(files))
     assert Counter(r.text for r in rows.collect()) == Counter({line for x in [*found, "\n"] for line in (x[:-1] if x.endswith("\n") else x).split("\n") if x})
     assert "(?<=" not in plan(rows) and "aggregate" not in plan(rows).lower().replace("hashaggregate", "")
+
+
+def test_parsers_get_batches_of_bounded_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(64 << 20))
+    files = spark.createDataFrame([(f"{i}.py", f"def f{i}():\n    g()\n" * 700 if i else "(") for i in range(30)], "path string, content string")
+    found = facts.syntax_facts(with_languages(files))
+    assert int(spark.conf.get(name)) <= BATCH_BYTES
+    assert {r.fact: r["count"] for r in found.groupBy("fact").count().collect()} == {"function": 29 * 700, "call": 29 * 700, "error": 1}
