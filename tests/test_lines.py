@@ -49,6 +49,12 @@ def test_found_lines_give_what_all_lines_give(spark):
     assert scan(files.select("path", "content"), []).count() == 0
 
 
+def test_texts_are_searched_before_they_are_rows(spark):
+    files = spark.createDataFrame([("a.py", "eval(x)\n")], "path string, content string")
+    for df in (scan(files), between.ranked(spark.createDataFrame([("a.py", 1)], "path string, line int"), files, {"a": ["b"]})):
+        assert plan(df).count("MapInArrow") == 1 and "(?<=" not in plan(df)
+
+
 def test_reports_make_findings_once(spark):
     files = spark.createDataFrame([("a.py", "eval(input())\n"), ("b.py", "random.choice(x)\nrequests.get('http://a.b')\n"), ("c.md", "none")], "path string, content string")
     assert plan(reports.totals(files, scan(files))).count("MapInArrow") == 1
